@@ -1,0 +1,183 @@
+"""Secret scanning: fixed formats, and guess cost for values in a credential context.
+
+The cost of a value is the least sum, over all ways to cut it into segments, of
+the segments' log10 guesses: dictionary words, dates, repeats, runs, keyboard
+walks, and brute force for what is left. A value that would take many guesses is
+a secret though it has no known format.
+"""
+
+
+import hashlib
+import math
+import re
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from bytewren.llm.common import map_rows, utf8
+
+# The base formats, their least lengths and their order.
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # a run of 18 or more; shorter runs fail as a whole
+HEX = re.compile(r"[0-9a-f]{16,}")
+KINDS = ("assign", "access", "hex", "guess")
+ASSIGN_LEAST = 12
+
+#: Names that announce a credential, and the value that follows. Wider than the base format: any printable value.
+CONTEXT = re.compile(r"""(?<![A-Za-z])(?:password|passwd|passphrase|pwd|pass|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|client[_-]?secret|credentials?|bearer)["']?\x20*(?:[:=]|\x20is\x20)\x20*["']?([!-&(-~]{6,})""", re.IGNORECASE | re.ASCII)
+
+# Common words and passwords by rank; a word's guesses are its rank.
+WORDS = (
+    "password the and you that secret admin token letmein welcome dragon monkey qwerty master login hello "
+    "freedom whatever trustno shadow sunshine princess football baseball superman batman iloveyou starwars "
+    "summer winter spring autumn monday friday january february march april june july august september october "
+    "november december root user test guest demo example sample changeme default system server database access "
+    "account public private internal service client secure security love money happy home work house flower "
+    "angel baby cookie coffee orange apple banana cherry purple yellow green black white silver golden diamond "
+    "tiger lion eagle horse house mouse computer internet network windows linux google amazon null none true false "
+    "value string text your here this with from have what when where enter insert replace placeholder redacted"
+).split()
+RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
+LONGEST_WORD = max(map(len, RANK))
+LEET = str.maketrans("013457@$!", "oleastasi")
+
+# The rows of a keyboard.
+ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
+PLACE = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
+
+#: log10 guesses from which a credential's value is a secret, and of opening a brute-force segment.
+LEAST_COST, SEGMENT_COST = 8.0, 0.3
+
+DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
+
+
+def _alphabet(c: str) -> int:
+    return 10 if c.isdigit() else 26 if c.isalpha() else 33
+
+
+def _segments(value: str, i: int) -> list[tuple[int, float]]:
+    """(end, log10 guesses) of the patterns that begin at i."""
+    low, out = value.lower(), []
+    plain = low.translate(LEET)
+    for j in range(i + 3, min(len(value), i + LONGEST_WORD) + 1):
+        rank = RANK.get(low[i:j]) or RANK.get(plain[i:j])
+        if rank:
+            part = value[i:j]
+            variants = 1 if part == low[i:j] else 2 if part.isupper() or part[1:] == low[i + 1 : j] else 2 ** sum(c.isupper() for c in part)
+            out.append((j, math.log10(rank * variants * (1 if RANK.get(low[i:j]) else 4) + 1)))
+    if (m := DATE.match(value, i)) and m.end() - i >= 4:
+        out.append((m.end(), math.log10(119 * (1 if m.end() - i == 4 else 365) * (4 if re.search("[-/.]", m[0]) else 1))))
+    # Repeats, runs and walks are taken where they begin: a start inside one of them is not looked at again.
+    for unit in range(1, 9):
+        if i and value[i - 1 : i - 1 + unit] == value[i - 1 + unit : i - 1 + 2 * unit]:
+            continue
+        j = i + unit
+        while j + unit <= len(value) and value[j : j + unit] == value[i : i + unit]:
+            j += unit
+        if j >= i + max(2 * unit, 3):
+            out.append((j, math.log10(_alphabet(value[i])) * unit + math.log10((j - i) // unit)))
+    j, step = i + 1, _run(low, i)  # runs like abc or 987
+    if step and not (i and _run(low, i - 1) == step):
+        while _run(low, j) == step:
+            j += 1
+        if j - i >= 2:
+            out.append((j + 1, math.log10(_alphabet(value[i]) * 2 * (j + 1 - i))))
+    if not (i and _walk(low, i - 1)):
+        j, turns, last = i, 1, None
+        while move := _walk(low, j):
+            turns, last, j = turns + (move != last), move, j + 1
+        if j - i >= 3:
+            out.append((j + 1, math.log10(47 * (j + 1 - i)) + (turns - 2) * math.log10(6)))
+    return out
+
+
+def _run(low: str, i: int) -> int:
+    """1 or -1 if the next character of the same kind is the next or the previous one in the alphabet, else 0."""
+    if i + 1 >= len(low) or not (low[i].isalnum() and low[i + 1].isalnum()) or low[i].isdigit() != low[i + 1].isdigit():
+        return 0
+    step = ord(low[i + 1]) - ord(low[i])
+    return step if abs(step) == 1 else 0
+
+
+def _walk(low: str, i: int) -> tuple[int, int] | None:
+    """The move to the next character if both are neighbours on the keyboard."""
+    if i + 1 >= len(low) or low[i] not in PLACE or low[i + 1] not in PLACE:
+        return None
+    (r, c), (s, d) = PLACE[low[i]], PLACE[low[i + 1]]
+    return (s - r, d - c) if (r, c) != (s, d) and abs(s - r) <= 1 and abs(d - c) <= 1 else None
+
+
+@lru_cache(maxsize=20_000)
+def guess_cost(value: str) -> float:
+    """Least log10 guesses over all segmentations. Empty: 0."""
+    n = len(value)
+    best = [0.0] + [math.inf] * n
+    brute = math.inf  # the least cost if a brute-force segment is open
+    for i in range(n):
+        for j, cost in _segments(value, i):
+            best[j] = min(best[j], best[i] + cost)
+        brute = min(brute, best[i] + SEGMENT_COST) + math.log10(_alphabet(value[i]))
+        best[i + 1] = min(best[i + 1], brute)
+    return best[n]
+
+
+def find(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of every span in code points, by start, then kind in the order of KINDS.
+
+    Base kinds: the leftmost non-overlapping matches of each; ``assign`` spans the
+    whole match and needs a value of ASSIGN_LEAST characters. ``guess`` spans a
+    credential's value of cost LEAST_COST or more that no base span overlaps.
+    """
+    base = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
+    base += [("access", *m.span()) for m in ACCESS.finditer(text)]
+    base += [("hex", *m.span()) for m in HEX.finditer(text)]
+    more = []
+    for m in CONTEXT.finditer(text):
+        i, j = m.span(1)
+        while j > i and text[j - 1] in "\"'.,;:)]}>":
+            j -= 1
+        if j - i >= 6 and not any(a < j and i < b for _, a, b in base) and guess_cost(text[i:j]) >= LEAST_COST:
+            more.append(("guess", i, j))
+    return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+
+
+def redact(text: str, mark: str = "<secret>") -> str:
+    """The text with every span, overlapping ones merged, replaced by ``mark``; unchanged if there is none."""
+    out, at = [], 0
+    for _, start, end in find(text):
+        if end > at:
+            if start >= at:
+                out += [text[at:start], mark]
+            at = end
+    return "".join(out) + text[at:] if out else text
+
+
+def _joined(spans: list[tuple[str, int, int]]) -> str:
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_assign, n_access, n_hex, n_guess, base_sha256, spans) per row; a null text counts as empty, without spans."""
+
+    def row(values: tuple) -> tuple:
+        spans = find(values[1].decode("utf-8", "replace"))
+        base = [s for s in spans if s[0] != "guess"]
+        counts = [sum(s[0] == k for s in spans) for k in KINDS]
+        return values[0], *counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)
+
+    return map_rows(docs.select(F.col(id_col).cast("long"), utf8(text_col)), lambda: row, "id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string")
+
+
+def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """All columns of ``docs``; texts with secrets have them replaced (and ``length_col`` follows), null texts stay null."""
+
+    @F.pandas_udf("string")
+    def hide(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: redact(t) if t is not None else None)
+
+    out = docs.withColumn(text_col, hide(F.col(text_col)))
+    if length_col in docs.columns:
+        out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
+    return out.select(docs.columns)
