@@ -304,3 +304,19 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
         return row
 
     return map_rows(docs.select(F.col(id_col).cast("long"), utf8(text_col)), make, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenised(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids, decoded_sha256) per row: what training reads, and the digest of the text decoded from the ids."""
+
+    def make():
+        encoder, decoder = codec(path, pattern)
+
+        def row(values: tuple) -> tuple:
+            decimal = encoder.decimal(values[1].decode("utf-8", "replace"))
+            ids = list(map(int, decimal.split()))
+            return values[0], len(ids), ids, hashlib.sha256(decoder.decode_decimal(decimal).encode()).hexdigest()
+
+        return row
+
+    return map_rows(docs.select(F.col(id_col).cast("long"), utf8(text_col)), make, "id long, n_tokens long, ids array<int>, decoded_sha256 string")

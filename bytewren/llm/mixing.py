@@ -91,35 +91,58 @@ def thresholds(rows: DataFrame, budgets: dict[str | None, int]) -> dict[str | No
     return found
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row: id, src, size, source_size, target, taken (0, 1 or 2 times its size).
+def plan(sized: DataFrame) -> DataFrame:
+    """One row per source: s, source_size, target, whole (copies of every document), limits (of the hash, by largest size).
 
-    Null texts have no words and null sources form one source of their own, last
-    in order. Rows with equal ids are taken together. Sizes and hashes are
-    written once to the checkpoint folder; the passes read those four columns.
-    One row per source reaches the driver: weights are set source by source, so
-    their number is that of a configuration, not of the data.
+    ``sized`` has src, size, h and should be cut off from its lineage. One row
+    per source reaches the driver: weights are set source by source, so their
+    number is that of a configuration, not of the data.
     """
-    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), words(text_col).alias("size"), hash60(id_col).alias("h")))
     totals = {r["src"]: r["n"] for r in sized.groupBy("src").agg(F.sum("size").alias("n")).collect()}
     goal = targets(list(totals.items()))
     whole = {s: int(goal[s] // n) if n else 0 for s, n in totals.items()}
     left = {s: int(goal[s] - whole[s] * n) for s, n in totals.items()}
-    limits = {s: [] for s in totals}
-    rest = sized.where("size > 0")
+    limits: dict[str | None, list[tuple[int, int]]] = {s: [] for s in totals}
+    rest = sized.where("size > 0").select("src", "size", "h")
     for _ in range(ROUNDS):
         budgets = {s: n for s, n in left.items() if n > 0}
         if not budgets:
             break
-        room = by_source(sized, [(s, n) for s, n in budgets.items()], "s string, room long")
+        room = by_source(sized, list(budgets.items()), "s string, room long")
         fits = rest.join(room, rest["src"].eqNullSafe(room["s"]) & (rest["size"] <= room["room"])).select("src", "size", "h")
         limit = thresholds(fits, budgets)
         for s, (h, n) in limit.items():
             limits[s].append((budgets[s], h))
             left[s] -= n
         used = by_source(sized, [(s, budgets[s], h) for s, (h, _) in limit.items()], "s string, room long, lim long")
-        rest = rest.join(used, rest["src"].eqNullSafe(used["s"]), "left").where("room is null or not (size <= room and h < lim)").select(sized.columns)
-    plan = [(s, totals[s], float(goal[s]), whole[s], [{"room": r, "lim": h} for r, h in limits[s]]) for s in totals]
-    plan = by_source(sized, plan, "s string, source_size long, target double, whole long, limits array<struct<room:long,lim:long>>")
-    extra = F.exists("limits", lambda x: (F.col("size") <= x["room"]) & (F.col("h") < x["lim"]))
-    return sized.join(plan, sized["src"].eqNullSafe(plan["s"])).select("id", "src", "size", "source_size", "target", (F.col("size") * (F.col("whole") + extra.cast("long"))).alias("taken"))
+        rest = rest.join(used, rest["src"].eqNullSafe(used["s"]), "left").where("room is null or not (size <= room and h < lim)").select("src", "size", "h")
+    rows = [(s, totals[s], float(goal[s]), whole[s], limits[s]) for s in totals]
+    return by_source(sized, rows, "s string, source_size long, target double, whole long, limits array<struct<room:long,lim:long>>")
+
+
+def copies(planned: DataFrame, size: Column, h: Column) -> Column:
+    """How often the mix takes a document of that size and hash."""
+    extra = F.exists(planned["limits"], lambda x: (size <= x["room"]) & (h < x["lim"]))
+    return planned["whole"] + extra.cast("long")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Per row: id, src, size, source_size, target, taken (0, 1 or 2 times its size).
+
+    Null texts have no words and null sources form one source of their own, last
+    in order. Rows with equal ids are taken together. Sizes and hashes are
+    written once to the checkpoint folder; the passes read those four columns.
+    """
+    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), words(text_col).alias("size"), hash60(id_col).alias("h")))
+    planned = plan(sized)
+    taken = (F.col("size") * copies(planned, F.col("size"), F.col("h"))).alias("taken")
+    return sized.join(planned, sized["src"].eqNullSafe(planned["s"])).select("id", "src", "size", "source_size", "target", taken)
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of the mix with all columns of ``docs``: each row as often as it is taken. The text is not moved."""
+    planned = plan(cut(docs.select(F.col(source_col).alias("src"), words(text_col).alias("size"), hash60(id_col).alias("h"))))
+    times = copies(planned, words(text_col), hash60(id_col))
+    joined = docs.join(planned, docs[source_col].eqNullSafe(planned["s"]))
+    each = joined.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
+    return each.toDF(*map(str, range(len(each.columns)))).drop(str(len(docs.columns))).toDF(*docs.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytewren.llm import bpe, mixing, ogg, secrets, simhash, token_counts
+from bytewren.llm import bpe, class_lm, mixing, ogg, pivots, secret_scan, simhash, suffixes, token_counts, toxicity
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -22,17 +22,38 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir)).select(F.col("id").alias("doc_id"), hexed, F.col("component").alias("component_id"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model)
+    return scored.select(F.col("id").alias("doc_id"), (toxicity.fold("id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pivots.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    kept = F.col("id").eqNullSafe(F.col("component")).alias("kept")
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), kept)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(_docs(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return counted.select(F.col("id").alias("doc_id"), "n_tokens")
 
 
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.lm_scores(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    return secret_scan.scan(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +65,19 @@ def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op4_source_mixing, op6_token_counts, op8_secret_scan, op9_byte_bpe, op10_ogg_media)
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup,
+        op2_suffix_dedup,
+        op3_toxicity,
+        op4_source_mixing,
+        op5_embedding_near_dedup,
+        op6_token_counts,
+        op7_class_lm,
+        op8_secret_scan,
+        op9_byte_bpe,
+        op10_ogg_media,
+    )
 }
 
 SQL: dict[str, str] = {}

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytewren.llm.common import bound_batches, connected_components, cut, utf8
+from bytewren.llm.common import bound_batches, connected_components, cut, unused, utf8
 
 SEED, SHINGLE, CHUNK = 42, 3, 1 << 15
 
@@ -81,3 +81,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = named.groupBy("root").agg(F.min("low").alias("component"))
     classes = cut(named.join(lowest, "root").select("fp", "component"))
     return rows.join(classes, "fp").select("id", "fp", "component")
+
+
+def one_of_each(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, without near-duplicates: of each component the first row stays. Needs no unique ids."""
+    row = unused(docs, "row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    gone = near_duplicates(numbered, row, text_col).where("id <> component").select(F.col("id").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
