@@ -72,6 +72,16 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def least_hashes(df: DataFrame, n: int, total: int, *keys: str) -> DataFrame:
+    """The ``n`` rows with the least hash of their keys, of about ``total``.
+
+    A threshold on the hash leaves about 2 n rows before they are sorted, so that
+    what tasks hand on doesn't grow with their number.
+    """
+    share = min(1.0, 2.0 * n / max(total, 1))
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)), *keys).limit(n)
+
+
 def utf8(column: str = "text") -> Column:
     """The UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytewren.llm.common import bound_batches, connected_components, cut, forest
+from bytewren.llm.common import bound_batches, connected_components, cut, forest, least_hashes
 
 #: Least cosine of a link, pivots named by a vector, pivots that a candidate must share.
 THRESHOLD, NEAREST, SHARED = 0.98, 10, 2
@@ -93,7 +93,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     groups = cut(groups.withColumn("dim", F.size("v")))
     total = groups.count()
     pivot_count = int(min(MOST, max(FEWEST, 2 * total**0.5)))
-    sample = groups.orderBy(F.xxhash64("v"), "g").limit(pivot_count).select("v").collect()  # at most MOST vectors
+    sample = least_hashes(groups, pivot_count, total, "g").select("v").collect()  # at most MOST vectors
     by_dim: dict[int, list] = {}
     for r in sample:
         by_dim.setdefault(len(r["v"]), []).append(r["v"])
