@@ -32,16 +32,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytewren.llm.common import bound_batches, cut, utf8
+from bytewren.llm.common import bound_batches, cut, least_hashes, utf8
 
 MINIMUM, K = 50, 24
 SPAN = MINIMUM - K  # K-grams besides the first in a window; context bytes on either side of an anchor
-#: Text bytes in a bucket, in a flush of a task, and in one numpy pass; documents sampled for splitters.
-BUCKET, FLUSH, CHUNK, SAMPLED = 12 << 20, 24 << 20, 1 << 20, 1000
+#: Text bytes in a bucket, in a flush of a task, and in one numpy pass; groups of rows sampled for splitters.
+BUCKET, FLUSH, CHUNK, SAMPLED = 12 << 20, 24 << 20, 1 << 18, 1000
+#: Neighbouring rows travel as one: this many bits of the row id number a row in its group.
+GROUP = 6
+#: Bits of a hash below the bucket's that are compared; equal bits only make candidates.
+HASH_BITS = 40
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(pickle.dumps(arrays, protocol=5), 3)
+    return zstandard.compress(pickle.dumps(arrays, protocol=5), 1)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
@@ -79,7 +83,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         return joined, *(np.empty(0, np.int64),) * 2, np.empty(0, np.uint64)
     w = _words(joined)
     m = len(joined) - K + 1
-    h = _mix(_mix(_mix(w[:m]) + w[8 : 8 + m]) + w[16 : 16 + m]) | np.uint64(1)
+    h = _mix(w[:m] * np.uint64(0x9E3779B97F4A7C15) + w[8 : 8 + m] * np.uint64(0xC2B2AE3D27D4EB4F) + w[16 : 16 + m] * np.uint64(0x165667B19E3779F9)) | np.uint64(1)
     low = _slide(h, SPAN + 1, np.minimum)  # of the window that begins here
     ends = np.cumsum(sizes)
     for e in ends[:-1].tolist():  # windows across a border hold no string of a document
@@ -107,73 +111,113 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
 
 
-def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Lists of rows with their texts unpacked, of about FLUSH text bytes."""
-    rows, size = [], 0
+def _rows(group: dict) -> list[tuple[int, int, bytes]]:
+    """(rid, doc, text) of a group's rows that are no copies."""
+    text, at, gone, out = zstandard.decompress(group["z"]), 0, set(group["gone"] or ()), []
+    for rid, doc, size in zip(group["rids"], group["docs"], group["sizes"]):
+        if rid not in gone:
+            out.append((rid, doc, text[at : at + size]))
+        at += size
+    return out
+
+
+def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[bytes]]]:
+    """Rows of groups with about FLUSH text bytes, and the blobs that came with those groups."""
+    rows, blobs, size = [], [], 0
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            text = zstandard.decompress(row[-1])
-            rows.append((*row[:-1], text))
-            size += len(text)
+        for group in batch.to_pylist():
+            more = _rows(group)
+            rows += more
+            blobs += group.get("blobs") or ()
+            size += sum(len(r[2]) for r in more)
             if size >= FLUSH:
-                yield rows
-                rows, size = [], 0
+                yield rows, blobs
+                rows, blobs, size = [], [], 0
     if rows:
-        yield rows
+        yield rows, blobs
 
 
 def _blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "blob"])
 
 
-def _by_row(rows: np.ndarray, *values: np.ndarray) -> pd.DataFrame:
-    """A frame (rid, blob) with one blob for each row id, of the values at it."""
+def _by_group(rows: np.ndarray, *values: np.ndarray) -> pd.DataFrame:
+    """A frame (g, blob) with one blob for each group of rows: row ids and the values at them."""
     order = np.argsort(rows, kind="stable")
     rows, values = rows[order], [v[order] for v in values]
-    starts = _runs(rows)
-    return pd.DataFrame({"rid": rows[starts], "blob": [_pack(*(v[a:b] for v in values)) for a, b in zip(starts, [*starts[1:], len(rows)])]})
+    starts = _runs(rows >> GROUP)
+    return pd.DataFrame({"g": rows[starts] >> GROUP, "blob": [_pack(rows[a:b], *(v[a:b] for v in values)) for a, b in zip(starts, [*starts[1:], len(rows)])]})
+
+
+def _concat(blobs: list[bytes], kinds: tuple[type, ...]) -> list[np.ndarray]:
+    parts = [_unpack(x) for x in blobs]
+    return [np.concatenate(x) for x in zip(*parts)] if parts else [np.empty(0, k) for k in kinds]
+
+
+def _keys(h: np.ndarray) -> np.ndarray:
+    """The least hashes of windows lie close together; this spreads them evenly."""
+    return h * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _five(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8])
 
 
-def shared_hashes(originals: DataFrame, buckets: int) -> DataFrame:
-    """(rid, blobs): hashes of anchors that occur in two rows, from (rid, doc, z)."""
+def _eight(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), 8), np.uint8)
+    out[:, : HASH_BITS // 8] = x
+    return out.view("<u8").ravel()
+
+
+def shared_hashes(packed: DataFrame, bits: int) -> DataFrame:
+    """(g, blobs): keys of anchors that occur in two rows, by row; sent to 2 ** bits buckets by their leading bits."""
+    down = np.uint64(max(0, 64 - bits - HASH_BITS))
+    inside = np.uint64((1 << HASH_BITS) - 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _flushes(batches):
-            rids, hashes = [], []
+        for rows, _ in _flushes(batches):
+            rids, keys = [], []
             for part in _chunks(rows):
                 _, text, _, h = anchors([r[-1] for r in part])
                 rids.append(np.array([r[0] for r in part], np.int64)[text])
-                hashes.append(h)
-            rid, h = np.concatenate(rids), np.concatenate(hashes)
-            order = np.lexsort((rid, h))
-            rid, h = rid[order], h[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (rid[1:] != rid[:-1])])[: len(h)]
-            rid, h = rid[new], h[new]
-            starts = _runs(h)
-            several = np.diff(np.append(starts, len(h))) > 1  # shared within this flush: settled here, told to the others
-            here = np.repeat(several, np.diff(np.append(starts, len(h))))
-            to, to_m = h % np.uint64(buckets), h[starts[several]] % np.uint64(buckets)
+                keys.append(_keys(h) >> down)
+            rid, key = np.concatenate(rids), np.concatenate(keys)
+            order = np.argsort(key, kind="stable")  # rows come in the order of their ids
+            rid, key = rid[order], key[order]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (rid[1:] != rid[:-1])])[: len(key)]
+            rid, key = rid[new], key[new]
+            starts = _runs(key)
+            count = np.diff(np.append(starts, len(key)))
+            here = np.repeat(count > 1, count)  # shared within this flush: settled here, told to the others
+            many = key[starts[count > 1]]
+            high = np.uint64(64 - bits) - down
+            edges = np.arange(1, 1 << bits).astype(np.uint64) << high
+            sides = []
+            for kept in (key[~here], many, key[here]):
+                at = np.concatenate([[0], np.searchsorted(kept, edges), [len(kept)]])
+                sides.append(list(zip(at, at[1:])))
+            one_rid, own_rid, one, own = rid[~here], rid[here], key[~here], key[here]
             out = []
-            for b in range(buckets):
-                one, own, many = ~here & (to == b), here & (to == b), h[starts[several]][to_m == b]
-                if one.any() or own.any():
-                    k, j = np.argsort(rid[one], kind="stable"), np.argsort(rid[own], kind="stable")
-                    out.append((b, _pack(rid[one][k], h[one][k] >> np.uint64(24), many >> np.uint64(24), rid[own][j], h[own][j] >> np.uint64(24))))
+            for b, ((a1, b1), (a2, b2), (a3, b3)) in enumerate(zip(*sides)):
+                if b1 > a1 or b3 > a3:
+                    k = np.argsort(one_rid[a1:b1], kind="stable")  # for the packing's sake
+                    j = np.argsort(own_rid[a3:b3], kind="stable")
+                    out.append((b, _pack(one_rid[a1:b1][k], _five(one[a1:b1][k] & inside), _five(many[a2:b2] & inside), own_rid[a3:b3][j], _five(own[a3:b3][j] & inside))))
             yield _blobs(out)
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpack(x) for x in frame["blob"]]
-        rid, h, many, own_rid, own_h = (np.concatenate(x) for x in zip(*parts))
-        known = np.unique(many)
-        order = np.argsort(h, kind="stable")
-        rid, h = rid[order], h[order]
-        starts = _runs(h)
-        count = np.diff(np.append(starts, len(h)))
-        found = np.repeat(count > 1, count) | np.isin(h, known)
-        return _by_row(np.concatenate([rid[found], own_rid]), np.concatenate([h[found], own_h]))
+        rid, key, many, own_rid, own = _concat(list(frame["blob"]), ())
+        key, many, own = _eight(key), _eight(many), _eight(own)
+        order = np.argsort(key, kind="stable")
+        rid, key = rid[order], key[order]
+        starts = _runs(key)
+        count = np.diff(np.append(starts, len(key)))
+        found = np.repeat(count > 1, count) | np.isin(key, np.unique(many))
+        bucket = np.uint64(frame["bucket"].iloc[0]) << np.uint64(HASH_BITS)
+        return _by_group(np.concatenate([rid[found], own_rid]), np.concatenate([key[found], own]) | bucket)
 
-    sent = originals.select("rid", "z").mapInArrow(send, "bucket int, blob binary")
-    return sent.groupBy("bucket").applyInPandas(match, "rid long, blob binary").groupBy("rid").agg(F.collect_list("blob").alias("blobs"))
+    sent = packed.mapInArrow(send, "bucket int, blob binary")
+    return sent.groupBy("bucket").applyInPandas(match, "g long, blob binary").groupBy("g").agg(F.collect_list("blob").alias("blobs"))
 
 
 def multikey_order(words: np.ndarray) -> np.ndarray:
@@ -251,42 +295,40 @@ def repeated_windows(doc: np.ndarray, left: np.ndarray, right: np.ndarray, n_lef
     return mask
 
 
-def covered(originals: DataFrame, hashes: DataFrame, splitters: np.ndarray) -> DataFrame:
-    """(rid, blobs) of (position, mask) for anchors with windows to remove, from (rid, doc, z) and the hashes that rows share."""
+def covered(packed: DataFrame, hashes: DataFrame, splitters: np.ndarray, bits: int) -> DataFrame:
+    """(g, blobs) of row ids, positions and masks for anchors with windows to remove, from the keys that rows share."""
     buckets = len(splitters) + 1
+    down = np.uint64(max(0, 64 - bits - HASH_BITS))
+    column, offsets = np.arange(SPAN + MINIMUM), np.arange(SPAN + 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
-
-        def flush() -> pa.RecordBatch:
+        for rows, blobs in _flushes(batches):
+            # A row's keys by one hash of both; an accidental hit only makes a candidate.
+            want = np.unique(_mix(_with_row(*_concat(blobs, (np.int64, np.uint64)))))
             made = []
             for part in _chunks(rows):
                 joined, text, at, h = anchors([r[-1] for r in part])
-                wanted = [np.unique(np.concatenate([_unpack(x)[0] for x in r[2]])) for r in part]
-                h >>= np.uint64(24)
-                limits = np.searchsorted(text, np.arange(len(part) + 1))
-                keep = np.concatenate([np.isin(h[a:b], want) for want, a, b in zip(wanted, limits, limits[1:])]) if len(part) else np.empty(0, bool)
+                doc, rid = np.array([r[1] for r in part], np.int64), np.array([r[0] for r in part], np.int64)
+                mine = _mix(_with_row(rid[text], _keys(h) >> down))
+                near = np.minimum(np.searchsorted(want, mine), max(0, len(want) - 1))
+                keep = want[near] == mine if len(want) else np.zeros(len(mine), bool)
                 text, at = text[keep], at[keep]
                 begin = np.concatenate([[0], np.cumsum([len(r[-1]) for r in part])])
                 padded = np.concatenate([np.zeros(SPAN, np.uint8), joined, np.zeros(MINIMUM, np.uint8)])
                 both = np.lib.stride_tricks.sliding_window_view(padded, SPAN + MINIMUM)[at]
                 n_left = np.minimum(at - begin[text], SPAN)
                 n_right = np.minimum(begin[text + 1] - at, MINIMUM)
-                column = np.arange(SPAN + MINIMUM)
-                both = np.where((column >= SPAN - n_left[:, None]) & (column < SPAN + n_right[:, None]), both, 0).astype(np.uint8)
-                doc, rid = np.array([r[1] for r in part], np.int64), np.array([r[0] for r in part], np.int64)
-                made.append((rid[text], doc[text], at - begin[text], n_left, n_right, both))
+                edge = np.flatnonzero((n_left < SPAN) | (n_right < MINIMUM))
+                both[edge] = np.where((column >= SPAN - n_left[edge, None]) & (column < SPAN + n_right[edge, None]), both[edge], 0)
+                made.append((rid[text], doc[text], at - begin[text], n_left.astype(np.uint8), n_right.astype(np.uint8), both))
             rid, doc, pos, n_left, n_right, both = (np.concatenate(x) for x in zip(*made))
             # Of equal surroundings only those of the lowest document go on: what is around the others is repeated for certain.
-            words = np.concatenate([_as_words(both), (n_left * 64 + n_right).astype(np.uint64)[:, None]], axis=1)
+            words = np.concatenate([_as_words(both), (n_left.astype(np.uint64) * 64 + n_right)[:, None]], axis=1)
             order = multikey_order(words)
             starts = _runs(np.ascontiguousarray(words[order]).view(f"V{8 * words.shape[1]}").ravel())
-            lowest = np.empty(len(doc), np.int64)
+            on = np.ones(len(doc), bool)
             if len(doc):
-                lowest[order] = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.append(starts, len(doc))))
-            offsets = np.arange(SPAN + 1)
-            full = (((n_left[:, None] >= offsets) & (n_right[:, None] >= MINIMUM - offsets)) << offsets).sum(axis=1).astype(np.uint32)
-            on = doc == lowest
+                on[order] = doc[order] == np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.append(starts, len(doc))))
             to = np.searchsorted(splitters, np.ascontiguousarray(both[:, SPAN : SPAN + K]).view(f"S{K}").ravel(), "right") if len(doc) else np.empty(0, np.int64)
             out = []
             order = np.argsort(to, kind="stable")
@@ -295,38 +337,28 @@ def covered(originals: DataFrame, hashes: DataFrame, splitters: np.ndarray) -> D
                 k = order[limits[b] : limits[b + 1]]
                 if len(k):
                     go, stay = k[on[k]], k[~on[k]]
-                    out.append((b, _pack(rid[go], doc[go], pos[go], n_left[go].astype(np.uint8), n_right[go].astype(np.uint8), both[go], rid[stay], pos[stay], full[stay])))
-            return _blobs(out)
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                rows.append((*row[:3], zstandard.decompress(row[3])))
-                size += len(rows[-1][-1])
-                if size >= FLUSH:
-                    yield flush()
-                    rows, size = [], 0
-        if rows:
-            yield flush()
+                    full = (((n_left[stay, None] >= offsets) & (n_right[stay, None] >= MINIMUM - offsets)) << offsets).sum(axis=1).astype(np.uint32)
+                    out.append((b, _pack(rid[go], doc[go], pos[go], n_left[go], n_right[go], both[go], rid[stay], pos[stay], full)))
+            yield _blobs(out)
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpack(x) for x in frame["blob"]]
-        rid, doc, pos, n_left, n_right, both, own_rid, own_pos, own_mask = (np.concatenate(x) for x in zip(*parts))
+        rid, doc, pos, n_left, n_right, both, own_rid, own_pos, own_mask = _concat(list(frame["blob"]), ())
         mask = repeated_windows(doc, both[:, :SPAN], both[:, SPAN:], n_left, n_right)
         found = mask > 0
-        return _by_row(np.concatenate([rid[found], own_rid]), np.concatenate([pos[found], own_pos]), np.concatenate([mask[found], own_mask]))
+        return _by_group(np.concatenate([rid[found], own_rid]), np.concatenate([pos[found], own_pos]), np.concatenate([mask[found], own_mask]))
+
+    sent = packed.join(hashes, "g").mapInArrow(send, "bucket int, blob binary")
+    return sent.groupBy("bucket").applyInPandas(match, "g long, blob binary").groupBy("g").agg(F.collect_list("blob").alias("blobs"))
 
-    joined = originals.join(hashes, "rid").select("rid", "doc", "blobs", "z")
-    sent = joined.mapInArrow(send, "bucket int, blob binary")
-    return sent.groupBy("bucket").applyInPandas(match, "rid long, blob binary").groupBy("rid").agg(F.collect_list("blob").alias("blobs"))
+
+def _with_row(rid: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return key ^ (rid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def keep_mask(size: int, pos: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Which bytes stay, given anchors' positions and masks of windows to remove."""
-    edge = np.zeros(size + 1, np.int64)
-    for o in range(SPAN + 1):
-        start = pos[(mask >> np.uint32(o)) & np.uint32(1) > 0] - o
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + MINIMUM, -1)
+    start = np.concatenate([pos[(mask >> np.uint32(o)) & np.uint32(1) > 0] - o for o in range(SPAN + 1)])
+    edge = np.bincount(start, minlength=size + 1) - np.bincount(start + MINIMUM, minlength=size + 1)
     return np.cumsum(edge)[:size] == 0
 
 
@@ -345,47 +377,71 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())], names=["rid", "doc", "size", "sha"])
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+        group: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            rids, ids, texts = zip(*group)
+            row = (rids[0] >> GROUP, rids, ids, [len(t) for t in texts], zstandard.compress(b"".join(texts), 3))
+            group.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=["g", "rids", "docs", "sizes", "z"])
+
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([zstandard.compress(t, 3) for t in batch.column(2).to_pylist()], pa.binary())], names=["rid", "doc", "z"])
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if group and group[0][0] >> GROUP != row[0] >> GROUP:
+                    yield flush()
+                if row[1] is not None and len(row[2]) >= MINIMUM:
+                    group.append(row)
+        if group:
+            yield flush()
 
     source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc"), utf8(text_col).alias("t"))
     rows = cut(source.mapInArrow(digest, "rid long, doc long, size long, sha binary"))
     lowest = cut(rows.where("doc is not null").groupBy("sha").agg(F.min("doc").alias("lowest")))
     flagged = rows.join(lowest, "sha", "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("lowest"), F.lit(False)))
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     buckets = max(spark.sparkContext.defaultParallelism, -(-total // BUCKET))
+    bits = (buckets - 1).bit_length()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * BUCKET)))
 
-    originals = flagged.where(f"not copy and doc is not null and size >= {MINIMUM}").select("rid")
-    packed = source.mapInArrow(shrink, "rid long, doc long, z binary").repartition(parts, "rid")
-    packed = cut(packed.join(originals.repartition(parts, "rid"), "rid"))  # stays dealt by rid: later joins move only their other side
-    hashes = shared_hashes(packed, buckets)
+    copied = flagged.where(f"copy and size >= {MINIMUM}").groupBy(F.shiftright("rid", GROUP).alias("g")).agg(F.collect_list("rid").alias("gone"))
+    packed = source.mapInArrow(shrink, "g long, rids array<long>, docs array<long>, sizes array<long>, z binary")
+    # Stays dealt by group: later joins move only their other side.
+    packed = cut(packed.repartition(parts, "g").join(copied.repartition(parts, "g"), "g", "left"))
+    hashes = shared_hashes(packed, bits)
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            joined, _, at, _ = anchors([zstandard.decompress(z) for z in batch.column(0).to_pylist()])
-            grams = [joined[a : a + K].tobytes() for a in at[:: max(1, len(at) // 20_000)].tolist()]
+            grams = []
+            for group in batch.to_pylist():
+                joined, _, at, _ = anchors([r[-1] for r in _rows(group)])
+                grams += [joined[a : a + K].tobytes() for a in at[:: max(1, len(at) // 200)].tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(grams, pa.binary())], names=["gram"])
 
-    sample = packed.orderBy(F.xxhash64("rid")).limit(SAMPLED).select("z").mapInArrow(leading, "gram binary").toPandas()
+    sample = packed.join(F.broadcast(least_hashes(packed.select("g"), SAMPLED, count >> GROUP, "g")), "g", "left_semi").mapInArrow(leading, "gram binary").toPandas()
     grams = np.sort(np.array([bytes(g) for g in sample["gram"]], f"S{K}"))
     splitters = np.unique(grams[(np.arange(1, buckets) * len(grams)) // buckets]) if len(grams) else grams
-    found = covered(packed, hashes, splitters)
+    found = covered(packed, hashes, splitters, bits)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for rid, blobs, z in zip(*(c.to_pylist() for c in batch.columns)):
-                text = np.frombuffer(zstandard.decompress(z), np.uint8)
-                pos, mask = (np.concatenate(x) for x in zip(*map(_unpack, blobs)))
-                stays = keep_mask(len(text), pos, mask)
-                kept = text[stays].tobytes()
-                spans = int((~stays[:1]).sum() + np.count_nonzero(stays[:-1] & ~stays[1:]))
-                made.append((rid, len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+            for group in batch.to_pylist():
+                rids, pos, mask = _concat(group["blobs"], ())
+                order = np.argsort(rids, kind="stable")
+                rids, pos, mask = rids[order], pos[order], mask[order]
+                texts = {r[0]: r[2] for r in _rows(group)}
+                starts = _runs(rids)
+                for a, b in zip(starts, [*starts[1:], len(rids)]):
+                    text = np.frombuffer(texts[int(rids[a])], np.uint8)
+                    stays = keep_mask(len(text), pos[a:b], mask[a:b])
+                    kept = text[stays].tobytes()
+                    spans = int((~stays[:1]).sum() + np.count_nonzero(stays[:-1] & ~stays[1:]))
+                    made.append((int(rids[a]), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made) if made else [()] * 5, kinds)], names=["rid", "removed", "spans", "kept_sha", "kept"])
 
-    cleaned = packed.join(found, "rid").select("rid", "blobs", "z").mapInArrow(finish, "rid long, removed long, spans long, kept_sha string, kept binary")
+    cleaned = packed.join(found, "g").mapInArrow(finish, "rid long, removed long, spans long, kept_sha string, kept binary")
     whole = F.col("copy") & (F.col("size") >= MINIMUM)
     out = flagged.join(cleaned, "rid", "left").select(
         "rid",
