@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytewren.llm.common import bound_batches, utf8
+from bytewren.llm.common import bound_batches, least_hashes, utf8
 
 #: Sizes of the model: n-grams in bytes, rows and width of the table, words in a window and between windows.
 GRAMS, ROWS, WIDTH, WINDOW, STRIDE = (3, 4, 5), 1 << 17, 12, 8, 4
 #: Labelled rows that the fit reads at most, of either label, and bytes of their texts in all. A bound on the sample, not on what is scored.
-SAMPLE, SAMPLE_BYTES = 4500, 48 << 20
+SAMPLE, SAMPLE_BYTES = 3000, 16 << 20
 EPOCHS, RATE, SEED = 60, 0.5, 7
 #: Log odds of a text about which nothing is known, as an empty one; a fixed prior, so that words must make a text toxic.
 PRIOR = -2.0
@@ -41,10 +41,10 @@ def words(text: bytes) -> list[bytes]:
 def bags(words: list[bytes], rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """(row of each n-gram, number of its word), words in order; a word with borders has at least one n-gram."""
     if not words:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int32), np.empty(0, np.int32)
     buf = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
     space = buf == 32
-    word = np.cumsum(space) - 1  # a border belongs to the word after it
+    word = (np.cumsum(space) - 1).astype(np.int32)  # a border belongs to the word after it
     found_rows, found_words = [], []
     mixed = np.zeros(len(buf), np.uint64)
     inner = np.zeros(len(buf), bool)  # a border inside the n-gram
@@ -58,7 +58,7 @@ def bags(words: list[bytes], rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
             inner = inner[:m] | space[n - 2 : n - 2 + m]
         if n in GRAMS:
             at = np.flatnonzero(~inner[:m])
-            found_rows.append((mixed[at] >> np.uint64(40)).astype(np.int64) % rows)
+            found_rows.append(((mixed[at] >> np.uint64(40)) % np.uint64(rows)).astype(np.int32))
             found_words.append(word[at])
     return np.concatenate(found_rows), np.concatenate(found_words)
 
@@ -122,7 +122,7 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     for epoch in range(EPOCHS):
         side = soft[:, 1] - soft[:, 0]
-        gram = table @ side
+        gram = table @ side  # one number for an n-gram, so that no n-gram's embedding is ever gathered
         word = np.bincount(of, gram[rows], len(number)) / size
         total = np.concatenate([[0.0], np.cumsum(word[flat])])
         if epoch < 3:  # all of a text first; its most toxic window once n-grams differ
@@ -159,7 +159,8 @@ def fold(id_col: str = "doc_id", folds: int = 5):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` rows of either label outside fold 0, taken by the least hash of the id. Null labels are no labels."""
     known = labels.where(F.col(label_col).isin(0, 1) & (fold(id_col) != 0)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
-    chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
+    count = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    chosen = [least_hashes(known.where(F.col("y") == y), sample, count.get(y, 0), "id") for y in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]))  # 2 * sample rows at most
     texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).join(chosen, "id").groupBy("id").agg(F.min("t").alias("t"), F.first("y").alias("y"))
     rows, size = [], 0
