@@ -30,7 +30,7 @@ from bytewren.llm.common import bound_batches, table, utf8
 #: Words that are units of their own, suffix units, classes, and sweeps of the exchange at most.
 OWN, SUFFIXES, CLASSES, SWEEPS = 1000, 128, 48, 12
 #: Words whose counts are broadcast, and distinct words that a task holds before it hands them on.
-HEAD, HELD = 32_768, 400_000
+HEAD, HELD = 32_768, 250_000
 #: Prior weight of a class's share in its transitions; taken off each count of a rare word for the unseen ones.
 PRIOR, DISCOUNT = 20.0, 0.6
 
@@ -66,7 +66,8 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
             joint[a] -= r
             joint[:, a] -= l
             joint[a, a] -= own
-            rows, cols = joint.sum(1), joint.sum(0)
+            # Neighbours' pairs with the unit count for their classes wherever it goes.
+            rows, cols = joint.sum(1) + l, joint.sum(0) + r
             gain = (_f(joint + r) - _f(joint)).sum(1) + (_f(joint.T + l) - _f(joint.T)).sum(1)
             d = joint.diagonal()
             gain += _f(d + r + l + own) + _f(d) - _f(d + r) - _f(d + l)
@@ -133,6 +134,20 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("t").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def commonest(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """All words of at least some count, HEAD at most, the commonest first; the count comes from a histogram of its logarithm."""
+    level = F.floor(F.log2("c") * 64)
+    least, n = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):  # at most 64 levels for a doubling
+        if n + r["n"] > HEAD:
+            break
+        least, n = r["level"], n + r["n"]
+    if least is None:
+        return []
+    rows = counts.where(level >= least).collect()
+    return sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 def unit_bigrams(texts: DataFrame, own: dict[bytes, int]) -> np.ndarray:
     """Counts of (unit, next unit) over whole texts, which begin after an end and finish with one."""
     units = OWN + 1 + SUFFIXES
@@ -165,7 +180,7 @@ def unit_bigrams(texts: DataFrame, own: dict[bytes, int]) -> np.ndarray:
 def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and a table (word, c, inside, base) of the words outside HEAD, written to the checkpoint folder."""
     counts = table(word_counts(texts))
-    head = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
+    head = commonest(counts)
     n_texts = texts.count()
     total = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     tokens, distinct = total["n"] + n_texts, total["v"] + (n_texts > 0)
