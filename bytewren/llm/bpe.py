@@ -15,6 +15,7 @@ import base64
 import hashlib
 from collections.abc import Iterable
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from bytewren.llm.common import map_rows, utf8
 
 #: Arcs, states and spellings are forgotten beyond these numbers and made again; results don't depend on them.
 MOST_STATES, MOST_PIECES, MOST_PAIRS = 200_000, 300_000, 500_000
+#: The same, as a share, for workers that have held other stages' data before: more is made again, in less memory.
+LEAN = 0.15
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -45,8 +48,9 @@ def merge(piece: bytes, ranks: dict[bytes, int], least: int = 1) -> list[int]:
 class Transducer:
     """Encodes byte strings to token ids; one instance serves any number of texts."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
+    def __init__(self, ranks: dict[bytes, int], room: float = 1.0) -> None:
         self.ranks = ranks
+        self.most_states, self.most_pairs = int(MOST_STATES * room), int(MOST_PAIRS * room)
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.child: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
@@ -88,7 +92,7 @@ class Transducer:
         known = self.beside.get(pair)
         if known is not None:
             return known
-        if len(self.beside) > MOST_PAIRS:
+        if len(self.beside) > self.most_pairs:
             self.beside.clear()
         fits = self._may_follow(-1, token)
         made_before = 1 << 60  # unions of at least this rank come too late
@@ -123,11 +127,19 @@ class Transducer:
         if ended is None:
             raise ValueError("the vocabulary lacks a single byte")
         kept.append(ended)
-        n = min(len(due) for _, _, due in kept)
-        while n and any(due[:n] != kept[0][2][:n] for _, _, due in kept):
-            n -= 1
-        out = kept[0][2][:n]
-        target = tuple((node, last, due[n:]) for node, last, due in kept)
+        out = kept[0][2]  # what all hypotheses begin with is certain
+        for _, _, due in kept:
+            if due[: len(out)] != out:
+                n = 0
+                for a, b in zip(out, due):
+                    if a != b:
+                        break
+                    n += 1
+                out = out[:n]
+            if not out:
+                break
+        n = len(out)
+        target = tuple([(node, last, due[n:]) for node, last, due in kept]) if n else tuple(kept)
         to = self.states.get(target)
         if to is None:
             to = self.states[target] = len(self.members)
@@ -140,7 +152,7 @@ class Transducer:
         """Token ids of a piece that no pre-tokeniser cut crosses, as repeated merging would give them."""
         if piece in self.ranks:
             return [self.ranks[piece]]
-        if len(self.members) > MOST_STATES:
+        if len(self.members) > self.most_states:
             self.forget()
         arcs, state, out = self.arcs, 0, []
         for byte in piece:
@@ -154,8 +166,9 @@ class Transducer:
 class Encoder:
     """Whole texts to ids: pieces by the pattern, each through the transducer, spellings remembered."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.transducer, self.pieces = Transducer(ranks), regex.compile(pattern).findall
+    def __init__(self, ranks: dict[bytes, int], pattern: str, room: float = 1.0) -> None:
+        self.transducer, self.pieces = Transducer(ranks, room), regex.compile(pattern).findall
+        self.most_pieces = int(MOST_PIECES * room)
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
 
@@ -167,7 +180,7 @@ class Encoder:
 
     def decimal(self, text: str) -> str:
         """The ids in decimal, joined by one space."""
-        if len(self.known) > MOST_PIECES:
+        if len(self.known) > self.most_pieces:
             self.older, self.known = self.known, {}
         known, spell = self.known, self._spell
         return " ".join([known.get(p) or spell(p) for p in self.pieces(text)])
@@ -259,15 +272,16 @@ class Decoder:
         return "".join(out) + self.finish()
 
 
-_made: dict[tuple[str, str], tuple[Encoder, Decoder]] = {}
+_made: dict[tuple[str, str, float], tuple[Encoder, Decoder]] = {}
 
 
-def codec(path: str, pattern: str) -> tuple[Encoder, Decoder]:
-    """The worker's encoder and decoder; a reused worker keeps what it has learned."""
-    if (path, pattern) not in _made:
+def codec(path: str, pattern: str, room: float = 1.0) -> tuple[Encoder, Decoder]:
+    """The worker's encoder and decoder; a reused worker keeps what it has learned. room: share of the usual memory."""
+    if (path, pattern, room) not in _made:
         ranks = load_ranks(path)
-        _made[path, pattern] = Encoder(ranks, pattern), Decoder({i: t for t, i in ranks.items()})
-    return _made[path, pattern]
+        encoder = Encoder(ranks, pattern, room)
+        _made[path, pattern, room] = encoder, Decoder(encoder.transducer.bytes_of)
+    return _made[path, pattern, room]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,11 +324,11 @@ def tokenised(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """(id, n_tokens, ids, decoded_sha256) per row: what training reads, and the digest of the text decoded from the ids."""
 
     def make():
-        encoder, decoder = codec(path, pattern)
+        encoder, decoder = codec(path, pattern, LEAN)
 
         def row(values: tuple) -> tuple:
             decimal = encoder.decimal(values[1].decode("utf-8", "replace"))
-            ids = list(map(int, decimal.split()))
+            ids = np.array(decimal.split(), np.int32)
             return values[0], len(ids), ids, hashlib.sha256(decoder.decode_decimal(decimal).encode()).hexdigest()
 
         return row
