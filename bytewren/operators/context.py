@@ -30,7 +30,7 @@ def prior_cost(n_hit: Column, n_ctx: Column) -> Column:
     return -F.log2((n_hit + 0.5) / (n_ctx + 128.0))
 
 
-def order_k_costs(df: DataFrame, id_col: str, content_col: str, k: int, limit: int) -> DataFrame:
+def order_k_costs(df: DataFrame, id_col: str, content_col: str, k: int, limit: int = 0) -> DataFrame:
     """(stream_id, n, bits): cost of each stream under order-k counts seen so far."""
     each = prior_counts(grams(streams(df, id_col, content_col, limit), k), "ctx")
     return each.groupBy("stream_id").agg(F.count("*").alias("n"), F.sum(prior_cost(F.col("n_hit"), F.col("n_ctx"))).alias("bits"))
@@ -87,7 +87,7 @@ def entropy_scale(entropy: Column, scale: float = 1.0) -> Column:
     return F.greatest(F.lit(0.2), F.least(F.lit(2.5), 0.4 + 0.6 * entropy / 5.5)) * scale
 
 
-def match_candidates(df: DataFrame, id_col: str, content_col: str, limit: int) -> DataFrame:
+def match_candidates(df: DataFrame, id_col: str, content_col: str, limit: int = 0) -> DataFrame:
     """(stream_id, pos, len, source): for each position up to four latest earlier positions after an equal context of each length.
 
     ``pos`` is the position to predict; contexts are exact bytes, so a candidate

@@ -9,18 +9,15 @@ from bytewren.operators import context as cx
 from bytewren.plans.registry import BYTES, query, read
 from bytewren.sources.streams import explode_bytes
 
-#: The ordered window queries look at so many bytes of each document, as the reference's byte limit does.
-LIMIT = 2000
-
 
 @query(
-    f"""WITH {BYTES}, g AS (SELECT stream_id, pos, lag(b) OVER (PARTITION BY stream_id ORDER BY pos) AS c, b FROM b WHERE pos < {LIMIT}),
+    f"""WITH {BYTES}, g AS (SELECT stream_id, pos, lag(b) OVER (PARTITION BY stream_id ORDER BY pos) AS c, b FROM b),
     n AS (SELECT stream_id, count(*) OVER (PARTITION BY stream_id, c ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n,
       count(*) OVER (PARTITION BY stream_id, c, b ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM g WHERE c IS NOT NULL)
     SELECT stream_id, count(*) AS n, round(sum(-log2((h + 0.5) / (n + 128.0))), 4) AS bits FROM n GROUP BY stream_id"""
 )
 def order_1_prior_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    costs = cx.order_k_costs(read(spark, sf_dir, "documents"), "doc_id", "text", 1, LIMIT)
+    costs = cx.order_k_costs(read(spark, sf_dir, "documents"), "doc_id", "text", 1)
     return costs.select("stream_id", "n", F.round("bits", 4).alias("bits"))
 
 
@@ -82,28 +79,28 @@ def ngram_standalone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("role", "k", "ctx", "token", F.round(cx.standalone_logit(F.col("n"), F.col("total"), F.col("v")), 6).alias("logit"))
 
 
-_MATCH_LIMIT = 500
-
-
 def _match_sql(tail: str) -> str:
-    keys = " UNION ALL ".join(f"SELECT doc_id AS stream_id, p AS pos, {m} AS len, substr(h, 2 * (p - {m}) + 1, {2 * m}) AS ctx FROM t WHERE p >= {m}" for m in cx.LENGTHS)
+    """Contexts of 4 bytes as a number; of 8, 16 and 32 as pairs of the one half as long."""
     lags = " UNION ALL ".join(f"SELECT stream_id, pos, len, lag(pos, {i}) OVER w AS source FROM k WINDOW w AS (PARTITION BY stream_id, len, ctx ORDER BY pos)" for i in range(1, cx.CANDIDATES + 1))
-    return f"""WITH {BYTES}, d AS (SELECT doc_id, substr(hex(encode(text)), 1, {2 * _MATCH_LIMIT}) AS h FROM documents), t AS (SELECT doc_id, h, unnest(range(length(h) // 2)) AS p FROM d),
-    k AS ({keys}), c AS (SELECT * FROM ({lags}) WHERE source IS NOT NULL AND source + 1 < pos), m AS (SELECT stream_id, pos, max(len) AS match_len FROM c GROUP BY ALL) {tail}"""
+    longer = ", ".join(f"k{2 * n} AS (SELECT *, lag(c{n}, {n}) OVER (PARTITION BY stream_id ORDER BY pos) || ' ' || c{n} AS c{2 * n} FROM k{n})" for n in (4, 8, 16))
+    keys = " UNION ALL ".join(f"SELECT stream_id, pos, {m} AS len, md5(c{m}) AS ctx FROM k32 WHERE pos >= {m}" for m in cx.LENGTHS)
+    return f"""WITH {BYTES}, l AS (SELECT stream_id, pos, lag(b, 1) OVER w AS l1, lag(b, 2) OVER w AS l2, lag(b, 3) OVER w AS l3, lag(b, 4) OVER w AS l4 FROM b WINDOW w AS (PARTITION BY stream_id ORDER BY pos)),
+    k4 AS (SELECT stream_id, pos, CAST(((CAST(l4 AS BIGINT) * 256 + l3) * 256 + l2) * 256 + l1 AS VARCHAR) AS c4 FROM l), {longer}, k AS ({keys}),
+    c AS (SELECT * FROM ({lags}) WHERE source IS NOT NULL AND source + 1 < pos), m AS (SELECT stream_id, pos, max(len) AS match_len FROM c GROUP BY ALL) {tail}"""
 
 
 @query(_match_sql("SELECT stream_id, count(*) AS hits, CAST(sum(match_len) AS BIGINT) AS total_len, max(match_len) AS longest FROM m GROUP BY stream_id"))
 def longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest context of 4 to 32 bytes that occurred before, over the first 500 bytes of each document."""
-    found = cx.longest_matches(cx.match_candidates(read(spark, sf_dir, "documents"), "doc_id", "text", _MATCH_LIMIT))
+    """Longest context of 4 to 32 bytes that occurred before in the document."""
+    found = cx.longest_matches(cx.match_candidates(read(spark, sf_dir, "documents"), "doc_id", "text"))
     return found.groupBy("stream_id").agg(F.count("*").alias("hits"), F.sum("match_len").alias("total_len"), F.max("match_len").alias("longest"))
 
 
-@query(_match_sql(f", n AS (SELECT doc_id AS stream_id, length(h) // 2 AS n FROM d), a AS (SELECT stream_id, count(*) AS hits, avg(match_len) AS l FROM m GROUP BY stream_id) SELECT n.stream_id, round(coalesce(hits, 0) / greatest(n, 1), 6) AS hit_rate, round(coalesce(l, 0), 6) AS mean_len FROM n LEFT JOIN a USING (stream_id)"))
+@query(_match_sql(f", n AS (SELECT doc_id AS stream_id, octet_length(encode(text)) AS n FROM documents), a AS (SELECT stream_id, count(*) AS hits, avg(match_len) AS l FROM m GROUP BY stream_id) SELECT n.stream_id, round(coalesce(hits, 0) / greatest(n, 1), 6) AS hit_rate, round(coalesce(l, 0), 6) AS mean_len FROM n LEFT JOIN a USING (stream_id)"))
 def match_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    found = cx.longest_matches(cx.match_candidates(docs, "doc_id", "text", _MATCH_LIMIT)).groupBy("stream_id").agg(F.count("*").alias("hits"), F.avg("match_len").alias("l"))
-    sizes = docs.select(F.col("doc_id").alias("stream_id"), F.least(F.octet_length("text"), F.lit(_MATCH_LIMIT)).alias("n"))
+    found = cx.longest_matches(cx.match_candidates(docs, "doc_id", "text")).groupBy("stream_id").agg(F.count("*").alias("hits"), F.avg("match_len").alias("l"))
+    sizes = docs.select(F.col("doc_id").alias("stream_id"), F.octet_length("text").alias("n"))
     joined = sizes.join(found, "stream_id", "left")
     return joined.select("stream_id", F.round(F.coalesce("hits", F.lit(0)) / F.greatest("n", F.lit(1)), 6).alias("hit_rate"), F.round(F.coalesce("l", F.lit(0.0)), 6).alias("mean_len"))
 
@@ -112,6 +109,6 @@ def match_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     p AS (SELECT stream_id, pos, match_len, (sum(CASE WHEN vote = b THEN match_len ELSE 0 END) + {cx.SMOOTH}) / (sum(match_len) + {256 * cx.SMOOTH}) AS p FROM v GROUP BY ALL) SELECT stream_id, count(*) AS n, round(sum(-log2(p)), 4) AS bits FROM p GROUP BY stream_id"""))
 def match_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    found = cx.longest_matches(cx.match_candidates(docs, "doc_id", "text", _MATCH_LIMIT))
-    probs = cx.match_distribution(found, explode_bytes(docs, "doc_id", "text", _MATCH_LIMIT))
+    found = cx.longest_matches(cx.match_candidates(docs, "doc_id", "text"))
+    probs = cx.match_distribution(found, explode_bytes(docs, "doc_id", "text"))
     return probs.groupBy("stream_id").agg(F.count("*").alias("n"), F.round(F.sum(-F.log2("p")), 4).alias("bits"))

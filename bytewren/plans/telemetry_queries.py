@@ -135,17 +135,17 @@ def clock_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", tm.clock_label(F.col("ts").cast("timestamp")).alias("label"))
 
 
-_V = f"""w AS (SELECT unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS w FROM conversations), c AS (SELECT w, count(*) AS n FROM w GROUP BY w), t AS (SELECT hex(encode(w)) AS h, n / sum(n) OVER () AS p FROM c),
-    x AS (SELECT h, p, unnest(range(0, length(h) // 2 + 1)) AS d FROM t WHERE p >= {trie.LEAST}), m AS (SELECT substr(h, 1, 2 * d) AS prefix, sum(p) AS mass FROM x GROUP BY 1)"""
+_V = f"""w AS (SELECT unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS w FROM conversations), c AS (SELECT w, count(*) AS n FROM w GROUP BY w), t AS (SELECT hex(encode(w)) AS h, n, n / sum(n) OVER () AS p FROM c),
+    x AS (SELECT h, n, p, unnest(range(0, length(h) // 2 + 1)) AS d FROM t WHERE p >= {trie.LEAST}), m AS (SELECT substr(h, 1, 2 * d) AS prefix, sum(p) AS mass, sum(n) AS count FROM x GROUP BY 1)"""
 
 
 def _vocabulary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The conversations' words as a vocabulary, and their shares."""
+    """The conversations' words as a vocabulary, and their shares and counts."""
     talk = read(spark, sf_dir, "conversations").select(F.explode(F.split("text", " ")).alias("w")).where("w <> ''")
     counts = talk.groupBy("w").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("all"))
-    named = counts.join(F.broadcast(total)).select(F.col("w").alias("token_id"), F.col("w").cast("binary").alias("bytes"), (F.col("n") / F.col("all")).alias("p"))  # one row
-    return named.select("token_id", "bytes"), named.select("token_id", "p")
+    named = counts.join(F.broadcast(total)).select(F.col("w").alias("token_id"), F.col("w").cast("binary").alias("bytes"), (F.col("n") / F.col("all")).alias("p"), "n")  # one row
+    return named.select("token_id", "bytes"), named.select("token_id", "p", "n")
 
 
 @query(f"WITH {_V} SELECT prefix, round(mass, 9) AS mass FROM m")
@@ -158,9 +158,11 @@ def trie_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.node_count(_vocabulary(spark, sf_dir)[0])
 
 
-@query(f"WITH {_V}, k AS (SELECT substr(prefix, 1, length(prefix) - 2) AS prefix, CAST('0x' || right(prefix, 2) AS INTEGER) AS b, mass AS mm FROM m WHERE prefix <> '') SELECT k.prefix, b, round(mm / mass, 6) AS p FROM k JOIN m USING (prefix)")
+@query(f"WITH {_V}, k AS (SELECT substr(prefix, 1, length(prefix) - 2) AS prefix, CAST('0x' || right(prefix, 2) AS INTEGER) AS b, count AS mm FROM m WHERE prefix <> '') SELECT k.prefix, b, round(mm / count, 6) AS p FROM k JOIN m USING (prefix)")
 def trie_byte_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trie.byte_probs(trie.prefix_mass(*_vocabulary(spark, sf_dir))).select(F.hex("prefix").alias("prefix"), "b", F.round("p", 6).alias("p"))
+    words, probs = _vocabulary(spark, sf_dir)
+    counts = probs.where(F.col("p") >= trie.LEAST).select("token_id", F.col("n").cast("double").alias("p"))  # whole numbers add up exactly
+    return trie.byte_probs(trie.prefix_mass(words, counts, 0)).select(F.hex("prefix").alias("prefix"), "b", F.round("p", 6).alias("p"))
 
 
 @query(f"""WITH {BYTES}, h AS (SELECT lang, b, count(*) AS n FROM b JOIN documents ON doc_id = stream_id GROUP BY ALL), a AS (SELECT unnest([32, 101, 195]) AS target), j AS (SELECT unnest(range(8)) AS j)
