@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bytewren.functions import hashes
 from bytewren.functions import vectors as v
 from bytewren.operators import backbone, coder, predictors
 from bytewren.plans.registry import BYTES, query, read
-from bytewren.sources import tensors, vocabulary
+from bytewren.sources import telemetry, tensors, vocabulary
 from bytewren.streaming import folds
 
 
@@ -176,3 +177,35 @@ def streaming_cm_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = folds.read_stream(spark, read(spark, sf_dir, "conversations"), f"{sf_dir}/conversations.parquet")
     out = folds.run_once(folds.fold_costs(stream, "conv_id", "turn", "text"), "update", _folder(spark))
     return out.select("stream_id", "n_bytes", F.round("bits", 3).alias("bits"))
+
+
+@query(
+    f"""WITH {BYTES}, l AS (SELECT stream_id, list(b ORDER BY pos) AS bs FROM b GROUP BY stream_id)
+    SELECT doc_id AS stream_id, lpad(lower(hex(CAST(CASE WHEN bs IS NULL THEN CAST('14695981039346656037' AS UHUGEINT)
+      ELSE list_reduce(list_prepend(CAST('14695981039346656037' AS UHUGEINT), list_transform(bs, lambda x: CAST(x AS UHUGEINT))), lambda h, x: (xor(h, x) * CAST(1099511628211 AS UHUGEINT)) % CAST('18446744073709551616' AS UHUGEINT)) END AS UBIGINT))), 16, '0') AS fnv
+    FROM documents LEFT JOIN l ON stream_id = doc_id"""
+)
+def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64-bit FNV-1a of whole texts: wrapping multiplication, which SQL's checked arithmetic hasn't."""
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream_id"), hashes.fnv1a_hex(text).alias("fnv"))
+
+
+@query()
+def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", hashes.fingerprint_hex(F.col("html").cast("binary")).alias("fingerprint"))
+
+
+@query("SELECT doc_id, text AS shown, CAST(octet_length(encode(text)) AS INTEGER) AS n FROM documents")
+def lossy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", hashes.lossy_text(F.col("text").cast("binary")).alias("shown"), F.octet_length("text").alias("n"))
+
+
+@query()
+def telemetry_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context-mixing costs of the passages as log records, one for each passage, cumulative in the order of ids."""
+    made = predictors.fold_streams(_passages(spark, sf_dir), "id", "text", match=True)
+    order = Window.orderBy("stream_id").rowsBetween(Window.unboundedPreceding, 0)  # a run is one stream of records, a row for each passage
+    total = made.select("*", F.sum("n_bytes").over(order).alias("bytes"), F.sum("bits").over(order).alias("all_bits"))
+    windows = total.select("bytes", (F.col("all_bits") / F.col("bytes")).alias("bpb"), (F.col("bits") / F.col("n_bytes")).alias("bpb_w"), F.transform("bit_costs", lambda c: c / F.col("n_bytes")).alias("bit_costs"), "match_hits", (F.col("match_len") / F.greatest("match_hits", F.lit(1))).alias("match_avg_len"))
+    return telemetry.hybrid_records(windows, F.lit(1.0))

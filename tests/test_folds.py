@@ -171,3 +171,27 @@ def test_backbone():
     both = backbone.Average([backbone.Recurrent(), backbone.Recurrent(weights=backbone.random_weights(backbone.Config(), 1))])
     assert both.byte_probs() == pytest.approx(np.full(256, 1 / 256))
     assert backbone.Config.of_name("x-0.4B").layers == 24
+
+
+def test_hashes():
+    from bytewren.functions import hashes
+
+    assert hashes.fnv1a(b"") == 0xCBF29CE484222325 and hashes.fnv1a(b"a") == 0xAF63DC4C8601EC8C
+    assert len(hashes.fingerprint(b"abc")) == 32 and hashes.fingerprint(b"abcdef", 3) == hashes.fingerprint(b"abc")
+    assert hashes.fnv1a_tokens([97]) == hashes.fnv1a(b"a")
+    numbers = hashes.lcg(42, 1000)
+    assert all(-1 <= x < 1 for x in numbers) and abs(sum(numbers)) < 100
+
+
+def test_snapshot(spark, tmp_path):
+    from bytewren.sources import telemetry
+
+    data = telemetry.write_snapshot({"bpb_final": 1.5, "input_path": 'a "quoted" path'}, {1: b"mixer", 9: b""})
+    assert telemetry.read_snapshot(data) == ({"bpb_final": 1.5, "input_path": 'a "quoted" path'}, {1: b"mixer", 9: b""})
+    for bad in (b"", data[:-1], data[:20], b"X" + data[1:]):
+        with pytest.raises(ValueError):
+            telemetry.read_snapshot(bad)
+    log = tmp_path / "run.jsonl"
+    log.write_text('{"ts":"1","sec":1.0,"bytes":100,"bpb":2.5,"bpb_w":2.5,"bps":100,"bit_costs":[0.1,0.2],"match_hits":3,"match_avg_len":4.5}\n')
+    row = telemetry.read_log(spark, str(log)).first()
+    assert row.bytes == 100 and row.bit_costs == [0.1, 0.2] and row.file.endswith("run.jsonl")
