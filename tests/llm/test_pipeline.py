@@ -2,6 +2,9 @@
 
 import hashlib
 
+import duckdb
+import pytest
+
 import corpus_pipeline
 from bytewren.llm import queries, simhash, toxicity
 
@@ -37,3 +40,25 @@ def test_every_operator_has_one_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11))
     assert set(queries.SQL) <= set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    want = con.sql(queries.SQL[name]).df()
+    got = queries.QUERIES[name](spark, DATA).toPandas()
+    key = got.columns[0]
+    assert sorted(got.columns) == sorted(want.columns)
+    got, want = (x[sorted(x.columns)].sort_values(key).reset_index(drop=True) for x in (got, want))
+    for column in got.columns:
+        assert (got[column] == want[column]).all(), column
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query_covers_its_table(spark, name):
+    table = "embeddings" if name.startswith("op5_") else "documents"
+    rows = spark.read.parquet(f"{DATA}/{table}.parquet").count()
+    found = queries.QUERIES[name](spark, DATA)
+    assert found.count() == rows == found.select(found.columns[0]).distinct().count()
