@@ -99,12 +99,11 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
         return Model(np.zeros(ROWS, np.float32), float(np.log(share / (1 - share))))
     # Every word once, with its n-grams; texts as numbers of words.
     number: dict[bytes, int] = {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in words(t)], np.int64) for t in texts]
-    docs = [d if len(d) else np.array([number.setdefault(b"", len(number))], np.int64) for d in docs]
+    docs = [np.array([number.setdefault(w, len(number)) for w in words(t) or [b""]], np.int32) for t in texts]
     rows, of = bags([w or b"\0" for w in number])
     size = np.maximum(1, np.bincount(of, minlength=len(number))).astype(np.float64)
-    flat = np.concatenate(docs)
     begin = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    flat, docs = np.concatenate(docs), None
     starts, ends, owner = [], [], []
     for k, (b, e) in enumerate(zip(begin, begin[1:])):
         s = np.arange(b, max(b + 1, e - WINDOW + STRIDE), STRIDE)
@@ -115,6 +114,7 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
     starts, ends, owner = map(np.concatenate, (starts, ends, owner))
     first = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])
 
+    slices = [(i, i + (1 << 20)) for i in range(0, max(1, len(rows)), 1 << 20)]  # so that no temporary is as long as all n-grams
     rng = np.random.default_rng(SEED)
     table = rng.uniform(-1, 1, (ROWS, WIDTH)) / WIDTH
     soft = rng.uniform(-1, 1, (WIDTH, 2)) / WIDTH
@@ -123,14 +123,14 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
     for epoch in range(EPOCHS):
         side = soft[:, 1] - soft[:, 0]
         gram = table @ side  # one number for an n-gram, so that no n-gram's embedding is ever gathered
-        word = np.bincount(of, gram[rows], len(number)) / size
+        word = sum(np.bincount(of[i:j], gram[rows[i:j]], len(number)) for i, j in slices) / size
         total = np.concatenate([[0.0], np.cumsum(word[flat])])
         if epoch < 3:  # all of a text first; its most toxic window once n-grams differ
             lo, hi = begin[:-1], begin[1:]
         else:
             value = (total[ends] - total[starts]) / (ends - starts)
             top = np.maximum.reduceat(value, first)
-            best = np.full(len(docs), len(value))
+            best = np.full(len(y), len(value))
             hit = np.flatnonzero(value == top[owner])
             np.minimum.at(best, owner[hit], hit)
             lo, hi = starts[best], ends[best]
@@ -141,7 +141,7 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
         part = error / (hi - lo)
         steps = np.bincount(lo, part, len(flat) + 1) - np.bincount(hi, part, len(flat) + 1)
         of_word = np.bincount(flat, np.cumsum(steps)[:-1], len(number)) / size
-        of_gram = np.bincount(rows, of_word[of], ROWS)
+        of_gram = sum(np.bincount(rows[i:j], of_word[of[i:j]], ROWS) for i, j in slices)
         grad_s = table.T @ np.stack([-of_gram, of_gram], axis=1)
         # AdaGrad; every embedding row has one rate.
         grow_t[:, 0] += (of_gram**2) * (side @ side)
