@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches handed to Python stay within these bounds, whatever the text length.
-BATCH_ROWS, BATCH_BYTES = 2000, 64 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
 
 
 #: The folder that holds the package.
@@ -72,6 +72,15 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows of a small table in one partition: fewer files for checkpoints and shuffles where there is little to do.
+ROWS_IN_PART = 20_000
+
+
+def parts_for(rows: int) -> int:
+    """Partitions for a table of so many short rows; coalescing to more than there are changes nothing."""
+    return rows // ROWS_IN_PART + 1
+
+
 def least_hashes(df: DataFrame, n: int, total: int, *keys: str) -> DataFrame:
     """The ``n`` rows with the least hash of their keys, of about ``total``.
 
@@ -147,14 +156,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     stars = cut(pairs.mapInArrow(contract, "u long, v long").distinct())
-    seen = None
+    seen: tuple | None = None
     while (state := stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()) != seen and state[0]:
         seen = state
+        parts = parts_for(state[0])
+        stars = stars.coalesce(parts)
         both = stars.union(stars.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct().coalesce(parts)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        stars = cut(small.union(low.select("u", F.col("m").alias("v"))).coalesce(parts).distinct().coalesce(parts))
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytewren.llm.common import bound_batches, connected_components, cut, unused, utf8
+from bytewren.llm.common import bound_batches, connected_components, cut, parts_for, unused, utf8
 
 SEED, SHINGLE, CHUNK = 42, 3, 1 << 15
 
@@ -74,12 +74,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its row but never names a component unless all ids of the component are null.
     """
     rows = cut(fingerprints(docs, id_col, text_col))
-    groups = cut(rows.groupBy("fp").agg(F.min("id").alias("low")))
+    parts = parts_for(rows.count())
+    groups = cut(rows.coalesce(parts).groupBy("fp").agg(F.min("id").alias("low")).coalesce(parts))
     found = connected_components(links(groups.select("fp")))
     named = groups.join(found, groups["fp"] == found["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
-    named = cut(named)
+    named = cut(named.coalesce(parts))
     lowest = named.groupBy("root").agg(F.min("low").alias("component"))
-    classes = cut(named.join(lowest, "root").select("fp", "component"))
+    classes = cut(named.join(lowest, "root").select("fp", "component").coalesce(parts))
     return rows.join(classes, "fp").select("id", "fp", "component")
 
 
