@@ -40,6 +40,8 @@ SPAN = MINIMUM - K  # K-grams besides the first in a window; context bytes on ei
 BUCKET, FLUSH, CHUNK, SAMPLED = 12 << 20, 24 << 20, 1 << 18, 1000
 #: Neighbouring rows travel as one: this many bits of the row id number a row in its group.
 GROUP = 6
+#: Bytes of joined texts whose windows are looked at together.
+PIECE = 8 << 20
 #: Bits of a hash below the bucket's that are compared; equal bits only make candidates.
 HASH_BITS = 40
 
@@ -81,16 +83,29 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     joined = np.frombuffer(b"".join(texts), np.uint8)
     if len(joined) < MINIMUM:
         return joined, *(np.empty(0, np.int64),) * 2, np.empty(0, np.uint64)
+    ends = np.cumsum(sizes)
+    found = []
+    for start in range(0, len(joined) - MINIMUM + 1, PIECE):  # windows that begin in the piece
+        found.append(start + _positions(joined[start : start + PIECE + MINIMUM - 1], ends - start))
+    at = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+    return joined, np.searchsorted(ends, at, "right"), at, np.concatenate([_hashes(joined[i : i + PIECE + K - 1])[at[(at >= i) & (at < i + PIECE)] - i] for i in range(0, len(joined) - K + 1, PIECE)])
+
+
+def _hashes(joined: np.ndarray) -> np.ndarray:
+    """A hash, never 0, of the K bytes from every position on."""
     w = _words(joined)
     m = len(joined) - K + 1
-    h = _mix(w[:m] * np.uint64(0x9E3779B97F4A7C15) + w[8 : 8 + m] * np.uint64(0xC2B2AE3D27D4EB4F) + w[16 : 16 + m] * np.uint64(0x165667B19E3779F9)) | np.uint64(1)
+    return _mix(w[:m] * np.uint64(0x9E3779B97F4A7C15) + w[8 : 8 + m] * np.uint64(0xC2B2AE3D27D4EB4F) + w[16 : 16 + m] * np.uint64(0x165667B19E3779F9)) | np.uint64(1)
+
+
+def _positions(joined: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where a window of MINIMUM bytes, all of one text, has its least K-gram; ``ends`` are the texts' ends."""
+    h = _hashes(joined)
     low = _slide(h, SPAN + 1, np.minimum)  # of the window that begins here
-    ends = np.cumsum(sizes)
-    for e in ends[:-1].tolist():  # windows across a border hold no string of a document
+    for e in ends[(ends > 0) & (ends < len(joined))].tolist():  # windows across a border hold no string of a text
         low[max(0, e - MINIMUM + 1) : e] = 0
     low = np.concatenate([np.zeros(SPAN, np.uint64), low, np.zeros(SPAN, np.uint64)])
-    at = np.flatnonzero(_slide(low, SPAN + 1, np.maximum)[:m] == h)
-    return joined, np.searchsorted(ends, at, "right"), at, h[at]
+    return np.flatnonzero(_slide(low, SPAN + 1, np.maximum)[: len(h)] == h)
 
 
 def _chunks(rows: list[tuple]) -> Iterator[list[tuple]]:
@@ -169,7 +184,7 @@ def _eight(x: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def shared_hashes(packed: DataFrame, bits: int) -> DataFrame:
+def shared_hashes(packed: DataFrame, bits: int, parts: int) -> DataFrame:
     """(g, blobs): keys of anchors that occur in two rows, by row; sent to 2 ** bits buckets by their leading bits."""
     down = np.uint64(max(0, 64 - bits - HASH_BITS))
     inside = np.uint64((1 << HASH_BITS) - 1)
@@ -216,8 +231,13 @@ def shared_hashes(packed: DataFrame, bits: int) -> DataFrame:
         bucket = np.uint64(frame["bucket"].iloc[0]) << np.uint64(HASH_BITS)
         return _by_group(np.concatenate([rid[found], own_rid]), np.concatenate([key[found], own]) | bucket)
 
-    sent = packed.mapInArrow(send, "bucket int, blob binary")
-    return sent.groupBy("bucket").applyInPandas(match, "g long, blob binary").groupBy("g").agg(F.collect_list("blob").alias("blobs"))
+    return _answers(packed.mapInArrow(send, "bucket int, blob binary"), 1 << bits, match, parts)
+
+
+def _answers(sent: DataFrame, buckets: int, match, parts: int) -> DataFrame:
+    """Each bucket's answers by group of rows. Tasks grow in number with the buckets, and the answers lie as the texts do."""
+    matched = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(match, "g long, blob binary")
+    return matched.repartition(parts, "g").groupBy("g").agg(F.collect_list("blob").alias("blobs"))
 
 
 def multikey_order(words: np.ndarray) -> np.ndarray:
@@ -295,7 +315,7 @@ def repeated_windows(doc: np.ndarray, left: np.ndarray, right: np.ndarray, n_lef
     return mask
 
 
-def covered(packed: DataFrame, hashes: DataFrame, splitters: np.ndarray, bits: int) -> DataFrame:
+def covered(packed: DataFrame, hashes: DataFrame, splitters: np.ndarray, bits: int, parts: int) -> DataFrame:
     """(g, blobs) of row ids, positions and masks for anchors with windows to remove, from the keys that rows share."""
     buckets = len(splitters) + 1
     down = np.uint64(max(0, 64 - bits - HASH_BITS))
@@ -347,8 +367,7 @@ def covered(packed: DataFrame, hashes: DataFrame, splitters: np.ndarray, bits: i
         found = mask > 0
         return _by_group(np.concatenate([rid[found], own_rid]), np.concatenate([pos[found], own_pos]), np.concatenate([mask[found], own_mask]))
 
-    sent = packed.join(hashes, "g").mapInArrow(send, "bucket int, blob binary")
-    return sent.groupBy("bucket").applyInPandas(match, "g long, blob binary").groupBy("g").agg(F.collect_list("blob").alias("blobs"))
+    return _answers(packed.join(hashes, "g").mapInArrow(send, "bucket int, blob binary"), buckets, match, parts)
 
 
 def _with_row(rid: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -408,7 +427,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packed = source.mapInArrow(shrink, "g long, rids array<long>, docs array<long>, sizes array<long>, z binary")
     # Stays dealt by group: later joins move only their other side.
     packed = cut(packed.repartition(parts, "g").join(copied.repartition(parts, "g"), "g", "left"))
-    hashes = shared_hashes(packed, bits)
+    hashes = shared_hashes(packed, bits, parts)
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -421,7 +440,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sample = packed.join(F.broadcast(least_hashes(packed.select("g"), SAMPLED, count >> GROUP, "g")), "g", "left_semi").mapInArrow(leading, "gram binary").toPandas()
     grams = np.sort(np.array([bytes(g) for g in sample["gram"]], f"S{K}"))
     splitters = np.unique(grams[(np.arange(1, buckets) * len(grams)) // buckets]) if len(grams) else grams
-    found = covered(packed, hashes, splitters, bits)
+    found = covered(packed, hashes, splitters, bits, parts)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

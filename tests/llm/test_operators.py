@@ -164,6 +164,19 @@ def test_suffix_dedup_on_shared_passages(spark):
     assert found == {k: [x[:4] for x in v] for k, v in plain_removal(rows).items()}
 
 
+def test_anchors_in_pieces(monkeypatch):
+    rng = random.Random(4)
+    texts = [bytes(rng.choice(b"abcd ") for _ in range(n)) for n in (0, 49, 50, 51, 700, 3, 2000, 60)]
+    whole = suffixes.anchors(texts)
+    monkeypatch.setattr(suffixes, "PIECE", 97)
+    assert all((a == b).all() for a, b in zip(whole, suffixes.anchors(texts)))
+    joined, text, at, _ = whole
+    begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    for k, t in enumerate(texts):  # every window holds an anchor with all of its K bytes
+        mine = at[text == k] - begin[k]
+        assert all(((mine >= p) & (mine + suffixes.K <= p + 50)).any() for p in range(len(t) - 49))
+
+
 def test_multikey_order():
     words = np.random.default_rng(0).integers(0, 3, (500, 4)).astype(np.uint64)
     order = suffixes.multikey_order(words)
