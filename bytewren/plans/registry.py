@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,5 +32,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: The folder that holds the package.
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table; Python workers are told where this package lies if the environment doesn't say so."""
+    if ROOT not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
