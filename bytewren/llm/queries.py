@@ -20,7 +20,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return simhash.near_duplicates(_docs(spark, sf_dir)).select(F.col("id").alias("doc_id"), hexed, F.col("component").alias("component_id"))
+    return simhash.fingerprint_duplicates(_docs(spark, sf_dir)).select(F.col("id").alias("doc_id"), hexed, F.col("component").alias("component_id"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,20 @@
-"""SimHash fingerprints and near-duplicate components by multi-index hashing.
+"""Near-duplicates: SimHash fingerprints by multi-index hashing, and similar sets of shingles.
 
 Two fingerprints within two bits differ in at most one bit of the upper half or
 in none of the lower half. So a Hamming ball of radius one around the upper half
 and one of radius zero around the lower half find every such pair; each hit is
 verified on all 64 bits inside the join, so that false candidates make no rows.
+
+Texts with a Jaccard similarity of 0.8 lie ten bits apart on average and up to
+twenty, where no segments of 64 bits help. They are found by prefixes instead:
+in any one order of all shingles, two such sets share a shingle among the first
+fifth of each. Commonest shingles come last, which only saves work. Hence no
+similar pair is missed.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,20 +23,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytewren.llm.common import bound_batches, connected_components, cut, parts_for, unused, utf8
+from bytewren.llm.common import bound_batches, connected_components, cut, parts_for, table, unused, utf8
 
 SEED, SHINGLE, CHUNK = 42, 3, 1 << 15
+#: Words of a shingle and least Jaccard similarity, in tenths, for copies of a text.
+WIDE, TENTHS = 5, 8
+#: Texts looked at for common shingles, and how many of them must hold one. They bear on the time only, not on the result.
+LOOKED_AT, COMMON = 4096, 3
+
+
+def shingles_of(text: bytes, width: int) -> list[bytes]:
+    """All runs of ``width`` words; of fewer words the one run there is."""
+    words = text.lower().split()  # bytes: only A-Z fold, only the six ASCII white-space bytes split
+    if len(words) < width:
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[i:] for i in range(width)))))
 
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     """The signed 64-bit SimHash of a UTF-8 text: majority bits of its shingles' XXH64; 0 without words."""
-    words = text.lower().split()  # bytes: only A-Z fold, only the six ASCII white-space bytes split
-    if not words:
+    shingles = shingles_of(text, width)
+    if not shingles:
         return 0
-    if len(words) < width:
-        shingles: list[bytes] = [b" ".join(words)]
-    else:
-        shingles = list(map(b" ".join, zip(*(words[i:] for i in range(width)))))
     ones = np.zeros(64, np.int64)
     for i in range(0, len(shingles), CHUNK):
         part = shingles[i : i + CHUNK]
@@ -66,7 +81,7 @@ def links(distinct: DataFrame) -> DataFrame:
     return upper.select("a", "b").union(lower.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, fp, component (smallest id reachable over links, itself included).
 
     Copies share a fingerprint and are joined through it, never paired. Texts
@@ -84,6 +99,93 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, "fp").select("id", "fp", "component")
 
 
+def shingle_set(text: bytes, width: int = WIDE) -> np.ndarray:
+    """The sorted XXH64 of a text's shingles, each once, as signed 64-bit numbers."""
+    shingles = shingles_of(text, width)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles)).view(np.int64))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *arrays]), pa.int64()))
+
+
+def common_shingles(texts: DataFrame) -> np.ndarray:
+    """Sorted hashes of the shingles that several texts of a sample hold (column t of UTF-8 bytes)."""
+    total = max(texts.count(), 1)
+    sample = texts.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(min(1.0, LOOKED_AT / total) * (1 << 30)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([_lists([shingle_set(t) for t in batch.column(0).to_pylist()]).flatten()], names=["h"])
+
+    rows = sample.select("t").mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON).select("h")
+    return np.sort(rows.toPandas()["h"].to_numpy(np.int64))
+
+
+def _sets(texts: DataFrame, common: np.ndarray) -> DataFrame:
+    """(id, tag, key, n, head) of (id, tag, t): a digest of the set of shingles, its size, and the first of it in an order with common ones last."""
+    sent = texts.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = sent.value
+        for batch in batches:
+            sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
+            keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
+            heads = []
+            for x in sets:
+                often = np.isin(x, common, assume_unique=True)
+                heads.append(np.concatenate([x[~often], x[often]])[: len(x) + 1 + -TENTHS * len(x) // 10])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), _lists(heads)], names=["id", "tag", "key", "n", "head"])
+
+    return texts.mapInArrow(run, "id long, tag long, key binary, n long, head array<long>")
+
+
+def _whole_sets(texts: DataFrame) -> DataFrame:
+    """(key, x) of (t): digest and all shingles of each set, once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()), _lists(sets)], names=["key", "x"])
+
+    return texts.mapInArrow(run, "key binary, x array<long>").dropDuplicates(["key"])
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component) per row: smallest id reachable over texts whose shingles of WIDE words have a Jaccard similarity of 0.8 or more.
+
+    Rows with equal sets (those without words among them) are joined through the
+    set's digest, never paired. Candidates share a shingle of their heads and
+    enough of them; then whole sets are compared. A null id keeps its row but
+    never names a component unless all ids of the component are null.
+    """
+    bound_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(utf8(text_col)).alias("tag"), utf8(text_col).alias("t"))
+    rows = table(_sets(texts, common_shingles(texts)).withColumn("row", F.monotonically_increasing_id()))
+    groups = cut(rows.groupBy("key").agg(F.min("id").alias("low"), F.min("row").alias("g")))
+    one = rows.join(groups.select("g"), F.col("row") == F.col("g"))
+    heads = one.select("g", "n", F.explode("head").alias("h"))
+    a, b = (heads.select(F.col("g").alias(x), F.col("n").alias(f"n{x}"), "h") for x in "ab")
+    close = (10 * F.least("na", "nb") >= TENTHS * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
+    # An intersection as large as is needed: J of two sets is at least t if they share t / (1 + t) of na + nb.
+    enough = lambda shared: (10 + TENTHS) * shared >= TENTHS * (F.col("na") + F.col("nb"))
+    # Once the shorter head ends, only what comes after it in its own set can still be shared.
+    after = F.greatest(*(F.ceil(F.col(n) * TENTHS / 10) - 1 for n in ("na", "nb")))
+    met = a.join(b, "h").where(close).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    pairs = cut(met.where(enough(F.col("c") + after)).select("a", "b", "na", "nb"))
+    ends = pairs.select(F.col("a").alias("g")).union(pairs.select(F.col("b").alias("g"))).distinct()
+    named = cut(one.join(ends, "g", "left_semi").select("g", "key", "tag"))
+    whole = _whole_sets(texts.join(named.select("tag").distinct(), "tag", "left_semi").select("t"))
+    whole = table(named.join(whole, "key").select("g", "x"))
+    x, y = (whole.select(F.col("g").alias(k), F.col("x").alias(f"x{k}")) for k in "ab")
+    similar = pairs.join(x, "a").join(y, "b").where(enough(F.size(F.array_intersect("xa", "xb")))).select("a", "b")
+    found = connected_components(similar)
+    roots = cut(groups.join(found, F.col("g") == F.col("node"), "left").select("key", "low", F.coalesce("component", "g").alias("root")))
+    lowest = roots.groupBy("root").agg(F.min("low").alias("component"))
+    return rows.select("id", "key").join(roots.join(lowest, "root").select("key", "component"), "key").select("id", "component")
+
+
 def one_of_each(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, unchanged, without near-duplicates: of each component the first row stays. Needs no unique ids."""
     row = unused(docs, "row")

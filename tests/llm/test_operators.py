@@ -131,6 +131,45 @@ def test_near_duplicates(docs, rows, none):
     assert len({plain_fingerprint(t) for t in texts}) == len(texts) == len({comp[f] for _, f in fps})
 
 
+def test_fingerprint_duplicates(docs, rows, none):
+    found = simhash.fingerprint_duplicates(docs).collect()
+    fps = [(r[0], plain_fingerprint(r[1])) for r in rows]
+    distinct = sorted({f for _, f in fps})
+    comp = components(distinct, [(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if bin(a ^ b).count("1") <= 2])
+    low = {}
+    for i, f in fps:
+        if i is not None:
+            low[comp[f]] = min(i, low.get(comp[f], i))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    assert sorted((r.id or -1, r.fp, r.component) for r in found) == sorted((i or -1, signed(f), low.get(comp[f])) for i, f in fps)
+    assert simhash.fingerprint_duplicates(none).count() == 0
+
+
+def test_near_duplicates_are_all_texts_of_similarity_0_8(spark):
+    """Also those whose fingerprints are far apart."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(3000)}"
+    texts, line = [], "a line that many texts hold in the middle of them"
+    for n in (6, 9, 25, 60, 60, 120, 400):
+        base = [word() for _ in range(n)]
+        for changes in (0, 0, 1, 1, 2, 3, 5, 8):
+            t = list(base)
+            for _ in range(changes * n // 60 if n > 60 else changes if n > 30 else changes // 2):
+                t[rng.randrange(n)] = word()
+            texts.append(" ".join(t + line.split() * rng.randrange(2)))
+    texts += [line] * 3 + [None, "", "few words", "Few  words"]
+    sets = []
+    for t in texts:
+        w = content(t).lower().split()
+        sets.append({tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    edges = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if not sets[i] | sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    far = [(i, j) for i, j in edges if bin(plain_fingerprint(texts[i]) ^ plain_fingerprint(texts[j])).count("1") > 2]
+    want = components(range(len(texts)), edges)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).checkpoint()
+    assert far and {r.id: r.component for r in simhash.near_duplicates(docs).collect()} == want
+    assert simhash.one_of_each(docs).count() == len(set(want.values()))
+
+
 def plain_removal(rows):
     first = {}
     for i, t, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
