@@ -26,7 +26,11 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN_LEAST = 12
 
 #: Names that announce a credential, and the value that follows. Wider than the base format: any printable value.
-CONTEXT = re.compile(r"""(?<![A-Za-z])(?:password|passwd|passphrase|pwd|pass|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|client[_-]?secret|credentials?|bearer)["']?\x20*(?:[:=]|\x20is\x20)\x20*["']?([!-&(-~]{6,})""", re.IGNORECASE | re.ASCII)
+_NAME = r"""(?<![A-Za-z])(?:password|passwd|passphrase|pwd|pass|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|client[_-]?secret|credentials?|bearer)["']?\x20*(?:[:=]|\x20is\x20)\x20*"""
+#: What ends a value without quotes besides white space: a quote that closes something around it, or a delimiter before the next name and its value.
+_STOP = r"""["](?:[\s,;:)\]}>&]|\Z)|[,;&]["']?[A-Za-z_][A-Za-z0-9_.-]*["']?[:=]["'\w]"""
+#: A quoted value ends at its own quote, which a backslash hides.
+CONTEXT = re.compile(_NAME + r"""(?:"((?:\\[!-~]|[!#-\[\]-~]){6,})|'((?:\\[!-~]|[!-&(-\[\]-~]){6,})|(?!["'])((?:(?!""" + _STOP + r""")[!-&(-~]){6,}))""", re.IGNORECASE | re.ASCII)
 
 # Common words and passwords by rank; a word's guesses are its rank.
 WORDS = (
@@ -123,22 +127,32 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def _covered(i: int, j: int, spans: list[tuple[str, int, int]]) -> bool:
+    """Whether spans, by start, leave nothing of i to j."""
+    for _, a, b in spans:
+        if a <= i < b:
+            i = b
+    return i >= j
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every span in code points, by start, then kind in the order of KINDS.
 
     Base kinds: the leftmost non-overlapping matches of each; ``assign`` spans the
     whole match and needs a value of ASSIGN_LEAST characters. ``guess`` spans a
-    credential's value of cost LEAST_COST or more that no base span overlaps.
+    credential's value of cost LEAST_COST or more that base spans do not cover whole.
     """
     base = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
     base += [("access", *m.span()) for m in ACCESS.finditer(text)]
     base += [("hex", *m.span()) for m in HEX.finditer(text)]
+    base.sort(key=lambda s: s[1])
     more = []
     for m in CONTEXT.finditer(text):
-        i, j = m.span(1)
-        while j > i and text[j - 1] in "\"'.,;:)]}>":
+        i, j = m.span(m.lastindex)
+        closed = m.lastindex < 3 and text[j : j + 1] == text[i - 1]
+        while not closed and j > i and text[j - 1] in "\"'.,;:)]}>":
             j -= 1
-        if j - i >= 6 and not any(a < j and i < b for _, a, b in base) and guess_cost(text[i:j]) >= LEAST_COST:
+        if j - i >= 6 and not _covered(i, j, base) and guess_cost(text[i:j]) >= LEAST_COST:
             more.append(("guess", i, j))
     return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

@@ -420,6 +420,18 @@ def test_guess_costs():
     assert [s[0] for s in secret_scan.find("pwd: h7Jq2!kd9Z and pwd: password1")] == ["guess"]
 
 
+def test_values_end_at_their_quote_and_are_covered_whole():
+    redact = secret_scan.redact
+    text = '{"password":"Xk9!vQ2#mZ","api_key":"abcdefghijklmnop"}'
+    assert "Xk9" not in redact(text) and "mZ" not in redact(text) and ("guess", 13, 23) in secret_scan.find(text)
+    assert redact("a token=abcdefghijkl$re5T9x b") == "a <secret> b"
+    assert redact('{"user":"u","pwd":"h7J,q\\"2!kd","name":"visible"}') == '{"user":"u","pwd":"<secret>","name":"visible"}'
+    assert redact("pwd=h7Jq2!kd9Z,name=visible") == "pwd=<secret>,name=visible"
+    assert redact("pwd=h7Jq2,!kd9Z x") == "pwd=<secret> x"
+    assert redact('{"password":"short","note":"Xk9!vQ2#mZ"}') == '{"password":"short","note":"Xk9!vQ2#mZ"}'
+    assert [s[0] for s in secret_scan.find("token=abcdefghijkl")] == ["assign"]
+
+
 def test_byte_bpe(docs, rows, none):
     encoding = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
 
