@@ -163,12 +163,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = [least_hashes(known.where(F.col("y") == y), sample, count.get(y, 0), "id") for y in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]))  # 2 * sample rows at most
     texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).join(chosen, "id").groupBy("id").agg(F.min("t").alias("t"), F.first("y").alias("y"))
-    rows, size = [], 0
+    rows, left, least = [], {0: SAMPLE_BYTES // 2, 1: SAMPLE_BYTES // 2}, {}
     for r in texts.orderBy(F.xxhash64("id"), "id").toLocalIterator():
-        rows.append((bytes(r["t"]), r["y"]))
-        size += len(rows[-1][0])
-        if size > SAMPLE_BYTES:
-            break
+        text, y = bytes(r["t"]), r["y"]
+        if len(text) <= left[y]:  # a longer one is passed over, those after it are not
+            rows.append((text, y))
+            left[y] -= len(text)
+        elif y not in least or len(text) < len(least[y]):
+            least[y] = text
+    rows += [(text, y) for y, text in sorted(least.items()) if all(x != y for _, x in rows)]  # only too long ones: the shortest of them
     return fit([t for t, _ in rows], [y for _, y in rows])
 
 

@@ -240,6 +240,14 @@ def test_toxicity(spark, docs, rows, none):
     assert untrained.score(b"anything") == pytest.approx(0.5)
 
 
+def test_toxicity_passes_over_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 40_000)
+    order = [r.id for r in spark.range(200).selectExpr("id").where("crc32(cast(cast(id as string) as binary)) % 5 <> 0").orderBy(toxicity.F.xxhash64("id"), "id").collect()]
+    data = [(i, "quiet words of no harm " * (2000 if k == 0 else 3) if k % 2 == 0 else "stupid idiot words " * 3, k % 2) for k, i in enumerate(order)]
+    model = toxicity.train(spark.createDataFrame([x[:2] for x in data], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int"))
+    assert model.score(b"stupid idiot") > 0.5 > model.score(b"quiet words of no harm")
+
+
 def test_mixing(docs, rows, none):
     size = lambda t: len(content(t).split())
     total = Counter()
