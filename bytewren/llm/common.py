@@ -33,10 +33,12 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset: a temporary folder if driver and executors are
+    one process, else a folder in the warehouse, which a cluster shares."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        shared = tempfile.mkdtemp(prefix="bytewren-checkpoint-")
+        local = spark.sparkContext.master.startswith("local")
+        shared = tempfile.mkdtemp(prefix="bytewren-checkpoint-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_bytewren_checkpoint"
         spark.sparkContext.setCheckpointDir(shared)
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared)
@@ -51,11 +53,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(df: DataFrame) -> DataFrame:
     """As ``cut``, for large data: a compressed Parquet table in the shared checkpoint folder, removed when Python exits."""
+    return _table(df)[0]
+
+
+def _table(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/bytewren-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -81,6 +87,29 @@ def parts_for(rows: int) -> int:
     return rows // ROWS_IN_PART + 1
 
 
+#: A key is frequent if it has more than this many rows and more than this share (one in) of all; so at most SHARE keys are.
+FREQUENT, SHARE = 100, 1024
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, rows: int, how: str = "inner") -> DataFrame:
+    """``left.join(right, key, how)`` for a ``right`` with one row for each key, when few keys may hold most of left's rows.
+
+    ``rows``: about how many left has. The rows of frequent keys stay where they
+    are and meet those keys' rows of ``right``, which are broadcast: SHARE of
+    them at most. Only the others are shuffled by key. Both inputs are read
+    twice or more, so they should be cut off from their lineage. how: inner or left.
+    """
+    if rows <= FREQUENT:
+        return left.join(right, key, how)
+    often = left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > max(FREQUENT, rows // SHARE)).select(key)
+    often = cut(often.coalesce(1))
+    if often.isEmpty():
+        return left.join(right, key, how)
+    often = F.broadcast(often)
+    here = left.join(often, key, "left_semi").join(F.broadcast(right.join(often, key, "left_semi")), key, how)
+    return here.union(left.join(often, key, "left_anti").join(right, key, how))
+
+
 def least_hashes(df: DataFrame, n: int, total: int, *keys: str) -> DataFrame:
     """The ``n`` rows with the least hash of their keys, of about ``total``.
 
@@ -141,9 +170,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b: long, not null); component is its smallest node.
 
     Each partition is first contracted to a spanning forest; then rounds of
-    large-star and small-star run until nothing changes, each round cut off in
-    the checkpoint folder. No node list ever reaches the driver: only a row
-    count and a checksum do. An empty input gives an empty result.
+    large-star and small-star run until nothing changes, each round written to
+    the checkpoint folder and the one before it removed. An edge runs from its
+    larger to its smaller end. A node with many edges is no key of a shuffle
+    (see ``lookup``). No node list ever reaches the driver: only a row count and
+    a checksum do. An empty input gives an empty result; loops and repeated
+    edges change nothing.
     """
 
     def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,18 +186,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
             kept = np.stack([node, low])[:, node != low]
         yield pa.RecordBatch.from_arrays([pa.array(kept[0]), pa.array(kept[1])], names=["u", "v"])
 
+    spark = edges.sparkSession
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    stars = cut(pairs.mapInArrow(contract, "u long, v long").distinct())
+    stars, path = _table(pairs.mapInArrow(contract, "u long, v long").distinct())
     seen: tuple | None = None
     while (state := stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()) != seen and state[0]:
         seen = state
         parts = parts_for(state[0])
-        stars = stars.coalesce(parts)
-        both = stars.union(stars.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct().coalesce(parts)
+        now = stars.coalesce(parts)
+        low = now.groupBy("u").agg(F.min("v").alias("m"))  # the least neighbour, if it is smaller than the node
+        large = lookup(now, low.withColumnRenamed("u", "v"), "v", state[0], "left").select("u", F.coalesce("m", "v").alias("v"))
+        large, between = _table(large.coalesce(parts).distinct().coalesce(parts))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = cut(small.union(low.select("u", F.col("m").alias("v"))).coalesce(parts).distinct().coalesce(parts))
+        small = lookup(large, low, "u", state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old = path
+        stars, path = _table(small.union(low.select("u", F.col("m").alias("v"))).coalesce(parts).distinct().coalesce(parts))
+        for gone in (old, between):
+            _remove(spark, gone)
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

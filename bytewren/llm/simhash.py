@@ -20,16 +20,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytewren.llm.common import bound_batches, connected_components, cut, parts_for, table, unused, utf8
+from bytewren.llm.common import bound_batches, connected_components, cut, lookup, parts_for, table, unused, utf8
 
 SEED, SHINGLE, CHUNK = 42, 3, 1 << 15
 #: Words of a shingle and least Jaccard similarity, in tenths, for copies of a text.
 WIDE, TENTHS = 5, 8
-#: Texts looked at for common shingles, and how many of them must hold one. They bear on the time only, not on the result.
-LOOKED_AT, COMMON = 4096, 3
+#: Counters of how common shingles are, and pieces in which they travel. They bear on the time only, not on the result.
+CELLS, PIECES = 1 << 22, 64
 
 
 def shingles_of(text: bytes, width: int) -> list[bytes]:
@@ -89,14 +90,20 @@ def fingerprint_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: st
     its row but never names a component unless all ids of the component are null.
     """
     rows = cut(fingerprints(docs, id_col, text_col))
-    parts = parts_for(rows.count())
+    total = rows.count()
+    parts = parts_for(total)
     groups = cut(rows.coalesce(parts).groupBy("fp").agg(F.min("id").alias("low")).coalesce(parts))
     found = connected_components(links(groups.select("fp")))
-    named = groups.join(found, groups["fp"] == found["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
+    classes = _classes(groups, found, "fp", parts)
+    return lookup(rows, classes, "fp", total).select("id", "fp", "component")
+
+
+def _classes(groups: DataFrame, found: DataFrame, key: str, parts: int) -> DataFrame:
+    """(key, component): the smallest id (column low) of each key's component, from keys and (node, component) of those that link."""
+    named = groups.join(found, groups[key] == found["node"], "left").select(key, "low", F.coalesce("component", key).alias("root"))
     named = cut(named.coalesce(parts))
     lowest = named.groupBy("root").agg(F.min("low").alias("component"))
-    classes = cut(named.join(lowest, "root").select("fp", "component").coalesce(parts))
-    return rows.join(classes, "fp").select("id", "fp", "component")
+    return cut(lookup(named, lowest, "root", named.count()).select(key, "component").coalesce(parts))
 
 
 def shingle_set(text: bytes, width: int = WIDE) -> np.ndarray:
@@ -110,85 +117,142 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *arrays]), pa.int64()))
 
 
-def common_shingles(texts: DataFrame) -> np.ndarray:
-    """Sorted hashes of the shingles that several texts of a sample hold (column t of UTF-8 bytes)."""
-    total = max(texts.count(), 1)
-    sample = texts.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(min(1.0, LOOKED_AT / total) * (1 << 30)))
+def frequency_levels(texts: DataFrame) -> np.ndarray:
+    """How common shingles are, by CELLS of their hash: 0 up to a few times the mean, then one more for each doubling.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Column t holds UTF-8 bytes. Tasks count what they see, up to 255 a cell, and
+    pieces of their counters are summed as they come: what a task holds and what
+    the driver gets has a fixed size.
+    """
+    piece = CELLS // PIECES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(CELLS, np.uint32)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen[shingle_set(text) & (CELLS - 1)] += 1
+        small = np.minimum(seen, 255).astype(np.uint8)
+        made = [zstandard.compress(small[i * piece : (i + 1) * piece].tobytes(), 1) for i in range(PIECES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(made, pa.binary())], names=["piece", "z"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([_lists([shingle_set(t) for t in batch.column(0).to_pylist()]).flatten()], names=["h"])
+            for i, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(zstandard.decompress(z), np.uint8).astype(np.int64)
+                sums[i] = sums[i] + part if i in sums else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zstandard.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["piece", "z"])
 
-    rows = sample.select("t").mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON).select("h")
-    return np.sort(rows.toPandas()["h"].to_numpy(np.int64))
+    summed = texts.select("t").mapInArrow(count, "piece int, z binary").repartition(PIECES, "piece").mapInArrow(add, "piece int, z binary")
+    total = np.zeros(CELLS, np.int64)
+    for r in summed.collect():  # PIECES rows
+        total[r["piece"] * piece : (r["piece"] + 1) * piece] = np.frombuffer(zstandard.decompress(r["z"]), np.int64)
+    return np.log2(np.maximum(1.0, total / (2 * total.mean() + 2))).astype(np.uint8)
 
 
-def _sets(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """(id, tag, key, n, head) of (id, tag, t): a digest of the set of shingles, its size, and the first of it in an order with common ones last."""
-    sent = texts.sparkSession.sparkContext.broadcast(common)
+def _sets(texts: DataFrame, levels: np.ndarray) -> DataFrame:
+    """(row, id, key, n, head) of (row, id, t): a digest of the set of shingles, its size, and the first of it in the order of levels."""
+    sent = texts.sparkSession.sparkContext.broadcast(levels)  # CELLS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = sent.value
+        levels = sent.value
         for batch in batches:
             sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
             keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
-            heads = []
-            for x in sets:
-                often = np.isin(x, common, assume_unique=True)
-                heads.append(np.concatenate([x[~often], x[often]])[: len(x) + 1 + -TENTHS * len(x) // 10])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), _lists(heads)], names=["id", "tag", "key", "n", "head"])
+            heads = [x[np.argsort(levels[x & (CELLS - 1)], kind="stable")][: len(x) + 1 + -TENTHS * len(x) // 10] for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), _lists(heads)], names=["row", "id", "key", "n", "head"])
 
-    return texts.mapInArrow(run, "id long, tag long, key binary, n long, head array<long>")
+    return texts.select("row", "id", "t").mapInArrow(run, "row long, id long, key binary, n long, head array<long>")
 
 
 def _whole_sets(texts: DataFrame) -> DataFrame:
-    """(key, x) of (t): digest and all shingles of each set, once."""
+    """(g, x) of (row, t): all shingles of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()), _lists(sets)], names=["key", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(t) for t in batch.column(1).to_pylist()])], names=["g", "x"])
 
-    return texts.mapInArrow(run, "key binary, x array<long>").dropDuplicates(["key"])
+    return texts.select("row", "t").mapInArrow(run, "g long, x array<long>")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component) per row: smallest id reachable over texts whose shingles of WIDE words have a Jaccard similarity of 0.8 or more.
+def _enough(shared: Column) -> Column:
+    """Whether sets of na and nb shingles that share so many have the least similarity: t / (1 + t) of na + nb are needed."""
+    return (10 + TENTHS) * shared >= TENTHS * (F.col("na") + F.col("nb"))
 
-    Rows with equal sets (those without words among them) are joined through the
-    set's digest, never paired. Candidates share a shingle of their heads and
-    enough of them; then whole sets are compared. A null id keeps its row but
-    never names a component unless all ids of the component are null.
-    """
-    bound_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(utf8(text_col)).alias("tag"), utf8(text_col).alias("t"))
-    rows = table(_sets(texts, common_shingles(texts)).withColumn("row", F.monotonically_increasing_id()))
+
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of those pairs (a, b, na, nb; rows of ``texts``) whose whole sets are similar enough."""
+    pairs = cut(pairs)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    whole = table(_whole_sets(texts.join(ends, "row", "left_semi")))
+    count = pairs.count()
+    x, y = (whole.select(F.col("g").alias(k), F.col("x").alias(f"x{k}")) for k in "ab")
+    # Sets are met one end at a time; an end with many pairs is no key of a shuffle.
+    first = lookup(pairs, x, "a", count)
+    return cut(lookup(first, y, "b", count).where(_enough(F.size(F.array_intersect("xa", "xb")))).select("a", "b"))
+
+
+def _near(texts: DataFrame) -> DataFrame:
+    """(row, id, component) for a written table (row, id, t); see near_duplicates."""
+    rows = table(_sets(texts, frequency_levels(texts)))
+    total = rows.count()
     groups = cut(rows.groupBy("key").agg(F.min("id").alias("low"), F.min("row").alias("g")))
-    one = rows.join(groups.select("g"), F.col("row") == F.col("g"))
+    one = table(rows.join(groups.select("g"), F.col("row") == F.col("g")).select("g", "n", "head"))
     heads = one.select("g", "n", F.explode("head").alias("h"))
-    a, b = (heads.select(F.col("g").alias(x), F.col("n").alias(f"n{x}"), "h") for x in "ab")
-    close = (10 * F.least("na", "nb") >= TENTHS * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
-    # An intersection as large as is needed: J of two sets is at least t if they share t / (1 + t) of na + nb.
-    enough = lambda shared: (10 + TENTHS) * shared >= TENTHS * (F.col("na") + F.col("nb"))
-    # Once the shorter head ends, only what comes after it in its own set can still be shared.
+    close = 10 * F.least("na", "nb") >= TENTHS * F.greatest("na", "nb")
+
+    # First each text against the lowest of those that hold a shingle of its head: a pair for each, not for each two.
+    met = cut(heads.groupBy("h").agg(F.min(F.struct("g", "n")).alias("c"), F.count("*").alias("k")).where("k > 1").select("h", F.col("c.g").alias("a"), F.col("c.n").alias("na")))
+    shared = table(heads.join(met.select("h"), "h", "left_semi"))
+    held = shared.count()
+    stars = lookup(shared, met, "h", held).where(F.col("g") > F.col("a")).select("a", F.col("g").alias("b"), "na", F.col("n").alias("nb")).where(close).distinct()
+    links = _similar(stars, texts)
+    found = cut(connected_components(links))
+
+    # Then what shares a shingle but no component yet. Once the shorter head ends, only what comes after it can still be shared.
+    parted = shared.join(found.withColumnRenamed("node", "g"), "g", "left").withColumn("part", F.coalesce("component", "g")).select("h", "g", "n", "part")
+    parted = cut(parted)
+    open_ = parted.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("h")
+    left = cut(parted.join(open_, "h", "left_semi"))
+    a, b = (left.select(F.col("g").alias(x), F.col("n").alias(f"n{x}"), F.col("part").alias(f"p{x}"), "h") for x in "ab")
     after = F.greatest(*(F.ceil(F.col(n) * TENTHS / 10) - 1 for n in ("na", "nb")))
-    met = a.join(b, "h").where(close).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    pairs = cut(met.where(enough(F.col("c") + after)).select("a", "b", "na", "nb"))
-    ends = pairs.select(F.col("a").alias("g")).union(pairs.select(F.col("b").alias("g"))).distinct()
-    named = cut(one.join(ends, "g", "left_semi").select("g", "key", "tag"))
-    whole = _whole_sets(texts.join(named.select("tag").distinct(), "tag", "left_semi").select("t"))
-    whole = table(named.join(whole, "key").select("g", "x"))
-    x, y = (whole.select(F.col("g").alias(k), F.col("x").alias(f"x{k}")) for k in "ab")
-    similar = pairs.join(x, "a").join(y, "b").where(enough(F.size(F.array_intersect("xa", "xb")))).select("a", "b")
-    found = connected_components(similar)
-    roots = cut(groups.join(found, F.col("g") == F.col("node"), "left").select("key", "low", F.coalesce("component", "g").alias("root")))
-    lowest = roots.groupBy("root").agg(F.min("low").alias("component"))
-    return rows.select("id", "key").join(roots.join(lowest, "root").select("key", "component"), "key").select("id", "component")
+    rest = a.join(b, "h").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & close).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    links = links.union(_similar(rest.where(_enough(F.col("c") + after)).select("a", "b", "na", "nb"), texts))
+    classes = _classes(groups.select("key", "low", "g"), connected_components(links), "g", parts_for(total))
+    named = cut(groups.join(classes, "g").select("key", "component"))
+    return lookup(rows.select("row", "id", "key"), named, "key", total).select("row", "id", "component")
+
+
+def _numbered(docs: DataFrame, text_col: str, id_: Column) -> DataFrame:
+    """(row, id, t), written: a row's number is settled once, however often it is read."""
+    bound_batches(docs.sparkSession)
+    return table(docs.select(F.monotonically_increasing_id().alias("row"), id_.alias("id"), utf8(text_col).alias("t")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component) per row: smallest id reachable over texts whose shingles of WIDE words have a Jaccard similarity of 0.8 or more.
+
+    Rows with equal sets (those without words, as null and empty texts, among
+    them) are joined through the set's digest, never paired. Other texts are first compared
+    with one text for each shingle of their heads, and only what is in different
+    components after that is paired; every pair of sets found is compared whole.
+    A very long text costs its own length. A null id keeps its row but never
+    names a component unless all ids of the component are null; repeated ids
+    keep their rows; an empty table gives no rows; further columns are ignored.
+    """
+    return _near(_numbered(docs, text_col, F.col(id_col).cast("long"))).select("id", "component")
 
 
 def one_of_each(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged, without near-duplicates: of each component the first row stays. Needs no unique ids."""
+    """The rows of ``docs``, unchanged, without near-duplicates: of each component the first row stays.
+
+    Needs no unique ids: rows are numbered. Null and empty texts are equal to
+    each other, so one of them stays. An empty table gives no rows; columns of any
+    name pass through.
+    """
+    bound_batches(docs.sparkSession)
     row = unused(docs, "row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    gone = near_duplicates(numbered, row, text_col).where("id <> component").select(F.col("id").alias(row))
-    return numbered.join(gone, row, "left_anti").select(*docs.columns)
+    whole = table(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = _near(whole.select(F.col(row).alias("row"), F.col(row).alias("id"), utf8(text_col).alias("t")))
+    gone = cut(found.where("id <> component").select(F.col("row").alias(row)))
+    return whole.join(gone, row, "left_anti").select(*docs.columns)

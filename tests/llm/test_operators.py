@@ -78,7 +78,8 @@ def components(nodes, edges):
 
 def test_connected_components(spark):
     rng = random.Random(1)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 80)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 700)]
+    edges += [(9000 + i, 9999) for i in range(600)] + [(20_000 + i, 20_000 + j) for i in range(25) for j in range(i)]
     edges = [e for e in edges if e[0] != e[1]]
     found = common.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
     want = components({n for e in edges for n in e}, edges)
@@ -86,6 +87,18 @@ def test_connected_components(spark):
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_lookup_meets_frequent_keys_where_they_are(spark):
+    rng = random.Random(2)
+    keys = [7] * 900 + [8] * 300 + [rng.randrange(1000) for _ in range(500)] + [None] * 3
+    left = spark.createDataFrame(list(enumerate(keys)), "i long, k long").repartition(5).checkpoint()
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(0, 1000) if k != 8], "k long, v string").checkpoint()
+    for how in ("inner", "left"):
+        found = common.lookup(left, right, "k", len(keys), how)
+        want = left.join(right, "k", how)
+        assert found.columns == want.columns
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+
+
 def plain_fingerprint(text):
     words = content(text).lower().split()
     if not words:
