@@ -7,6 +7,7 @@ import contextlib
 import os
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -120,6 +121,54 @@ def least_hashes(df: DataFrame, n: int, total: int, *keys: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)), *keys).limit(n)
 
 
+#: Distinct words that a task holds before it hands on their counts.
+HELD = 250_000
+
+
+def word_counts(texts: DataFrame, split: Callable[[bytes], list[bytes]]) -> DataFrame:
+    """(word binary, c) over the column t of UTF-8 bytes; summed in each task before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+            seen.clear()
+            return made
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(split(text))
+                if len(seen) > HELD:
+                    yield flush()
+        yield flush()
+
+    return texts.select("t").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+
+
+def commonest(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The ``most`` commonest words of (word, c) with their counts, the commonest first; of equal counts at the end the least hashes.
+
+    A histogram of the counts' logarithms tells which count to go down to, so that nothing is sorted; tasks hand on about as many words as are wanted.
+    """
+    level = F.floor(F.log2("c") * 64)  # at most 64 levels for a doubling
+    left, least, rows = most, None, []
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        if r["n"] > left:
+            border = counts.where(level == r["level"])
+            for c in sorted(border.groupBy("c").count().collect(), reverse=True):  # a level holds few different counts
+                same = border.where(F.col("c") == c["c"])
+                rows += (same if c["count"] <= left else least_hashes(same, left, c["count"], "word")).collect()
+                left -= c["count"]
+                if left <= 0:
+                    break
+            break
+        left, least = left - r["n"], r["level"]
+    if least is not None:
+        rows += counts.where(level >= least).collect()
+    return sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 def utf8(column: str = "text") -> Column:
     """The UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
