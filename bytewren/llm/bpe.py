@@ -22,10 +22,8 @@ from pyspark.sql import functions as F
 
 from bytewren.llm.common import map_rows, utf8
 
-#: Arcs, states and spellings are forgotten beyond these numbers and made again; results don't depend on them.
-MOST_STATES, MOST_PIECES, MOST_PAIRS = 200_000, 300_000, 500_000
-#: The same, as a share, for workers that have held other stages' data before: more is made again, in less memory.
-LEAN = 0.15
+#: States, spellings and neighbours are forgotten beyond these numbers and made again; results don't depend on them. Some 200 MB in all.
+MOST_STATES, MOST_PIECES, MOST_PAIRS = 150_000, 150_000, 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -48,9 +46,8 @@ def merge(piece: bytes, ranks: dict[bytes, int], least: int = 1) -> list[int]:
 class Transducer:
     """Encodes byte strings to token ids; one instance serves any number of texts."""
 
-    def __init__(self, ranks: dict[bytes, int], room: float = 1.0) -> None:
-        self.ranks = ranks
-        self.most_states, self.most_pairs = int(MOST_STATES * room), int(MOST_PAIRS * room)
+    def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES) -> None:
+        self.ranks, self.most_states = ranks, most_states
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.child: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
@@ -92,7 +89,7 @@ class Transducer:
         known = self.beside.get(pair)
         if known is not None:
             return known
-        if len(self.beside) > self.most_pairs:
+        if len(self.beside) >= MOST_PAIRS:
             self.beside.clear()
         fits = self._may_follow(-1, token)
         made_before = 1 << 60  # unions of at least this rank come too late
@@ -140,23 +137,34 @@ class Transducer:
                 break
         n = len(out)
         target = tuple([(node, last, due[n:]) for node, last, due in kept]) if n else tuple(kept)
-        to = self.states.get(target)
+        arc = self.arcs[state][byte] = (self._state(target), out)
+        return arc
+
+    def _state(self, members: tuple) -> int:
+        to = self.states.get(members)
         if to is None:
-            to = self.states[target] = len(self.members)
-            self.members.append(target)
+            to = self.states[members] = len(self.members)
+            self.members.append(members)
             self.arcs.append({})
-        arc = self.arcs[state][byte] = (to, out)
-        return arc
+        return to
 
     def encode(self, piece: bytes) -> list[int]:
-        """Token ids of a piece that no pre-tokeniser cut crosses, as repeated merging would give them."""
+        """Token ids of a piece that no pre-tokeniser cut crosses, as repeated merging would give them.
+
+        States are forgotten inside a piece too, but for the one it is in: however
+        long a piece is, it takes no more memory than its ids.
+        """
         if piece in self.ranks:
             return [self.ranks[piece]]
-        if len(self.members) > self.most_states:
-            self.forget()
         arcs, state, out = self.arcs, 0, []
         for byte in piece:
-            arc = arcs[state].get(byte) or self._arc(state, byte)
+            arc = arcs[state].get(byte)
+            if arc is None:
+                if len(self.members) >= self.most_states:
+                    live = self.members[state]
+                    self.forget()
+                    arcs, state = self.arcs, self._state(live)
+                arc = self._arc(state, byte)
             state = arc[0]
             if arc[1]:
                 out += arc[1]
@@ -166,9 +174,8 @@ class Transducer:
 class Encoder:
     """Whole texts to ids: pieces by the pattern, each through the transducer, spellings remembered."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, room: float = 1.0) -> None:
-        self.transducer, self.pieces = Transducer(ranks, room), regex.compile(pattern).findall
-        self.most_pieces = int(MOST_PIECES * room)
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+        self.transducer, self.pieces = Transducer(ranks), regex.compile(pattern).findall
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
 
@@ -180,7 +187,7 @@ class Encoder:
 
     def decimal(self, text: str) -> str:
         """The ids in decimal, joined by one space."""
-        if len(self.known) > self.most_pieces:
+        if len(self.known) > MOST_PIECES:
             self.older, self.known = self.known, {}
         known, spell = self.known, self._spell
         return " ".join([known.get(p) or spell(p) for p in self.pieces(text)])
@@ -272,20 +279,23 @@ class Decoder:
         return "".join(out) + self.finish()
 
 
-_made: dict[tuple[str, str, float], tuple[Encoder, Decoder]] = {}
+_made: dict[tuple[str, str], tuple[Encoder, Decoder]] = {}
 
 
-def codec(path: str, pattern: str, room: float = 1.0) -> tuple[Encoder, Decoder]:
-    """The worker's encoder and decoder; a reused worker keeps what it has learned. room: share of the usual memory."""
-    if (path, pattern, room) not in _made:
-        ranks = load_ranks(path)
-        encoder = Encoder(ranks, pattern, room)
-        _made[path, pattern, room] = encoder, Decoder(encoder.transducer.bytes_of)
-    return _made[path, pattern, room]
+def codec(path: str, pattern: str) -> tuple[Encoder, Decoder]:
+    """The worker's encoder and decoder; a reused worker keeps what it has learned."""
+    if (path, pattern) not in _made:
+        encoder = Encoder(load_ranks(path), pattern)
+        _made[path, pattern] = encoder, Decoder(encoder.transducer.bytes_of)
+    return _made[path, pattern]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) of whole texts, without special tokens; null texts count as empty and have no ids."""
+    """(id, ids array<int>) of whole texts, without special tokens; null texts count as empty and have no ids.
+
+    Null and repeated ids keep their rows; an empty table gives none. A very long
+    text or piece takes the memory of its ids.
+    """
 
     def make():
         encoder, _ = codec(path, pattern)
@@ -305,7 +315,11 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) per row: texts are encoded, then decoded from their ids again."""
+    """(id, n_tokens, ids_sha256, decoded_sha256) per row: texts are encoded, then decoded from their ids again.
+
+    Null texts count as empty and have no ids. Null and repeated ids keep their
+    rows; an empty table gives none; further columns are ignored.
+    """
 
     def make():
         encoder, decoder = codec(path, pattern)
@@ -321,10 +335,13 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
 
 def tokenised(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids, decoded_sha256) per row: what training reads, and the digest of the text decoded from the ids."""
+    """(id, n_tokens, ids, decoded_sha256) per row: what training reads, and the digest of the text decoded from the ids.
+
+    Nulls, repeated ids, long texts and empty tables as in digests().
+    """
 
     def make():
-        encoder, decoder = codec(path, pattern, LEAN)
+        encoder, decoder = codec(path, pattern)
 
         def row(values: tuple) -> tuple:
             decimal = encoder.decimal(values[1].decode("utf-8", "replace"))
