@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 import xxhash
 
-from bytewren.llm import bpe, class_lm, common, mixing, ogg, pivots, secret_scan, simhash, suffixes, token_counts, toxicity
+from bytewren.llm import bpe, class_lm, common, mixing, ogg, pivots, queries, secret_scan, simhash, suffixes, token_counts, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, size int"
@@ -360,15 +360,123 @@ def test_class_lm(docs, rows, none, spark):
     assert sorted((r.n_tokens, r.n_known, r.base_score) for r in class_lm.lm_scores(alone).collect()) == [(1, 0, 0.0), (3, 0, 0.0)]
 
 
-def test_class_lm_is_a_distribution(spark):
-    """Probabilities of all continuations of a word, one for all unseen words of each suffix, sum to 1."""
-    rng = random.Random(3)
-    rows = [(i, " ".join(rng.choice(["aa", "bb", "cc", "dd", "ee"][: 2 + i % 4]) for _ in range(30))) for i in range(50)]
-    model, _ = class_lm.train(spark.createDataFrame(rows, "i long, s string").selectExpr("cast(s as binary) t"))
-    row = 10 ** model.step
+def zipf_texts(spark, seed=3, docs=120):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(900)]
+    rows = [(i, " ".join(words[min(int(rng.paretovariate(0.7)) - 1, 899)] for _ in range(rng.randint(0, 60)))) for i in range(docs)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_class_lm_is_a_distribution(spark, monkeypatch):
+    """All continuations of a word sum to 1, words never seen among them: their endings do, and all bytes before a byte."""
+    monkeypatch.setattr(class_lm, "HEAD", 40)
+    monkeypatch.setattr(class_lm, "FIRST", 30)
+    rows, frame = zipf_texts(spark)
+    model, rare = class_lm.train(frame.selectExpr("cast(text as binary) t"))
+    row = 10**model.step
     assert row.sum(1) == pytest.approx(np.ones(len(row)))
     emit = 10**model.emit
-    assert [emit[model.cls == c].sum() for c in range(model.cls.max() + 1)] == pytest.approx([1.0] * (model.cls.max() + 1))
+    assert np.bincount(model.cls, emit)[np.unique(model.cls)] == pytest.approx(np.ones(len(np.unique(model.cls))))
+    # Inside a suffix unit: the words met, and one share for all others.
+    mass = 10**model.unseen
+    met = {w: 10 ** model.inside[i] for w, i in model.number.items() if model.unit[i] > model.end}
+    met |= {bytes(r.word): 10**r.inside for r in rare.collect()}
+    for u in {class_lm.suffix(w) for w in met}:
+        assert sum(p for w, p in met.items() if class_lm.suffix(w) == u) + mass[u] == pytest.approx(1)
+    # What is never seen: the last two bytes, then one byte before the other until the word begins.
+    assert (10**model.spell).sum(1) == pytest.approx(np.ones(257))
+    every = [bytes((a, b)) for a in range(256) for b in range(256)] + [bytes((a,)) for a in range(256)]
+    share = np.bincount([class_lm.suffix(e) for e in every], [10 ** model.endings.get(e, model.rare_ending[class_lm.suffix(e)]) for e in every])
+    assert share == pytest.approx(np.ones(class_lm.SUFFIXES))
+    word = "éab".encode()
+    want = model.endings.get(b"ab", model.rare_ending[class_lm.suffix(b"ab")]) + model.spell[ord("a"), 0xA9] + model.spell[0xA9, 0xC3] + model.spell[0xC3, 256]
+    assert model.spelt([b"x", word, b"ab"])[1] == pytest.approx(want)
+
+
+def test_class_lm_score_by_hand(spark, monkeypatch):
+    """Every text's score from plain counts, given the classes; most words are joined, some are never seen."""
+    monkeypatch.setattr(class_lm, "HEAD", 40)
+    monkeypatch.setattr(class_lm, "FIRST", 10)
+    monkeypatch.setattr(class_lm, "BY_ROOT", 4)
+    rows, frame = zipf_texts(spark)
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    frame = frame.repartition(3).checkpoint()
+    model, rare = class_lm.train(frame.where(~class_lm.is_held_out()).selectExpr("cast(text as binary) t"))
+    found = {r.id: r.score for r in class_lm.score(frame, model, rare).collect()}
+    training = [content(t).lower().split() for i, t in rows if not held(i)]
+    count = Counter(w for t in training for w in t)
+    own = [w for w in model.number if model.unit[model.number[w]] < model.end]
+    assert len(own) > class_lm.FIRST and min(count[w] for w in own) >= class_lm.OFTEN
+    unit = lambda w: own.index(w) if w in own else model.end + 1 + class_lm.suffix(w)
+    line = [[model.end, *map(unit, t), model.end] for t in training]
+    pairs = Counter((model.cls[a], model.cls[b]) for t in line for a, b in zip(t, t[1:]))
+    after, follows = Counter(), Counter()
+    for (a, b), n in pairs.items():
+        after[a] += n
+        follows[b] += n
+    total, k = sum(pairs.values()), len(model.step)
+    units = Counter(u for t in line for u in t[1:])
+    of_class = Counter()
+    for u, c in enumerate(model.cls):
+        of_class[c] += units[u] + 0.5
+    mass, types = Counter(), Counter()
+    for w, n in count.items():
+        if w not in own:
+            mass[unit(w)] += n
+            types[unit(w)] += 1
+
+    def token(a, b, w):
+        c, d = model.cls[a], model.cls[b]
+        p = (pairs[c, d] + class_lm.PRIOR * (follows[d] + 1) / (total + k)) / (after[c] + class_lm.PRIOR) * (units[b] + 0.5) / of_class[d]
+        if w is None or w in own:
+            return math.log10(p)
+        if w in count:
+            return math.log10(p * (count[w] - class_lm.DISCOUNT) / mass[b])
+        return math.log10(p * (class_lm.DISCOUNT * types[b] / mass[b] if mass[b] else 1)) + model.spelt([w])[0]
+
+    for i, text in rows:
+        words = content(text).lower().split()
+        us = [model.end, *map(unit, words), model.end]
+        assert found[i] == pytest.approx(sum(token(a, b, w) for a, b, w in zip(us, us[1:], [*words, None])))
+
+
+def test_gibberish_scores_below_prose(spark):
+    rng = random.Random(9)
+    rows, _ = zipf_texts(spark, 4, 200)
+    ids = [i for i in range(10_000, 20_000) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    prose = [t for _, t in rows if len(t.split()) > 40][0].split()[:40]
+    noise = lambda: "".join(rng.choice("qwxzjk") for _ in range(7))
+    texts = [prose, [w if i % 3 else noise() for i, w in enumerate(prose)], [noise() for _ in prose]]
+    frame = spark.createDataFrame([*rows, *((i, " ".join(t)) for i, t in zip(ids, texts))], "doc_id long, text string")
+    score = {r.id: r.score for r in class_lm.lm_scores(frame).collect()}
+    assert score[ids[0]] > score[ids[1]] + 30 > score[ids[2]] + 60
+
+
+def test_an_exchange_round_takes_each_words_best_class(spark, monkeypatch):
+    """On executors as by trying every class, the other words' classes being as they were."""
+    monkeypatch.setattr(class_lm, "CELLS", 64)
+    rng = np.random.default_rng(5)
+    units, k, first, words = 30, 4, 6, 24
+    counts = rng.poisson(1.2, (units, units)) * (rng.random((units, units)) < 0.4)
+    of = np.append(rng.integers(0, k, units - 1), k - 1)
+    rows = [(int(u * units + v), int(counts[u, v])) for u, v in zip(*np.nonzero(counts))]
+    pairs = spark.createDataFrame(rows, "code long, n long").repartition(3)
+
+    def information(of):
+        one = np.eye(k)[of]
+        j = one.T @ counts @ one
+        return class_lm._f(j).sum() - class_lm._f(j.sum(0)).sum() - class_lm._f(j.sum(1)).sum()
+
+    one = np.eye(k, dtype=int)[of]
+    joint = one.T @ counts @ one
+    assert (class_lm.group_pairs(pairs, of) == joint).all()
+    got = class_lm.exchange_round(pairs, of, joint, first, words)
+    for u in range(units):
+        tries = [information(np.where(np.arange(units) == u, c, of)) for c in range(k)]
+        if first <= u < words and counts[u].any() | counts[:, u].any():
+            assert tries[got[u]] == pytest.approx(max(tries))
+        else:
+            assert got[u] == of[u]
 
 
 def test_exchange_finds_alternating_classes():
@@ -441,6 +549,85 @@ def test_guess_costs():
     assert [s[0] for s in secret_scan.find("pwd: h7Jq2!kd9Z and pwd: password1")] == ["guess"]
 
 
+def plain_segments(value, ranks):
+    """(start, end, log10 guesses) of every pattern, each by its definition."""
+    low, n, out = value.lower(), len(value), []
+    size = lambda c: 10 if c.isdigit() else 26 if c.isalpha() else 33
+    place = {c: (r, i) for r, row in enumerate(secret_scan.ROWS) for i, c in enumerate(row)}
+    for i in range(n):
+        for j in range(i + 1, n + 1):
+            part = value[i:j]
+            leet = part.lower().translate(secret_scan.LEET)
+            guesses = [ranks[w] * f for w, f in ((part.lower(), 1), (leet, 4)) if w in ranks]
+            if guesses and len(part) >= 3:
+                ups = sum(c.isupper() for c in part)
+                out.append((i, j, math.log10(min(guesses) * (1 if not ups else 2 if ups == len(part) or part[0].isupper() and ups == 1 else 2**ups) + 1)))
+            for unit in range(1, 9):
+                if len(part) >= max(2 * unit, 3) and len(part) % unit == 0 and part == part[:unit] * (len(part) // unit):
+                    out.append((i, j, unit * math.log10(size(part[0])) + math.log10(len(part) // unit)))
+            steps = {ord(b) - ord(a) if a.isalnum() and b.isalnum() and a.isdigit() == b.isdigit() else 0 for a, b in zip(low[i:j], low[i + 1 : j])}
+            if len(part) >= 3 and steps in ({1}, {-1}):
+                out.append((i, j, math.log10(size(part[0]) * 2 * len(part))))
+            moves = [(place[b][0] - place[a][0], place[b][1] - place[a][1]) if a in place and b in place else (9, 9) for a, b in zip(low[i:j], low[i + 1 : j])]
+            if len(part) >= 4 and all(max(map(abs, m)) == 1 for m in moves):
+                out.append((i, j, math.log10(47 * len(part)) + sum(a != b for a, b in zip(moves, moves[1:])) * math.log10(6)))
+    return out
+
+
+def test_guess_cost_is_the_least_over_all_segmentations():
+    ranks = {"password": 1, "dragon": 9, "ragon": 200, "the": 2, "sword": 40, "qwer": 11}
+    guesser, rng = secret_scan.Guesser(ranks), random.Random(14)
+    parts = ["password", "Dragon", "DRAGON", "p@ssw0rd", "the", "d", "dd", "abc", "321", "qwerty", "xyxy", "Zk", "9!", "#", "~", "aaa"]
+    brute = lambda c: math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
+    for _ in range(400):
+        value = "".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))[:13]
+        if secret_scan.DATE.search(value):
+            continue
+        segments = plain_segments(value, ranks)
+        segments += [(i, j, secret_scan.SEGMENT_COST + sum(map(brute, value[i:j]))) for i in range(len(value)) for j in range(i + 1, len(value) + 1)]
+        starts = {}
+        for i, j, c in segments:
+            starts.setdefault(i, []).append((j, c))
+
+        def least(i):
+            return 0.0 if i == len(value) else min(c + least(j) for j, c in starts[i])
+
+        from functools import lru_cache
+
+        least = lru_cache(None)(least)
+        want = least(0)
+        assert guesser.cost(value) == pytest.approx(want), value
+        for enough in (2.0, 5.0, 8.0):
+            got = guesser.cost(value, enough)
+            assert got == pytest.approx(want) if want < enough else enough <= got, value
+
+
+def test_long_values_cost_their_length():
+    import time
+
+    rng, began = random.Random(15), time.perf_counter()
+    guesser = secret_scan.Guesser()
+    noise = "".join(rng.choice("abcXYZ0123456789!#%") for _ in range(1 << 20))
+    assert guesser.cost(noise, 8.0) >= 8 and guesser.cost("password" * (1 << 17), 8.0) >= 8
+    assert guesser.cost("a" * (1 << 20), 8.0) == pytest.approx(math.log10(26) + 20 * math.log10(2))
+    text = "x " * 1000 + "password=" + noise + " end"
+    assert ("guess", 2009, 2009 + len(noise)) in secret_scan.find(text)
+    assert time.perf_counter() - began < 30
+
+
+def test_prose_is_no_secret(spark):
+    vocabularies = [public_tokenizers.path(n) for n in queries.WORDS]
+    letters = "the password grumbelwort is grumbelwort of grumbelwort"
+    texts = [letters, letters, letters, None, "", *['password: "mesquarbintol"'] * 9]
+    ranks = secret_scan.dictionary(spark.createDataFrame([(t,) for t in texts], "text string"), vocabularies=vocabularies)
+    assert "grumbelwort" in ranks and "mesquarbintol" not in ranks and 20_000 < len(ranks) < 200_000
+    guesser = secret_scan.Guesser(ranks)
+    for prose in ("the password is required for login", "token: government", "secret: information", "le secret: particulièrement vrai", "secret: grumbelwort", "my token is mesquarbintol, she said"):
+        assert secret_scan.find(prose, guesser) == [], prose
+    for secret in ("the password is Xk9!vQ2#mZ", "secret: mesquarbintol", "pwd=h7Jq2!kd9Z", 'bearer: "q8Zr-Yt2mW"'):
+        assert [s[0] for s in secret_scan.find(secret, guesser)] in (["guess"], ["assign"]), secret
+
+
 def test_values_end_at_their_quote_and_are_covered_whole():
     redact = secret_scan.redact
     text = '{"password":"Xk9!vQ2#mZ","api_key":"abcdefghijklmnop"}'
@@ -475,6 +662,15 @@ def test_transducer_is_repeated_merging():
         assert encoder.ids(text) == encoding.encode_ordinary(text)
 
 
+def test_states_are_bounded_inside_a_piece():
+    ranks = bpe.load_ranks(RANKS)
+    encoding = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    few, rng = bpe.Transducer(ranks, 500), random.Random(16)
+    piece = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000))
+    ids = few.encode(piece.encode())
+    assert ids == encoding.encode_ordinary(piece) and len(few.members) <= 501
+
+
 def test_streaming_decoder_state_machine():
     decoder, rng = bpe.Decoder({i: bytes((i,)) for i in range(256)}), random.Random(7)
     for _ in range(3000):
