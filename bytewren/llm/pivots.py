@@ -4,7 +4,7 @@ A vector is described by the order of its NEAREST nearest pivots. An inverted
 list of a pivot holds the vectors (of one label) that name it; vectors which
 share enough pivots are candidates, and candidates are verified by their cosine
 in double precision. Every vector is indexed; only the pivots come from a
-sample. Long lists are cut into chunks and compared chunk by chunk, so that no
+sample, and their number grows with the root of the vectors'. Long lists are cut into chunks and compared chunk by chunk, so that no
 task holds more than two chunks, and what leaves a task is a count for each
 vector and a spanning forest of the links, never the pairs.
 """
@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytewren.llm.common import bound_batches, connected_components, cut, forest, least_hashes
+from bytewren.llm.common import bound_batches, connected_components, cut, forest, least_hashes, lookup
 
 #: Least cosine of a link, pivots named by a vector, pivots that a candidate must share.
 THRESHOLD, NEAREST, SHARED = 0.98, 10, 2
 #: Pivots: twice the root of the number of vectors, within these bounds. They are the sample that the index is fitted on.
-FEWEST, MOST = 64, 4096
+FEWEST, MOST = 64, 1 << 16
+#: Cells of a matrix of cosines with the pivots.
+CELLS = 1 << 22
 #: Vectors of a list that a task takes at once, and rows of it in one matrix product.
 CHUNK, SLICE = 2048, 256
 
@@ -82,7 +84,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Only rows with equal, non-null labels and vectors of equal length are compared.
     Rows whose vector is null, zero or not finite link with nothing. Equal vectors
     are indexed once and link with each other. A null id never names a component
-    unless all its ids are null.
+    unless all its ids are null; repeated ids keep their rows. An empty table gives
+    no rows; further columns are ignored.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
@@ -106,16 +109,17 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             dims = np.array([len(v) for v in vs])
             for d in np.unique(dims):
                 p, at = pivots.value.get(int(d)), np.flatnonzero(dims == d)
-                if p is not None:
+                for part in np.array_split(at, -(-len(at) * len(p) // CELLS)) if p is not None else ():
                     k = min(NEAREST, len(p))
-                    near = unit([vs[i] for i in at]) @ p.T
-                    best = np.argsort(-near, axis=1, kind="stable")[:, :k].tolist()
-                    for i, row in zip(at, best):
+                    near = unit([vs[i] for i in part]) @ p.T
+                    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+                    best = np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, 1), axis=1, kind="stable"), 1)
+                    for i, row in zip(part, best.tolist()):
                         named[i] = row
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(named, pa.list_(pa.int32()))], names=["g", "named"])
 
     named = groups.select("v", "g").mapInArrow(name, "g long, named array<int>")
-    indexed = cut(groups.select("label", "dim", "g", "copies", F.col("v").cast("array<double>").alias("v")).join(named, "g"))
+    indexed = cut(groups.select("label", "dim", "g", "copies", "v").join(named, "g"))
     lists = indexed.select("*", F.explode("named").alias("pivot"))
     sizes = lists.groupBy("label", "dim", "pivot").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     cells = lists.join(sizes, ["label", "dim", "pivot"]).withColumn("chunk", F.pmod(F.xxhash64("g"), F.col("chunks")).cast("int"))
@@ -137,7 +141,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     named = groups.join(links, "g", "left").join(parts, groups["g"] == parts["node"], "left").select("label", "v", "low", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "g").alias("root"))
     named = cut(named)
     lowest = named.groupBy("root").agg(F.min("low").alias("component"))
-    facts = cut(named.join(lowest, "root").select("label", "v", F.xxhash64("v").alias("k"), "n_links", "component"))
+    facts = cut(lookup(named, lowest, "root", total).select(F.struct("label", "v").alias("key"), "n_links", "component"))
     single = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    joined = good.withColumn("k", F.xxhash64("v")).alias("r").join(facts.alias("f"), F.expr("r.label = f.label and r.k = f.k and r.v = f.v"))
-    return joined.select("r.id", "f.n_links", "f.component").union(single)
+    count = groups.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    return lookup(good.select("id", F.struct("label", "v").alias("key")), facts, "key", count).select("id", "n_links", "component").union(single)
