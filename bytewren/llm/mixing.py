@@ -140,9 +140,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of the mix with all columns of ``docs``: each row as often as it is taken. The text is not moved."""
+    """The rows of the mix with all columns of ``docs``: each row as often as it is taken. The text is not moved.
+
+    Null texts and sources, and repeated ids, as in mix(). An empty table gives no
+    rows; columns of any name pass through.
+    """
     planned = plan(cut(docs.select(F.col(source_col).alias("src"), words(text_col).alias("size"), hash60(id_col).alias("h"))))
-    times = copies(planned, words(text_col), hash60(id_col))
-    joined = docs.join(planned, docs[source_col].eqNullSafe(planned["s"]))
-    each = joined.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
-    return each.toDF(*map(str, range(len(each.columns)))).drop(str(len(docs.columns))).toDF(*docs.columns)
+    # Columns by number, so that none of docs' own names clashes with the plan's.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c: n for c, n in zip(docs.columns, names)}
+    plain = docs.toDF(*names)
+    joined = plain.join(planned, plain[at[source_col]].eqNullSafe(planned["s"]))
+    times = copies(planned, words(at[text_col]), hash60(at[id_col]))
+    each = joined.select(*names, F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("x"))
+    return each.select(*names).toDF(*docs.columns)

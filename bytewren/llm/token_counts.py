@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytewren.llm.bpe import codec
-from bytewren.llm.common import bound_batches, cut, utf8
+from bytewren.llm.common import bound_batches, table, utf8
 
 #: Ids in a block, and documents in a file at most; the end-of-document id.
 BLOCK, FILE_DOCS, EOD = 1 << 18, 20_000, 50256
@@ -34,6 +34,8 @@ def write_stream(docs: DataFrame, path: str, pattern: str, eod: int = EOD, block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = codec(path, pattern)
+        if max(encoder.transducer.bytes_of) > 0xFFFF:
+            raise ValueError("ids have 16 bits")
         schema = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("ids", pa.binary()), ("first", pa.int64()), ("docs", pa.list_(pa.int64()))])
         end, file, part, number, ordinal, rest = np.array([eod], "<u2").tobytes(), None, 0, 0, 0, bytearray()
 
@@ -99,7 +101,12 @@ def lengths(blocks: DataFrame) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, eod: int = EOD, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens) per row: texts go to flat files in the checkpoint folder, which are scanned for separators."""
-    stream = cut(write_stream(docs, path, pattern, eod, block, id_col, text_col))
+    """(id, n_tokens) per row: texts go to flat files in the checkpoint folder, which are scanned for separators.
+
+    Null and empty texts have no tokens; null and repeated ids keep their rows; an
+    empty table gives none. A very long text runs over as many blocks as it
+    takes. Ids have 16 bits: a vocabulary with larger ones raises ValueError.
+    """
+    stream = table(write_stream(docs, path, pattern, eod, block, id_col, text_col))
     names = stream.where("docs is not null").select("file", "first", F.posexplode("docs").alias("i", "id")).select("file", (F.col("first") + F.col("i")).alias("ordinal"), "id")
     return names.join(lengths(scan_blocks(stream, eod)), ["file", "ordinal"]).select("id", "n_tokens")

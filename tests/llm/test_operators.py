@@ -253,12 +253,56 @@ def test_toxicity(spark, docs, rows, none):
     assert untrained.score(b"anything") == pytest.approx(0.5)
 
 
-def test_toxicity_passes_over_long_texts(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 40_000)
+def test_toxicity_passes_over_long_texts(spark):
     order = [r.id for r in spark.range(200).selectExpr("id").where("crc32(cast(cast(id as string) as binary)) % 5 <> 0").orderBy(toxicity.F.xxhash64("id"), "id").collect()]
     data = [(i, "quiet words of no harm " * (2000 if k == 0 else 3) if k % 2 == 0 else "stupid idiot words " * 3, k % 2) for k, i in enumerate(order)]
-    model = toxicity.train(spark.createDataFrame([x[:2] for x in data], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int"))
+    docs, labels = spark.createDataFrame([x[:2] for x in data], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, sample_bytes=20_000)
     assert model.score(b"stupid idiot") > 0.5 > model.score(b"quiet words of no harm")
+    huge = "stupid idiot " * 1_600_000  # 20 MB, the only toxic text
+    docs = spark.createDataFrame([(order[0], huge), (order[1], "quiet words of no harm"), (order[2], "of words and harm")], "doc_id long, text string")
+    labels = spark.createDataFrame([(order[0], 1), (order[1], 0), (order[2], 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, sample_bytes=20_000)
+    assert model.score(b"stupid idiot") > 0.5 > model.score(b"quiet words of no harm")
+
+
+def plain_value(text, gram):
+    """Mean over a window's words of the mean over a word's n-grams, the highest of all windows."""
+    value = []
+    for w in toxicity.words(text):
+        rows, _ = toxicity.bags([w], len(gram))
+        padded = b" " + w + b" "
+        assert len(rows) == sum(max(0, len(padded) - n + 1) for n in toxicity.GRAMS)
+        value.append(np.mean([float(gram[r]) for r in rows]))
+    n, size, stride = len(value), toxicity.WINDOW, toxicity.STRIDE
+    windows = [value[i : i + size] for i in range(0, n - size, stride)] + [value[max(0, n - size) :]]
+    return max(map(np.mean, windows))
+
+
+def test_toxicity_averages_and_gradients():
+    rng = np.random.default_rng(8)
+    texts = [b"some words and more words of a long text so that windows do overlap here", b"a bc", b"x", b"Stupid idiot people"]
+    gram = rng.normal(size=toxicity.ROWS).astype(np.float32)
+    for t in texts:
+        assert toxicity.Model(gram, -1.0).score(t) == pytest.approx(1 / (1 + math.exp(1.0 - plain_value(t, gram))))
+    corpus, y = toxicity.Corpus.of_texts(texts), np.array([0.0, 1.0, 0.0, 1.0])
+    weight, lo, hi = np.full(4, 0.25), corpus.begin[:-1], np.array([3, *corpus.begin[2:]])
+    table, soft = rng.normal(size=(toxicity.ROWS, 3)), rng.normal(size=(3, 2))
+
+    def loss(table, soft):
+        return toxicity.gradients(corpus, table, soft, corpus.running(table @ (soft[:, 1] - soft[:, 0])), lo, hi, y, weight)[0].sum()
+
+    _, of_gram, grad = toxicity.gradients(corpus, table, soft, corpus.running(table @ (soft[:, 1] - soft[:, 0])), lo, hi, y, weight)
+    for i, j in np.ndindex(3, 2):
+        step = np.zeros((3, 2))
+        step[i, j] = 1e-5
+        assert (loss(table, soft + step) - loss(table, soft - step)) / 2e-5 == pytest.approx(grad[i, j], rel=1e-4, abs=1e-9)
+    whole = np.outer(of_gram, soft[:, 1] - soft[:, 0])
+    for r in np.unique(corpus.rows)[:40]:
+        step = np.zeros_like(table)
+        step[r, 1] = 1e-5
+        assert (loss(table + step, soft) - loss(table - step, soft)) / 2e-5 == pytest.approx(whole[r, 1], rel=1e-4, abs=1e-9)
+    assert (of_gram[np.setdiff1d(np.arange(toxicity.ROWS), corpus.rows)] == 0).all()
 
 
 def test_mixing(docs, rows, none):
