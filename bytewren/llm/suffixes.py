@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytewren.llm.common import bound_batches, cut, least_hashes, utf8
+from bytewren.llm.common import bound_batches, cut, least_hashes, lookup, utf8
 
 MINIMUM, K = 50, 24
 SPAN = MINIMUM - K  # K-grams besides the first in a window; context bytes on either side of an anchor
@@ -126,11 +126,11 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
 
 
-def _rows(group: dict) -> list[tuple[int, int, bytes]]:
-    """(rid, doc, text) of a group's rows that are no copies."""
-    text, at, gone, out = zstandard.decompress(group["z"]), 0, set(group["gone"] or ()), []
+def _rows(group: dict, every: bool = False) -> list[tuple[int, int, bytes]]:
+    """(rid, doc, text) of a group's rows, or of those that can have repeats and are no copies."""
+    text, at, gone, out = zstandard.decompress(group["z"]), 0, set(group.get("gone") or ()), []
     for rid, doc, size in zip(group["rids"], group["docs"], group["sizes"]):
-        if rid not in gone:
+        if every or (doc is not None and size >= MINIMUM and rid not in gone):
             out.append((rid, doc, text[at : at + size]))
         at += size
     return out
@@ -385,48 +385,46 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 (and kept: binary).
 
     Null texts are empty. A row with a null id is never smaller than another and
-    keeps its text. Rows with equal ids don't remove each other's bytes.
+    keeps its text. Rows with equal ids don't remove each other's bytes. An empty
+    table gives no rows; further columns are ignored. A very long text is looked
+    at in pieces but lies whole in one task.
     """
     spark = docs.sparkSession
     bound_batches(spark)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())], names=["rid", "doc", "size", "sha"])
-
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+        kinds = (pa.int64(), *(pa.list_(pa.int64()),) * 3, pa.list_(pa.binary()), pa.binary())
         group: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
             rids, ids, texts = zip(*group)
-            row = (rids[0] >> GROUP, rids, ids, [len(t) for t in texts], zstandard.compress(b"".join(texts), 3))
+            row = (rids[0] >> GROUP, rids, ids, [len(t) for t in texts], [hashlib.sha256(t).digest() for t in texts], zstandard.compress(b"".join(texts), 3))
             group.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=["g", "rids", "docs", "sizes", "z"])
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=["g", "rids", "docs", "sizes", "shas", "z"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if group and group[0][0] >> GROUP != row[0] >> GROUP:
                     yield flush()
-                if row[1] is not None and len(row[2]) >= MINIMUM:
-                    group.append(row)
+                group.append(row)
         if group:
             yield flush()
 
     source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc"), utf8(text_col).alias("t"))
-    rows = cut(source.mapInArrow(digest, "rid long, doc long, size long, sha binary"))
-    lowest = cut(rows.where("doc is not null").groupBy("sha").agg(F.min("doc").alias("lowest")))
-    flagged = rows.join(lowest, "sha", "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("lowest"), F.lit(False)))
-    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    # Rows are numbered here and nowhere else; all that follows reads what is written.
+    # They stay dealt by group: later joins move only their other side.
+    total, count = docs.agg(F.coalesce(F.sum(F.octet_length(utf8(text_col)).cast("long")), F.lit(0)), F.count("*")).first()
     buckets = max(spark.sparkContext.defaultParallelism, -(-total // BUCKET))
     bits = (buckets - 1).bit_length()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * BUCKET)))
-
+    grouped = source.mapInArrow(shrink, "g long, rids array<long>, docs array<long>, sizes array<long>, shas array<binary>, z binary")
+    numbered = cut(grouped.repartition(parts, "g"))
+    rows = numbered.select(F.explode(F.arrays_zip(F.col("rids").alias("rid"), F.col("docs").alias("doc"), F.col("sizes").alias("size"), F.col("shas").alias("sha"))).alias("x")).select("x.*")
+    lowest = cut(rows.where("doc is not null").groupBy("sha").agg(F.min("doc").alias("lowest")))
+    flagged = lookup(rows, lowest, "sha", count, "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("lowest"), F.lit(False)))
+    flagged = cut(flagged)
     copied = flagged.where(f"copy and size >= {MINIMUM}").groupBy(F.shiftright("rid", GROUP).alias("g")).agg(F.collect_list("rid").alias("gone"))
-    packed = source.mapInArrow(shrink, "g long, rids array<long>, docs array<long>, sizes array<long>, z binary")
-    # Stays dealt by group: later joins move only their other side.
-    packed = cut(packed.repartition(parts, "g").join(copied.repartition(parts, "g"), "g", "left"))
+    packed = numbered.drop("shas").join(cut(copied.repartition(parts, "g")), "g", "left")
     hashes = shared_hashes(packed, bits, parts)
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -473,4 +471,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     if not with_text:
         return out.drop("rid", "kept")
-    return out.join(source.select("rid", "t"), "rid").withColumn("kept", F.coalesce("kept", "t")).drop("rid", "t")
+
+    def whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(r[0], r[2]) for group in batch.to_pylist() for r in _rows(group, every=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in made], pa.int64()), pa.array([t for _, t in made], pa.binary())], names=["rid", "t"])
+
+    texts = numbered.mapInArrow(whole_texts, "rid long, t binary")
+    return out.join(texts, "rid", "left").withColumn("kept", F.coalesce("kept", "t")).drop("rid", "t")
