@@ -15,22 +15,26 @@ similar pair is missed.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytewren.llm.common import bound_batches, connected_components, cut, lookup, parts_for, table, unused, utf8
+from bytewren.llm.common import bound_batches, connected_components, cut, forest, lookup, parts_for, table, unused, utf8
 
 SEED, SHINGLE, CHUNK = 42, 3, 1 << 15
 #: Words of a shingle and least Jaccard similarity, in tenths, for copies of a text.
 WIDE, TENTHS = 5, 8
 #: Counters of how common shingles are, and pieces in which they travel. They bear on the time only, not on the result.
 CELLS, PIECES = 1 << 22, 64
+#: Texts that share a shingle and are paired; of more, chunks of so many are compared in one task, so many shingles at a time.
+FEW, CROWD, SLICE = 50, 512, 4096
 
 
 def shingles_of(text: bytes, width: int) -> list[bytes]:
@@ -192,6 +196,78 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(lookup(first, y, "b", count).where(_enough(F.size(F.array_intersect("xa", "xb")))).select("a", "b"))
 
 
+def _few_pairs(held: DataFrame) -> DataFrame:
+    """(a, b, na, nb) that may be similar, from shingles that FEW texts at most hold: (h, g, n, part), one part never with itself."""
+    a, b = (held.select(F.col("g").alias(x), F.col("n").alias(f"n{x}"), F.col("part").alias(f"p{x}"), "h") for x in "ab")
+    close = 10 * F.least("na", "nb") >= TENTHS * F.greatest("na", "nb")
+    # Once the shorter head ends, only what comes after it in its own set can still be shared. Shingles held by many are not counted here.
+    rest = a.join(b, "h").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & close)
+    return rest.select("a", "b", "na", "nb").distinct()
+
+
+def crowd_links(ids: np.ndarray, sets: list[np.ndarray], split: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (a, b) of the similar pairs: rows below ``split`` with those from there on; all with each other if it is 0."""
+    n = len(sets)
+    left, right = (np.arange(split), np.arange(split, n)) if split else (np.arange(n), np.arange(n))
+    size = np.array([len(x) for x in sets])
+    flat, row = np.concatenate([np.empty(0, np.int64), *sets]), np.repeat(np.arange(n), size)
+    _, column, often = np.unique(flat, return_inverse=True, return_counts=True)
+    use = often[column] > 1  # others are shared by none
+    _, column = np.unique(column[use], return_inverse=True)
+    row = row[use]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, SLICE):
+        a, b = np.searchsorted(column, [start, start + SLICE])
+        has = np.zeros((n, min(SLICE, int(column[-1]) + 1 - start)), np.float32)
+        has[row[a:b], column[a:b] - start] = 1
+        shared += has[left] @ has[right].T
+    near = (10 + TENTHS) * shared.astype(np.int64) >= TENTHS * (size[left][:, None] + size[right][None, :])
+    i, j = np.nonzero(near)
+    i, j = left[i], right[j]
+    keep = i != j
+    node, root = forest(ids[i[keep]], ids[j[keep]]) if keep.any() else (np.empty(0, np.int64),) * 2
+    return node[node != root], root[node != root]
+
+
+def _crowds(held: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links that keep together what is similar among texts that share a shingle which more than FEW hold: (h, g, n, part).
+
+    Texts that hang together through such shingles are a crowd. It is cut into
+    bands of like size, of which only neighbours can be similar, and bands into
+    chunks. Whole sets are compared chunk by chunk; what leaves a task is a
+    forest, never the pairs.
+    """
+    held = cut(held.select("h", "g", "n"))
+    count = held.count()
+    first = held.groupBy("h").agg(F.min("g").alias("c"))
+    together = connected_components(lookup(held, first, "h", count).select(F.col("g").alias("a"), F.col("c").alias("b")))
+    members = cut(held.select("g", "n").distinct().join(together.select(F.col("node").alias("g"), F.col("component").alias("crowd")), "g"))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(10 / TENTHS)).cast("int")  # similar sets are one band apart at most
+    sizes = members.groupBy("crowd", band.alias("band")).agg(F.ceil(F.count("*") / CROWD).cast("int").alias("chunks"))
+    placed = members.withColumn("band", band).join(sizes, ["crowd", "band"]).withColumn("chunk", F.pmod(F.xxhash64("g"), F.col("chunks")).cast("int"))
+    whole = table(_whole_sets(texts.join(members.select(F.col("g").alias("row")), "row", "left_semi")))
+    whole = table(placed.join(whole, "g").select("crowd", "band", "chunk", "chunks", "g", "x"))
+    above = sizes.select("crowd", (F.col("band") - 1).alias("band"), F.col("chunks").alias("upper"))
+    # A cell is two chunks, or one with itself: of the same band (i <= j), or of a band (i) and the next one (j).
+    own = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.col("band").alias("at"), F.lit(0).alias("step"), F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j"), (F.col("chunk") > o).cast("int").alias("side")))
+    up = F.when(F.col("upper").isNotNull(), F.transform(F.sequence(F.lit(0), F.coalesce("upper", F.lit(1)) - 1), lambda o: F.struct(F.col("band").alias("at"), F.lit(1).alias("step"), F.col("chunk").alias("i"), o.alias("j"), F.lit(0).alias("side"))))
+    down = F.when(F.col("lower").isNotNull(), F.transform(F.sequence(F.lit(0), F.coalesce("lower", F.lit(1)) - 1), lambda o: F.struct((F.col("band") - 1).alias("at"), F.lit(1).alias("step"), o.alias("i"), F.col("chunk").alias("j"), F.lit(1).alias("side"))))
+    below = sizes.select("crowd", (F.col("band") + 1).alias("band"), F.col("chunks").alias("lower"))
+    dealt = whole.join(above, ["crowd", "band"], "left").join(below, ["crowd", "band"], "left")
+    cells = dealt.select("crowd", "g", "x", F.explode(F.concat(own, F.coalesce(up, F.slice(own, 1, 0)), F.coalesce(down, F.slice(own, 1, 0)))).alias("c")).select("crowd", "c.*", "g", "x")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        same = frame["step"].iloc[0] == 0 and frame["i"].iloc[0] == frame["j"].iloc[0]
+        frame = frame.sort_values(["side", "g"])
+        split = 0 if same else int((frame["side"] == 0).sum())
+        a, b = crowd_links(frame["g"].to_numpy(), frame["x"].tolist(), split) if same or 0 < split < len(frame) else ((), ())
+        return pd.DataFrame({"a": a, "b": b}).astype("int64")
+
+    return cut(cells.groupBy("crowd", "at", "step", "i", "j").applyInPandas(compare, "a long, b long"))
+
+
 def _near(texts: DataFrame) -> DataFrame:
     """(row, id, component) for a written table (row, id, t); see near_duplicates."""
     rows = table(_sets(texts, frequency_levels(texts)))
@@ -209,15 +285,11 @@ def _near(texts: DataFrame) -> DataFrame:
     links = _similar(stars, texts)
     found = cut(connected_components(links))
 
-    # Then what shares a shingle but no component yet. Once the shorter head ends, only what comes after it can still be shared.
-    parted = shared.join(found.withColumnRenamed("node", "g"), "g", "left").withColumn("part", F.coalesce("component", "g")).select("h", "g", "n", "part")
-    parted = cut(parted)
-    open_ = parted.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("h")
-    left = cut(parted.join(open_, "h", "left_semi"))
-    a, b = (left.select(F.col("g").alias(x), F.col("n").alias(f"n{x}"), F.col("part").alias(f"p{x}"), "h") for x in "ab")
-    after = F.greatest(*(F.ceil(F.col(n) * TENTHS / 10) - 1 for n in ("na", "nb")))
-    rest = a.join(b, "h").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & close).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    links = links.union(_similar(rest.where(_enough(F.col("c") + after)).select("a", "b", "na", "nb"), texts))
+    # Then what shares a shingle but no component yet.
+    parted = cut(shared.join(found.withColumnRenamed("node", "g"), "g", "left").select("h", "g", "n", F.coalesce("component", "g").alias("part")))
+    open_ = cut(parted.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("k")).where("p <> q").select("h", "k"))
+    few = cut(parted.join(open_.where(F.col("k") <= FEW), "h", "left_semi"))
+    links = links.union(_similar(_few_pairs(few), texts)).union(_crowds(lookup(parted, open_.where(F.col("k") > FEW).select("h", "k"), "h", held), texts))
     classes = _classes(groups.select("key", "low", "g"), connected_components(links), "g", parts_for(total))
     named = cut(groups.join(classes, "g").select("key", "component"))
     return lookup(rows.select("row", "id", "key"), named, "key", total).select("row", "id", "component")
@@ -234,8 +306,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows with equal sets (those without words, as null and empty texts, among
     them) are joined through the set's digest, never paired. Other texts are first compared
-    with one text for each shingle of their heads, and only what is in different
-    components after that is paired; every pair of sets found is compared whole.
+    with one text for each shingle of their heads. Only what is in different
+    components after that is paired if few share the shingle, and compared chunk by
+    chunk if many do; sets are always compared whole.
     A very long text costs its own length. A null id keeps its row but never
     names a component unless all ids of the component are null; repeated ids
     keep their rows; an empty table gives no rows; further columns are ignored.

@@ -158,8 +158,12 @@ def test_fingerprint_duplicates(docs, rows, none):
     assert simhash.fingerprint_duplicates(none).count() == 0
 
 
-def test_near_duplicates_are_all_texts_of_similarity_0_8(spark):
-    """Also those whose fingerprints are far apart."""
+@pytest.mark.parametrize("few, crowd", [(50, 512), (2, 8)])
+def test_near_duplicates_are_all_texts_of_similarity_0_8(spark, monkeypatch, few, crowd):
+    """Also those whose fingerprints are far apart, in pairs and in crowds."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "SLICE", 100)
     rng = random.Random(12)
     word = lambda: f"w{rng.randrange(3000)}"
     texts, line = [], "a line that many texts hold in the middle of them"
