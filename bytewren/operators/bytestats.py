@@ -105,12 +105,34 @@ def apply_transform(df: DataFrame, id_col: str, content_col: str, name: str, str
     return each.select("stream_id", "pos", "b")
 
 
+def reverse_transform(each: DataFrame, name: str, stride: int) -> DataFrame:
+    """(stream_id, pos, b) as before apply_transform."""
+    if name == "delta":
+        return each.select("stream_id", "pos", delta_decode(each, stride, "b").alias("b"))
+    if name == "byteplane" and stride > 1:
+        n = F.count("*").over(Window.partitionBy("stream_id"))
+        return each.withColumn("_n", n).select("stream_id", plane_source(stride, F.col("pos"), F.col("_n")).alias("pos"), "b")
+    return each
+
+
+def transform_label(transform: tuple[str, int] | None) -> str:
+    """A parsed transform as text, as parse_transform reads it."""
+    if transform is None:
+        return "auto"
+    name, stride = transform
+    return f"{name}:{stride}" if stride else name
+
+
 def adaptive_encode(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
-    """(stream_id, transform, pos, b): every stream under the transform detected on its sample."""
-    found = detect_transform(df, id_col, content_col).select("stream_id", "transform")
-    base = with_lags(streams(df, id_col, content_col), *DELTAS)
-    size = df.select(F.col(id_col).alias("stream_id"), F.octet_length(F.col(content_col).cast("binary")).alias("_n"))
-    each = base.join(found.join(size, "stream_id"), "stream_id")
+    """(stream_id, transform, pos, b): every stream under the transform detected on its sample.
+
+    Streams meet their transform before they are exploded. Rows with one id have one transform.
+    """
+    found = detect_transform(df, id_col, content_col).select("stream_id", "transform").distinct()
+    size = F.octet_length(F.col(content_col).cast("binary"))
+    named = df.select(F.col(id_col).alias("stream_id"), F.col(content_col).alias("_c"), size.alias("_n")).join(found, "stream_id")
+    keyed = named.select(F.struct("stream_id", "transform", "_n").alias("key"), "_c")
+    each = with_lags(streams(keyed, "key", "_c"), *DELTAS).select("stream_id.*", "pos", "b", *(f"lag{s}" for s in DELTAS))
     b, pos = F.col("b"), F.col("pos")
     for s in DELTAS:
         b = F.when(F.col("transform") == f"delta_{s}", delta(s).cast("int")).otherwise(b)

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bytewren.operators.predictors import AdaptiveMixer, BiasHead, TokenNgrams
+from bytewren.sources import vocabulary
+
 TOTAL, TOP = 1 << 24, 1 << 24
 MASK = (1 << 32) - 1
 #: Container: magic, bytes of the stream, symbols, then the model's parameters, which a decoder needs as well.
@@ -124,6 +127,80 @@ def decompress(blob: bytes) -> bytes:
     return bytes(out)
 
 
+class TokenEnsemble:
+    """What the token codec predicts with: n-grams and a bias head, mixed adaptively; the first token is uniform."""
+
+    def __init__(self, size: int) -> None:
+        self.grams, self.head, self.mixer = TokenNgrams(size, 0.5), BiasHead(size), AdaptiveMixer()
+        self.base, self.p = np.zeros(size), None
+
+    def table(self) -> np.ndarray:
+        if not self.grams.last:
+            return uniform(len(self.base))
+        self.parts = self.grams.bias(), self.head.bias.copy()
+        self.p = self.mixer.mix(self.base, *self.parts)
+        return cdf(self.p)
+
+    def observe(self, token: int) -> None:
+        if self.grams.last:
+            self.mixer.update(self.p, *self.parts, token)
+            self.head.update(self.p, token)
+        self.grams.observe(token)
+
+
+#: Container of tokens: magic, bytes of the stream, tokens.
+TOKEN_HEAD, TOKEN_MAGIC = struct.Struct("<8sII"), b"BWRNTOK1"
+
+
+def compress_tokens(data: bytes, tokens: dict[bytes, int]) -> bytes:
+    """A stream cut by greedy longest match and coded token by token; every single byte of it must be a token."""
+    if missing := [b for b in set(data) if bytes([b]) not in tokens]:
+        raise ValueError(f"the vocabulary lacks the bytes {sorted(missing)}")
+    ids = vocabulary.tokens(data, tokens)
+    encoder, model = Encoder(), TokenEnsemble(max(tokens.values()) + 1)
+    for token in ids:
+        table = model.table()
+        encoder.encode(int(table[token]), int(table[token + 1]), int(table[-1]))
+        model.observe(token)
+    return TOKEN_HEAD.pack(TOKEN_MAGIC, len(data), len(ids)) + (encoder.finish() if ids else b"")
+
+
+def decompress_tokens(blob: bytes, tokens: dict[bytes, int]) -> bytes:
+    if len(blob) < TOKEN_HEAD.size or not blob.startswith(TOKEN_MAGIC):
+        raise ValueError("not a container of tokens")
+    _, size, count = TOKEN_HEAD.unpack_from(blob)
+    bytes_of = {i: t for t, i in tokens.items()}
+    decoder, model, out = Decoder(blob[TOKEN_HEAD.size :]), TokenEnsemble(max(tokens.values()) + 1), []
+    for _ in range(count):
+        table = model.table()
+        token = int(np.searchsorted(table, decoder.position(int(table[-1])), "right")) - 1
+        decoder.take(int(table[token]), int(table[token + 1]), int(table[-1]))
+        model.observe(token)
+        out.append(bytes_of[token])
+    data = b"".join(out)
+    if len(data) != size:
+        raise ValueError("the container's length is another")
+    return data
+
+
+def token_count(blob: bytes) -> int:
+    return TOKEN_HEAD.unpack_from(blob)[2]
+
+
+def code_tokens(df: DataFrame, id_col: str, content_col: str, tokens: dict[bytes, int]) -> DataFrame:
+    """(stream_id, n_bytes, n_tokens, coded, lossless): each stream coded token by token, decoded and compared, in place."""
+    sent = df.sparkSession.sparkContext.broadcast(tokens)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            coded = [compress_tokens(d, sent.value) for d in frame["content"]]
+            back = [decompress_tokens(c, sent.value) == d for c, d in zip(coded, frame["content"])]
+            yield pd.DataFrame({"stream_id": frame["stream_id"], "n_bytes": [len(d) for d in frame["content"]], "n_tokens": [token_count(c) for c in coded], "coded": coded, "lossless": back})
+
+    content = F.coalesce(F.col(content_col).cast("binary"), F.lit("").cast("binary"))
+    return df.select(F.col(id_col).alias("stream_id"), content.alias("content")).mapInPandas(run, "stream_id long, n_bytes long, n_tokens long, coded binary, lossless boolean")
+
+
 def call_transform(data: bytes, decode: bool = False) -> tuple[bytes, dict[str, int]]:
     """Relative addresses after call and jump bytes made absolute, or back. A bijection.
 

@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytewren.sources.streams import grams, streams, with_lags
+from bytewren.sources.streams import grams, streams, with_lag_chars, with_lags
 
 #: Offsets of the skip-gram contexts, and lengths and candidates of the match search (fixed values).
 SKIPS = ((1, 3), (1, 2, 4, 8), (4, 8, 12))
-LENGTHS, CANDIDATES = (4, 8, 16, 32), 4
+LENGTHS, CANDIDATES = (4, 8, 16, 32, 64, 128), 4
+#: Contexts longer than this are keyed by their digest.
+BY_BYTES = 32
 #: Weights of n-gram orders and smoothing (fixed values).
 WEIGHTS, ALPHA = (0.05, 0.15, 0.30, 0.50), 0.01
 SMOOTH = 0.1
@@ -39,9 +41,9 @@ def order_k_costs(df: DataFrame, id_col: str, content_col: str, k: int, limit: i
 def sparse_contexts(df: DataFrame, id_col: str, content_col: str, limit: int = 0) -> DataFrame:
     """(stream_id, skip, pos, ctx, b): skip-gram contexts as exact keys, warm-up left out."""
     lags = sorted({o for s in SKIPS for o in s})
-    each = with_lags(streams(df, id_col, content_col, limit), *lags)
-    options = F.array(*(F.struct(F.lit(i).alias("skip"), F.concat_ws(" ", *(F.col(f"lag{o}") for o in s)).alias("ctx"), F.lit(max(s)).alias("warm")) for i, s in enumerate(SKIPS)))
-    return each.select("stream_id", "pos", "b", F.explode(options).alias("x")).where("pos >= x.warm").select("stream_id", "x.skip", "pos", "x.ctx", "b")
+    each = with_lag_chars(streams(df, id_col, content_col, limit), *lags)
+    options = F.array(*(F.struct(F.lit(i).alias("skip"), F.concat(*(F.col(f"c{o}") for o in s)).alias("ctx")) for i, s in enumerate(SKIPS)))
+    return each.select("stream_id", "pos", F.ascii("ch").alias("b"), F.explode(options).alias("x")).where("x.ctx is not null").select("stream_id", "x.skip", "pos", "x.ctx", "b")
 
 
 def last_successor(df: DataFrame, id_col: str, content_col: str, limit: int = 0) -> DataFrame:
@@ -51,18 +53,32 @@ def last_successor(df: DataFrame, id_col: str, content_col: str, limit: int = 0)
     return each.select("stream_id", "pos", "b", F.coalesce(F.lag("b").over(seen), F.lit(0)).alias("guess"))
 
 
+def _of_order(one, k: int):
+    """A function of the place alone: Spark gives a second argument its own meaning."""
+    return lambda i: one(i, k)
+
+
 def token_grams(df: DataFrame, tokens: str, *keys: str, orders: int = 4) -> DataFrame:
     """(*keys, k, ctx, token, n): counts of a token after the k tokens before it; tokens is an array column."""
-    parts = []
+    at = lambda i: F.element_at(tokens, i)
+    joined = lambda i, k: F.array_join(F.slice(tokens, i - k, k), " ")
+    one = lambda i, k: F.struct(F.lit(k).alias("k"), joined(i, k).alias("ctx"), at(i).alias("token"))
+    none = F.slice(F.array(one(F.lit(1), 0).cast("struct<k:int,ctx:string,token:string>")), 1, 0)
+    every = []
     for k in range(1, orders + 1):
-        n = F.greatest(F.size(tokens) - k, F.lit(0))
-        z = F.arrays_zip(*(F.slice(tokens, i + 1, n).alias(f"t{i}") for i in range(k + 1)))
-        each = df.select(*keys, F.explode(z).alias("z"))
-        parts.append(each.select(*keys, F.lit(k).alias("k"), F.concat_ws(" ", *(F.col(f"z.t{i}") for i in range(k))).alias("ctx"), F.col(f"z.t{k}").alias("token")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    return every.groupBy(*keys, "k", "ctx", "token").agg(F.count("*").alias("n"))
+        places = F.sequence(F.lit(k + 1), F.greatest(F.size(tokens), F.lit(k + 1)))
+        every.append(F.when(F.size(tokens) > k, F.transform(places, _of_order(one, k))).otherwise(none))
+    each = df.where(F.size(tokens) > 1).select(*keys, F.explode(F.concat(*every)).alias("z"))
+    return each.groupBy(*keys, "z.k", "z.ctx", "z.token").agg(F.count("*").alias("n"))
+
+
+def position_confidences(df: DataFrame, tokens: str, known: DataFrame, *keys: str, orders: int = 4) -> DataFrame:
+    """(*keys, k, confidence) for every position: that of the highest order whose context is in ``known`` (from confidences())."""
+    joined = lambda i, k: F.array_join(F.slice(tokens, i - k, k), " ")
+    contexts = F.transform(F.sequence(F.lit(1), F.least(F.col("i") - 1, F.lit(orders))), lambda k: F.struct(k.alias("k"), joined(F.col("i"), k).alias("ctx")))
+    each = df.withColumn("row", F.monotonically_increasing_id()).where(F.size(tokens) > 1).select("row", *keys, tokens, F.explode(F.sequence(F.lit(2), F.size(tokens))).alias("i"))
+    asked = each.select("row", "i", *keys, F.explode(contexts).alias("x")).select("row", "i", *keys, "x.k", "x.ctx")
+    return asked.join(known, [*keys, "k", "ctx"]).groupBy("row", "i", *keys).agg(F.max("k").alias("k"), F.max_by("confidence", "k").alias("confidence")).select(*keys, "k", "confidence")
 
 
 def confidences(counts: DataFrame, *keys: str) -> DataFrame:
@@ -87,11 +103,15 @@ def entropy_scale(entropy: Column, scale: float = 1.0) -> Column:
     return F.greatest(F.lit(0.2), F.least(F.lit(2.5), 0.4 + 0.6 * entropy / 5.5)) * scale
 
 
+def _key(context: Column, length: int) -> Column:
+    return F.md5(context.cast("binary")) if length > BY_BYTES else context
+
+
 def match_candidates(df: DataFrame, id_col: str, content_col: str, limit: int = 0) -> DataFrame:
     """(stream_id, pos, len, source): for each position up to four latest earlier positions after an equal context of each length.
 
-    ``pos`` is the position to predict; contexts are exact bytes, so a candidate
-    needs no further check. Lengths up to 32 are keyed by their hash and bytes.
+    ``pos`` is the position to predict; contexts are exact bytes, or their digest beyond
+    BY_BYTES, so a candidate needs no further check.
     """
     cut = streams(df, id_col, content_col, limit)
     text = cut.withColumn("s", F.array_join("chars", "")).withColumn("n", F.size("chars"))
@@ -100,7 +120,7 @@ def match_candidates(df: DataFrame, id_col: str, content_col: str, limit: int =
     block = 256
     blocks = text.select("stream_id", "n", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block)), lambda k: F.struct(k.alias("k"), F.substring(F.concat(F.lit("~" * longest), F.col("s")), (k * block + 1).cast("int"), F.lit(block + longest)).alias("w")))).alias("x"))
     each = blocks.select("stream_id", "n", "x.k", "x.w", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("i")).withColumn("pos", (F.col("k") * block + F.col("i")).cast("int")).where("pos < n")
-    keyed = each.select("stream_id", "pos", F.explode(F.array(*(F.struct(F.lit(m).alias("len"), F.substring("w", F.col("i") + longest - m + 1, F.lit(m)).alias("ctx")) for m in LENGTHS))).alias("x")).select("stream_id", "pos", "x.len", "x.ctx").where("pos >= len")
+    keyed = each.select("stream_id", "pos", F.explode(F.array(*(F.struct(F.lit(m).alias("len"), _key(F.substring("w", F.col("i") + longest - m + 1, F.lit(m)), m).alias("ctx")) for m in LENGTHS))).alias("x")).select("stream_id", "pos", "x.len", "x.ctx").where("pos >= len")
     seen = Window.partitionBy("stream_id", "len", "ctx").orderBy("pos")
     found = F.array_compact(F.array(*(F.lag("pos", i).over(seen) for i in range(1, CANDIDATES + 1))))
     sources = keyed.select("stream_id", "pos", "len", found.alias("found"))

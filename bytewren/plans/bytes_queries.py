@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bytewren.operators import bytestats as bs
 from bytewren.plans.registry import BYTES, query, read
-from bytewren.sources.streams import byte_count, explode_bytes, grams, streams, with_lags
+from bytewren.sources.streams import byte_count, explode_bytes, streams, with_lag_chars, with_lags
 
 ENTROPY = "round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6)"
 
@@ -141,7 +141,17 @@ def detect_transform_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"raw_entropy": F.round("raw_entropy", 6), "best_entropy": F.round("best_entropy", 6)})
 
 
-@query()
+def _adaptive_sql() -> str:
+    """Every byte under its stream's transform, from the detection's SQL."""
+    found = _detect_sql()
+    value = "CASE transform " + " ".join(f"WHEN 'delta_{s}' THEN CASE WHEN l{s} IS NULL THEN b ELSE (b - l{s} + 256) % 256 END" for s in bs.DELTAS) + " ELSE b END"
+    place = "CASE transform " + " ".join(f"WHEN 'byteplane_{s}' THEN (pos % {s}) * (n // {s}) + least(pos % {s}, n % {s}) + pos // {s}" for s in bs.PLANES) + " ELSE pos END"
+    return f"""WITH f AS ({found}), {BYTES}, w AS (SELECT *, {", ".join(f"lag(b, {s}) OVER o AS l{s}" for s in bs.DELTAS)}, count(*) OVER (PARTITION BY stream_id) AS n FROM b WINDOW o AS (PARTITION BY stream_id ORDER BY pos)),
+    e AS (SELECT stream_id, transform, {value} AS v, {place} AS p FROM w JOIN f USING (stream_id))
+    SELECT stream_id, transform, count(*) AS n_bytes, CAST(sum(v * (p % 97 + 1)) AS BIGINT) AS encoded_sum FROM e GROUP BY stream_id, transform"""
+
+
+@query(_adaptive_sql())
 def adaptive_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of every stream under its own transform."""
     each = bs.adaptive_encode(read(spark, sf_dir, "documents"), "doc_id", "text")
@@ -195,14 +205,12 @@ def _orders(sql: str) -> str:
 
 
 def _order_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(lang, k, ctx, nxt, n) for k from 0 to 4."""
+    """(lang, k, ctx, nxt, n) for k from 0 to 4: bytes are exploded once, then each into its five contexts."""
     cut = streams(read(spark, sf_dir, "documents"), "doc_id", "text", 0, "lang")
-    langs = cut.select(F.struct("lang", "stream_id").alias("stream_id"), "chars")
-    all_ = None
-    for k in range(5):
-        part = grams(langs, k).select("stream_id.lang", F.lit(k).alias("k"), "ctx", "nxt")
-        all_ = part if all_ is None else all_.union(part)
-    return all_.groupBy("lang", "k", "ctx", "nxt").agg(F.count("*").alias("n"))
+    each = with_lag_chars(cut.select(F.col("lang").alias("stream_id"), "chars"), 1, 2, 3, 4)
+    contexts = F.array(*(F.struct(F.lit(k).alias("k"), (F.concat(*(F.col(f"c{i}") for i in range(k, 0, -1))) if k else F.lit("")).alias("ctx")) for k in range(5)))
+    rows = each.select(F.col("stream_id").alias("lang"), F.col("ch").alias("nxt"), F.explode(contexts).alias("x")).where("x.ctx is not null")
+    return rows.groupBy("lang", "x.k", "x.ctx", "nxt").agg(F.count("*").alias("n"))
 
 
 @query(_orders("SELECT lang, k, count(DISTINCT ctx) AS n_contexts, count(*) AS n_pairs, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY ALL"))

@@ -69,21 +69,52 @@ def ngram_bias_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.groupBy("role", "token").agg(F.round(F.sum(cx.bias_logit(F.col("n"), F.col("k"), 0.5)), 5).alias("bias"))
 
 
-@query(f"WITH {_TOKENS}, t AS (SELECT role, k, ctx, sum(n) AS total FROM c GROUP BY ALL), v AS (SELECT role, count(DISTINCT token) AS v FROM c GROUP BY role) SELECT role, k, ctx, token, round(ln((n + {cx.ALPHA}) / (total + {cx.ALPHA} * v)), 6) AS logit FROM c JOIN t USING (role, k, ctx) JOIN v USING (role) WHERE k = 2")
+@query(f"WITH {_TOKENS}, t AS (SELECT role, k, ctx, sum(n) AS total FROM c GROUP BY ALL), v AS (SELECT role, count(DISTINCT token) AS v FROM c GROUP BY role) SELECT role, k, ctx, token, round(ln((n + {cx.ALPHA}) / (total + {cx.ALPHA} * v)), 6) AS logit, round(ln({cx.ALPHA} / (total + {cx.ALPHA} * v)), 6) AS unseen FROM c JOIN t USING (role, k, ctx) JOIN v USING (role)")
 def ngram_standalone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logits of the tokens seen after each context of every order, and of any other token."""
     counts = _tokens(spark, sf_dir)
     words = counts.groupBy("role").agg(F.countDistinct("token").alias("v"))
-    pairs = counts.where("k = 2")
-    totals = pairs.groupBy("role", "k", "ctx").agg(F.sum("n").alias("total"))
-    joined = pairs.join(totals, ["role", "k", "ctx"]).join(F.broadcast(words), "role")  # a row for each of the few roles
-    return joined.select("role", "k", "ctx", "token", F.round(cx.standalone_logit(F.col("n"), F.col("total"), F.col("v")), 6).alias("logit"))
+    totals = counts.groupBy("role", "k", "ctx").agg(F.sum("n").alias("total"))
+    joined = counts.join(totals, ["role", "k", "ctx"]).join(F.broadcast(words), "role")  # a row for each of the few roles
+    logit = lambda n: F.round(cx.standalone_logit(n, F.col("total"), F.col("v")), 6)
+    return joined.select("role", "k", "ctx", "token", logit(F.col("n")).alias("logit"), logit(F.lit(0)).alias("unseen"))
+
+
+_ASKED = " UNION ALL ".join(f"SELECT id, role, i, {k} AS k, concat_ws(' ', {', '.join(f'w[i - {k - j}]' for j in range(k))}) AS ctx FROM q WHERE i > {k}" for k in range(1, 5))
+
+
+@query(f"WITH {_TOKENS}, s AS (SELECT role, k, ctx, max(n) / sum(n) AS confidence FROM c GROUP BY ALL HAVING sum(n) >= 2), u AS (SELECT conv_id * 1000 + turn AS id, role, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM conversations), q AS (SELECT id, role, w, generate_subscripts(w, 1) AS i FROM u), a AS ({_ASKED}), m AS (SELECT id, role, i, max(k) AS k, arg_max(confidence, k) AS confidence FROM a JOIN s USING (role, k, ctx) GROUP BY ALL) SELECT role, k, count(*) AS n, round(avg(confidence), 6) AS confidence FROM m GROUP BY role, k")
+def ngram_position_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At every position the highest order whose context was met twice or more, and its confidence."""
+    talk = read(spark, sf_dir, "conversations").select("role", F.filter(F.split("text", " "), lambda x: x != "").alias("w"))
+    known = cx.confidences(_tokens(spark, sf_dir), "role").select("role", "k", "ctx", "confidence")
+    found = cx.position_confidences(talk, "w", known, "role")
+    return found.groupBy("role", "k").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
+@query("WITH w AS (SELECT role, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS w FROM conversations), c AS (SELECT role, w, count(*) AS n FROM w GROUP BY ALL), t AS (SELECT role, sum(n) AS t FROM c GROUP BY role), s AS (SELECT role, n, -log2(n / t) / octet_length(encode(w)) AS bits, unnest(regexp_extract_all(hex(encode(w)), '..')) AS h FROM c JOIN t USING (role)) SELECT role, CAST('0x' || h AS INTEGER) AS b, CAST(sum(n) AS BIGINT) AS n, round(sum(n * bits), 4) AS bits FROM s GROUP BY role, b")
+def token_bits_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A token's cost under its role's shares, dealt evenly to its bytes, and summed by byte."""
+    words = read(spark, sf_dir, "conversations").select("role", F.explode(F.split("text", " ")).alias("w")).where("w <> ''").groupBy("role", "w").agg(F.count("*").alias("n"))
+    total = F.broadcast(words.groupBy("role").agg(F.sum("n").alias("t")))  # a row for each of the few roles
+    cost = words.join(total, "role").select("role", "n", "w", (-F.log2(F.col("n") / F.col("t")) / F.octet_length("w")).alias("bits"))
+    each = explode_bytes(cost, "role", "w", 0, "n", "bits")
+    return each.groupBy(F.col("stream_id").alias("role"), "b").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("bits")), 4).alias("bits"))
+
+
+@query("SELECT r.role, round(t.e, 6) AS entropy, round(greatest(0.2, least(2.5, 0.4 + 0.6 * t.e / 5.5)) * 0.5, 6) AS scale FROM (SELECT DISTINCT role FROM conversations) r JOIN (SELECT role, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS e FROM (SELECT role, w, count(*) AS n FROM (SELECT role, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS w FROM conversations) GROUP BY ALL) GROUP BY role) t USING (role)")
+def ngram_entropy_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The n-gram's scale from the entropy in nats of each role's tokens."""
+    words = read(spark, sf_dir, "conversations").select("role", F.explode(F.split("text", " ")).alias("w")).where("w <> ''").groupBy("role", "w").agg(F.count("*").alias("n"))
+    found = words.groupBy("role").agg((F.log(F.sum("n").cast("double")) - F.sum(F.col("n") * F.log(F.col("n").cast("double"))) / F.sum("n")).alias("e"))
+    return found.select("role", F.round("e", 6).alias("entropy"), F.round(cx.entropy_scale(F.col("e"), 0.5), 6).alias("scale"))
 
 
 def _match_sql(tail: str) -> str:
-    """Contexts of 4 bytes as a number; of 8, 16 and 32 as pairs of the one half as long."""
+    """Contexts of 4 bytes as a number; of 8 to 128 as digests of pairs of the one half as long."""
     lags = " UNION ALL ".join(f"SELECT stream_id, pos, len, lag(pos, {i}) OVER w AS source FROM k WINDOW w AS (PARTITION BY stream_id, len, ctx ORDER BY pos)" for i in range(1, cx.CANDIDATES + 1))
-    longer = ", ".join(f"k{2 * n} AS (SELECT *, lag(c{n}, {n}) OVER (PARTITION BY stream_id ORDER BY pos) || ' ' || c{n} AS c{2 * n} FROM k{n})" for n in (4, 8, 16))
-    keys = " UNION ALL ".join(f"SELECT stream_id, pos, {m} AS len, md5(c{m}) AS ctx FROM k32 WHERE pos >= {m}" for m in cx.LENGTHS)
+    longer = ", ".join(f"k{2 * n} AS (SELECT *, md5(lag(c{n}, {n}) OVER (PARTITION BY stream_id ORDER BY pos) || ' ' || c{n}) AS c{2 * n} FROM k{n})" for n in cx.LENGTHS[:-1])
+    keys = " UNION ALL ".join(f"SELECT stream_id, pos, {m} AS len, c{m} AS ctx FROM k{cx.LENGTHS[-1]} WHERE pos >= {m}" for m in cx.LENGTHS)
     return f"""WITH {BYTES}, l AS (SELECT stream_id, pos, lag(b, 1) OVER w AS l1, lag(b, 2) OVER w AS l2, lag(b, 3) OVER w AS l3, lag(b, 4) OVER w AS l4 FROM b WINDOW w AS (PARTITION BY stream_id ORDER BY pos)),
     k4 AS (SELECT stream_id, pos, CAST(((CAST(l4 AS BIGINT) * 256 + l3) * 256 + l2) * 256 + l1 AS VARCHAR) AS c4 FROM l), {longer}, k AS ({keys}),
     c AS (SELECT * FROM ({lags}) WHERE source IS NOT NULL AND source + 1 < pos), m AS (SELECT stream_id, pos, max(len) AS match_len FROM c GROUP BY ALL) {tail}"""
@@ -91,7 +122,7 @@ def _match_sql(tail: str) -> str:
 
 @query(_match_sql("SELECT stream_id, count(*) AS hits, CAST(sum(match_len) AS BIGINT) AS total_len, max(match_len) AS longest FROM m GROUP BY stream_id"))
 def longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest context of 4 to 32 bytes that occurred before in the document."""
+    """Longest context of 4 to 128 bytes that occurred before in the document."""
     found = cx.longest_matches(cx.match_candidates(read(spark, sf_dir, "documents"), "doc_id", "text"))
     return found.groupBy("stream_id").agg(F.count("*").alias("hits"), F.sum("match_len").alias("total_len"), F.max("match_len").alias("longest"))
 

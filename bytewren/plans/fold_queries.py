@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bytewren.functions import hashes
 from bytewren.functions import vectors as v
-from bytewren.operators import backbone, coder, predictors
+from bytewren.operators import backbone, coder, hybrid, predictors
 from bytewren.plans.registry import BYTES, query, read
 from bytewren.sources import telemetry, tensors, vocabulary
 from bytewren.streaming import folds
@@ -70,10 +69,27 @@ def cm_eval_lstm_mixer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fold(_passages(spark, sf_dir), mixer="lstm")
 
 
+def _hybrid(spark: SparkSession, sf_dir: str, rows: DataFrame, **options) -> DataFrame:
+    """Under a backbone whose seeded weights come from a tensor file, read as any others would be."""
+    tokens = _words(spark, sf_dir, 256)
+    config = backbone.Config(vocabulary=max(tokens.values()) + 1)
+    file = spark.createDataFrame([(tensors.pack({n: ("F32", x) for n, x in backbone.random_weights(config).items()}),)], "file binary")
+    read_back = tensors.read_tensors(file, "file").collect()  # a model's tensors
+    weights = {r["name"]: np.array(r["data"]).reshape(r["shape"]) for r in read_back}
+    found = hybrid.hybrid_fold(rows, "id", "text", tokens, config, weights, **options)
+    return found.select("stream_id", "n_bytes", "n_tokens", F.round("bits", 3).alias("bits"), F.transform("bit_costs", lambda x: F.round(x, 3)).alias("bit_costs"), "match_hits", "match_len", "skipped_tokens", "skipped_bytes")
+
+
 @query()
 def hybrid_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Context mixing, match model and byte expert blended, under the hierarchical mixer."""
-    return _fold(_passages(spark, sf_dir), mixer="hierarchical", match=True, expert=True)
+    """Backbone blended with a byte expert, match model and context models under the hierarchical mixer."""
+    return _hybrid(spark, sf_dir, _passages(spark, sf_dir), mixer="hierarchical", match=True, expert=True, blend=0.005)
+
+
+@query()
+def hybrid_eval_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As hybrid_eval over the conversations under the logistic mixer, with tokens of 2 % or more skipped."""
+    return _hybrid(spark, sf_dir, _talk(spark, sf_dir), mixer="logistic", match=True, skip=0.02)
 
 
 @query()
@@ -97,12 +113,25 @@ def range_code_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coder.code_streams(_talk(spark, sf_dir), "id", "text").select("stream_id", "n_bytes", "lossless")
 
 
-@query("SELECT item_id AS stream_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, CAST(octet_length(encode(text)) AS BIGINT) AS n_symbols FROM benchmark")
+@query("SELECT conv_id * 1000 + turn AS stream_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, CAST(octet_length(encode(text)) AS BIGINT) AS n_symbols FROM conversations")
 def container_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container's header read with built-in expressions."""
-    made = coder.code_streams(_passages(spark, sf_dir), "id", "text")
-    little = lambda at: F.conv(F.concat(*(F.hex(F.expr(f"substring(coded, {at + i}, 1)")) for i in (3, 2, 1, 0))), 16, 10).cast("long")
-    return made.where(F.expr("substring(coded, 1, 8)") == F.lit(coder.MAGIC.decode()).cast("binary")).select("stream_id", little(9).alias("n_bytes"), little(13).alias("n_symbols"))
+    made = coder.code_streams(_talk(spark, sf_dir), "id", "text")
+    ours = made.where(F.expr("substring(coded, 1, 8)") == F.lit(coder.MAGIC.decode()).cast("binary"))
+    return ours.select("stream_id", hashes.little_endian("coded", 9, 4).alias("n_bytes"), hashes.little_endian("coded", 13, 4).alias("n_symbols"))
+
+
+def _words(spark: SparkSession, sf_dir: str, most: int) -> dict[bytes, int]:
+    """Single bytes, then the ``most`` commonest words of the passages with a blank before them, by count and word."""
+    words = read(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).where("w <> ''")
+    common = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most).collect()
+    return {bytes([b]): b for b in range(256)} | {b" " + r["w"].encode(): 256 + i for i, r in enumerate(common)}
+
+
+@query("SELECT item_id AS stream_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, true AS lossless FROM benchmark")
+def token_code_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages coded token by token under n-grams and the bias head, and decoded again."""
+    return coder.code_tokens(_passages(spark, sf_dir), "id", "text", _words(spark, sf_dir, 256)).select("stream_id", "n_bytes", "lossless")
 
 
 @query()
@@ -116,17 +145,17 @@ def call_transform_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coder.call_stats(read(spark, sf_dir, "embeddings").select("vec_id", raw("embedding").alias("raw")), "vec_id", "raw")
 
 
-@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS width, round(list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * i)), 5) AS digest FROM embeddings")
+@query("WITH q AS (SELECT vec_id, len(embedding) AS n, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 32) / 32) AS x FROM embeddings) SELECT vec_id, name, CAST(n AS INTEGER) AS width, round(list_sum(list_transform(range(1, 65), lambda i: x[i] * i)), 5) AS digest FROM q, (SELECT unnest(['F32', 'F16', 'BF16']) AS name)")
 def tensor_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector as a tensor file of three types, read again; the 32-bit one is exact."""
+    """Each vector, in steps of 1/32 that all three types hold, as a tensor file of three types, read again."""
 
     @F.pandas_udf("binary")
     def pack(vectors: pd.Series) -> pd.Series:
-        return vectors.map(lambda x: tensors.pack({d: (d, np.asarray(x, np.float32)) for d in ("F32", "F16", "BF16")}))
+        return vectors.map(lambda x: tensors.pack({d: (d, np.floor(np.asarray(x, np.float64) * 32).astype(np.float32) / 32) for d in ("F32", "F16", "BF16")}))
 
     files = read(spark, sf_dir, "embeddings").select("vec_id", pack("embedding").alias("file"))
-    found = tensors.read_tensors(files, "file", "vec_id").where("name = 'F32'")
-    return found.select("vec_id", F.size("data").alias("width"), F.round(v.weighted_sum(v.doubles("data")), 5).alias("digest"))
+    found = tensors.read_tensors(files, "file", "vec_id")
+    return found.select("vec_id", "name", F.size("data").alias("width"), F.round(v.weighted_sum(v.doubles("data")), 5).alias("digest"))
 
 
 @query("WITH w AS (SELECT unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS w FROM conversations) SELECT w AS token, CAST(octet_length(encode(w)) AS INTEGER) AS n_bytes FROM w GROUP BY w")
@@ -160,7 +189,8 @@ def backbone_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bytewren-")
+    """The shared checkpoint folder, else one in the warehouse, which a cluster shares."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_bytewren_stream"
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -203,8 +233,8 @@ def lossy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def telemetry_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Context-mixing costs of the passages as log records, one for each passage, cumulative in the order of ids."""
-    made = predictors.fold_streams(_passages(spark, sf_dir), "id", "text", match=True)
+    """Context-mixing costs of the turns as log records, one for each turn, cumulative in the order of ids."""
+    made = predictors.fold_streams(_talk(spark, sf_dir), "id", "text", match=True)
     order = Window.orderBy("stream_id").rowsBetween(Window.unboundedPreceding, 0)  # a run is one stream of records, a row for each passage
     total = made.select("*", F.sum("n_bytes").over(order).alias("bytes"), F.sum("bits").over(order).alias("all_bits"))
     windows = total.select("bytes", (F.col("all_bits") / F.col("bytes")).alias("bpb"), (F.col("bits") / F.col("n_bytes")).alias("bpb_w"), F.transform("bit_costs", lambda c: c / F.col("n_bytes")).alias("bit_costs"), "match_hits", (F.col("match_len") / F.greatest("match_hits", F.lit(1))).alias("match_avg_len"))

@@ -52,6 +52,14 @@ def with_lags(df: DataFrame, *lags: int) -> DataFrame:
     return each.select("stream_id", "pos", F.ascii("z.chars").alias("b"), *(F.ascii(f"z.{n}").alias(f"lag{n[1:]}") for n in names))
 
 
+def with_lag_chars(df: DataFrame, *lags: int) -> DataFrame:
+    """(stream_id, pos, ch, c1, ...): as with_lags, bytes as one-character strings, which make short keys."""
+    shifted = [F.concat(F.array_repeat(F.lit(None).cast("string"), n), F.slice("chars", 1, F.greatest(F.size("chars") - n, F.lit(0)))).alias(f"c{n}") for n in lags]
+    names = [f"c{n}" for n in lags]
+    each = df.select("stream_id", "chars", *shifted).select("stream_id", F.posexplode(F.arrays_zip("chars", *names)).alias("pos", "z")).where("z.chars is not null")
+    return each.select("stream_id", "pos", F.col("z.chars").alias("ch"), *(F.col(f"z.{n}").alias(n) for n in names))
+
+
 def grams(df: DataFrame, order: int) -> DataFrame:
     """(stream_id, pos, ctx, nxt): the ``order`` bytes before each byte as an exact key, and the byte; from streams(), warm-up left out."""
     n = F.greatest(F.size("chars") - order, F.lit(0))

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import json
+import pickle
 import struct
+import sys
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
+
+from bytewren.operators.predictors import ContextMixer, MatchModel
 
 #: Records of the two kinds of run, and of a run as a whole (fixed formats).
 HYBRID = "ts string, sec double, bytes long, bpb double, bpb_w double, bps long, bit_costs array<double>, match_hits long, match_avg_len double"
@@ -46,6 +52,47 @@ def hybrid_records(windows: DataFrame, seconds: Column) -> DataFrame:
     )
 
 
+def baseline_records(windows: DataFrame, seconds: Column) -> DataFrame:
+    """As hybrid_records for a run over tokens: windows (bytes, tokens, bpb, bpb_w, w_ng, w_b, lr, surp)."""
+    rounded = {"bpb": 6, "bpb_w": 6, "w_ng": 4, "w_b": 4, "lr": 4, "surp": 4}
+    rate = F.round(F.col("bytes") / F.greatest(seconds, F.lit(0.001))).cast("long").alias("bps")
+    return windows.select(F.lit(None).cast("string").alias("ts"), F.round(seconds, 1).alias("sec"), "bytes", "tokens", *(F.round(c, rounded[c]).alias(c) for c in ("bpb", "bpb_w")), rate, *(F.round(c, rounded[c]).alias(c) for c in ("w_ng", "w_b", "lr", "surp")))
+
+
+class Progress(StreamingQueryListener):
+    """A line for each batch of a stream: rows so far, rows a second, seconds since it began."""
+
+    def __init__(self, out=None) -> None:
+        self.out, self.rows, self.began = out or sys.stderr, 0, time.monotonic()
+
+    def onQueryStarted(self, event) -> None:
+        self.rows, self.began = 0, time.monotonic()
+
+    def onQueryProgress(self, event) -> None:
+        self.rows += event.progress.numInputRows
+        took = max(time.monotonic() - self.began, 0.001)
+        print(f"{event.progress.name or event.progress.id}: {self.rows} rows, {self.rows / took:.0f} a second, {took:.1f} s", file=self.out, flush=True)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+#: Tags of a snapshot's sections: context mixer and match model (fixed values).
+MIXER, MATCH = 1, 4
+
+
+def state_sections(cm: ContextMixer, match: MatchModel | None = None) -> dict[int, bytes]:
+    """What a fold has learnt, as sections of a snapshot. They are pickles: read only those you have written."""
+    return {MIXER: pickle.dumps(cm.saved())} | ({MATCH: pickle.dumps(match)} if match else {})
+
+
+def restore_state(sections: dict[int, bytes]) -> tuple[ContextMixer, MatchModel | None]:
+    return ContextMixer.restored(pickle.loads(sections[MIXER])), pickle.loads(sections[MATCH]) if MATCH in sections else None
+
+
 def write_snapshot(metadata: dict, sections: dict[int, bytes]) -> bytes:
     """A snapshot file: magic, version, tagged sections (tag 6 is the metadata as JSON), end mark."""
     out = MAGIC + struct.pack("<I", VERSION)

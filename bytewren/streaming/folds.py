@@ -26,31 +26,18 @@ def fold_costs(parts: DataFrame, key: str, order: str, content: str, limit: int
     cut = parts.select(F.col(key).alias("stream_id"), F.col(order).alias("ordering"), F.substring(F.col(content).cast("binary"), 1, limit).alias("content"))
 
     def step(key: tuple, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        model = pickle.loads(state.get[0]) if state.exists else None
-        mixer = Mixer(model)
+        cm = ContextMixer.restored(pickle.loads(state.get[0])) if state.exists else ContextMixer()
         n, bits = 0, 0.0
         for row in pd.concat([f for f in frames if len(f)]).sort_values("ordering").itertuples():
             for byte in row.content or b"":
-                bits += sum(mixer.cm.step(byte))
+                bits += sum(cm.step(byte))
                 n += 1
-        state.update((pickle.dumps(mixer.saved()),))
+        state.update((pickle.dumps(cm.saved()),))
         yield pd.DataFrame({"stream_id": [key[0]], "n_bytes": [n], "bits": [bits]})
 
     return cut.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, n_bytes long, bits double", "model binary", "update", "NoTimeout")
 
 
-class Mixer:
-    """A context mixer without its context functions, which are made anew: what is left can be pickled."""
-
-    def __init__(self, saved: tuple | None = None) -> None:
-        self.cm = ContextMixer()
-        if saved:
-            self.cm.tables, self.cm.history, self.cm.mixer = saved
-
-    def saved(self) -> tuple:
-        return self.cm.tables, self.cm.history, self.cm.mixer
-
-
 def event_windows(events: DataFrame, ts: str, key: str, value: str, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """(start, key, n, total) by event-time windows with a watermark. The reference has none: its windows are counts of bytes."""
     timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
