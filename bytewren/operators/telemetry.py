@@ -16,6 +16,20 @@ def interval(total: Column) -> Column:
     return F.greatest(F.lit(100), F.least(F.lit(100_000), F.floor(total / 100)))
 
 
+def numbered(df: DataFrame, key: str, ts: str, *order: str, width: str = "hour") -> DataFrame:
+    """``df`` with pos, a record's number within its key by time and ``order``, from 0.
+
+    Rows are sorted within an hour (or another unit of date_trunc) of their key; counts of the hours before
+    give where it begins. So no task sorts all of a key.
+    """
+    timed = df.withColumn("_t", F.date_trunc(width, F.col(ts).cast("timestamp")))
+    counts = timed.groupBy(key, "_t").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(key).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(key, "_t", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    inside = F.row_number().over(Window.partitionBy(key, "_t").orderBy(ts, *order)) - 1
+    return timed.withColumn("_i", inside).join(starts, [key, "_t"]).withColumn("pos", F.col("_s") + F.col("_i")).select(*df.columns, "pos")
+
+
 def windows(df: DataFrame, key: str, pos: str, cost: str, size: int) -> DataFrame:
     """(key, window, n, bits, bpb_w, bytes, bpb): cost of each window and up to its end; the last window may be short."""
     each = df.groupBy(key, F.floor(F.col(pos) / size).alias("window")).agg(F.count("*").alias("n"), F.sum(cost).alias("bits"))
@@ -93,6 +107,23 @@ def clock_label(ts: Column, zone: str = "Europe/Madrid") -> Column:
     return F.format_string("%s UTC+%d", F.date_format(local, "HH:mm:ss"), hours)
 
 
+def range_shares(bit_means: DataFrame, key: str) -> DataFrame:
+    """(key, low, middle, high): shares of bits 0 to 2, 3 to 5 and 6 and 7 in all bits' mean cost, from bit_profile()."""
+    of = lambda a, b: F.sum(F.when(F.col("bit").between(a, b), F.col("mean_cost")).otherwise(0.0)) / F.sum("mean_cost")
+    return bit_means.groupBy(key).agg(of(0, 2).alias("low"), of(3, 5).alias("middle"), of(6, 7).alias("high"))
+
+
+def bit_variation(df: DataFrame, key: str, costs: str) -> DataFrame:
+    """(key, bit, mean_cost, cv): coefficient of variation (population) of each bit's cost over rows; costs is an array."""
+    each = df.select(key, F.posexplode(costs).alias("bit", "c")).groupBy(key, "bit")
+    return each.agg(F.avg("c").alias("mean_cost"), (F.stddev_pop("c") / F.avg("c")).alias("cv"))
+
+
+def effectiveness(hits: Column, mean_len: Column) -> Column:
+    """Hits times their mean length, in thousands of bytes."""
+    return hits * mean_len / 1000
+
+
 def record_json(**columns: tuple[Column, int | None]) -> Column:
     """A telemetry record as JSON, numbers rounded to the digits given; strings are escaped."""
     return F.to_json(F.struct(*((c if digits is None else F.round(c, digits)).alias(n) for n, (c, digits) in columns.items())))

@@ -6,7 +6,11 @@ the width of a vector whatever the table's size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytewren.functions import vectors as v
@@ -22,18 +26,41 @@ def centroids(df: DataFrame, vector: str, *keys: str) -> DataFrame:
     return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
+def upper_median(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(*keys, median): the element at n div 2 of the sorted values, which must not be negative or null.
+
+    Counts by the value's logarithm tell in which fine bucket it lies; only that
+    bucket's values are counted one by one. Nothing gathers a key's values.
+    """
+    bucket = F.floor(F.log2(F.col(value) + F.lit(2.0**-60)) * 4096)
+    rows = df.select(*keys, F.col(value).alias("_v"), bucket.alias("_b"))
+    by = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    summed = by.withColumn("_c", F.sum("_n").over(upto)).withColumn("_t", F.sum("_n").over(Window.partitionBy(*keys)))
+    rank = F.floor(F.col("_t") / 2)
+    border = summed.where((F.col("_c") > rank) & (F.col("_c") - F.col("_n") <= rank)).select(*keys, "_b", (rank - (F.col("_c") - F.col("_n"))).alias("_r"))
+    values = rows.join(border, [*keys, "_b"]).groupBy(*keys, "_r", "_v").agg(F.count("*").alias("_m"))
+    upto = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    at = values.withColumn("_c", F.sum("_m").over(upto)).where((F.col("_c") > F.col("_r")) & (F.col("_c") - F.col("_m") <= F.col("_r")))
+    return at.select(*keys, F.col("_v").alias("median"))
+
+
 def norm_stats(df: DataFrame, vector: str, *keys: str) -> DataFrame:
-    """(*keys, n, mean_norm, median_norm, min_norm, max_norm); the median is the upper one, the element at n div 2 of the sorted norms."""
+    """(*keys, n, mean_norm, median_norm, min_norm, max_norm); the median is the upper one."""
     norms = df.select(*keys, v.norm(v.doubles(vector)).alias("n"))
-    summed = norms.groupBy(*keys).agg(F.count("*").alias("rows"), F.avg("n").alias("mean_norm"), F.sort_array(F.collect_list("n")).alias("s"), F.min("n").alias("min_norm"), F.max("n").alias("max_norm"))
-    return summed.select(*keys, F.col("rows").alias("n"), "mean_norm", F.element_at("s", (F.floor(F.col("rows") / 2) + 1).cast("int")).alias("median_norm"), "min_norm", "max_norm")
+    summed = norms.groupBy(*keys).agg(F.count("*").alias("rows"), F.avg("n").alias("mean_norm"), F.min("n").alias("min_norm"), F.max("n").alias("max_norm"))
+    middle = upper_median(norms, "n", *keys)
+    both = summed.join(middle, [*keys]) if keys else with_row(summed, middle)
+    return both.select(*keys, F.col("rows").alias("n"), "mean_norm", F.col("median").alias("median_norm"), "min_norm", "max_norm")
 
 
 def dispersion(df: DataFrame, vector: str, *keys: str) -> DataFrame:
-    """(*keys, dispersion): mean squared distance to the centroid, in one pass: mean |x|^2 - |mean x|^2."""
-    squares = df.groupBy(*keys).agg(F.avg(v.dot(v.doubles(vector), v.doubles(vector))).alias("s"))
-    joined = squares.join(centroids(df, vector, *keys), [*keys]) if keys else squares.crossJoin(centroids(df, vector))  # two single rows
-    return joined.select(*keys, (F.col("s") - v.dot(F.col("centroid"), F.col("centroid"))).alias("dispersion"))
+    """(*keys, dispersion): mean squared distance to the centroid, in a second pass, so that far-off centroids cancel nothing."""
+    middle = centroids(df, vector, *keys)
+    rows = df.select(*keys, v.doubles(vector).alias("_x"))
+    both = rows.join(middle, [*keys]) if keys else with_row(rows, middle)
+    away = v.let(v.sub(F.col("_x"), F.col("centroid")), lambda d: v.dot(d, d))
+    return both.groupBy(*keys).agg(F.avg(away).alias("dispersion"))
 
 
 def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
@@ -71,10 +98,27 @@ def matvec(df: DataFrame, id_col: str, vector: str, one: DataFrame) -> DataFrame
 
 
 def gram(df: DataFrame, vector: str) -> DataFrame:
-    """(i, j, y): the table's transpose times the table, summed row by row; the result has width x width rows."""
-    x = v.doubles(vector)
-    outer = df.select(x.alias("x")).select("x", F.posexplode("x").alias("i", "a")).select("i", "a", F.posexplode("x").alias("j", "b"))
-    return outer.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("y"))
+    """(i, j, y): the table's transpose times the table; a product for each batch of rows, then a sum of width x width cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: np.ndarray | None = None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column(0).to_pylist(), np.float64)
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            n = len(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(n, dtype=np.int32), n)), pa.array(np.tile(np.arange(n, dtype=np.int32), n)), pa.array(total.ravel())], names=["i", "j", "y"])
+
+    parts = df.select(v.doubles(vector).alias("x")).where("x is not null").mapInArrow(run, "i int, j int, y double")
+    return parts.groupBy("i", "j").agg(F.sum("y").alias("y"))
+
+
+def best_level(quality_: DataFrame, width: int) -> DataFrame:
+    """(best): of the levels that pass, the one with the highest root of its saving in memory; f32 if none does. Times are not measured."""
+    ratio = lambda level: (4 * width / storage_bytes(F.lit(1), width, level)) ** 0.5
+    score = F.when(F.col("level") == "q8", ratio("q8")).otherwise(ratio("q4"))
+    return quality_.agg(F.coalesce(F.max_by(F.when(F.col("passes"), F.col("level")), F.when(F.col("passes"), score)), F.lit("f32")).alias("best"))
 
 
 def test_vector(df: DataFrame, id_col: str, vector: str, width: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytewren.operators import context as cx
+from bytewren.operators import telemetry as tm
 from bytewren.plans.registry import BYTES, query, read
 from bytewren.sources.streams import explode_bytes
 
@@ -127,13 +128,13 @@ def longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("stream_id").agg(F.count("*").alias("hits"), F.sum("match_len").alias("total_len"), F.max("match_len").alias("longest"))
 
 
-@query(_match_sql(f", n AS (SELECT doc_id AS stream_id, octet_length(encode(text)) AS n FROM documents), a AS (SELECT stream_id, count(*) AS hits, avg(match_len) AS l FROM m GROUP BY stream_id) SELECT n.stream_id, round(coalesce(hits, 0) / greatest(n, 1), 6) AS hit_rate, round(coalesce(l, 0), 6) AS mean_len FROM n LEFT JOIN a USING (stream_id)"))
+@query(_match_sql(f", n AS (SELECT doc_id AS stream_id, octet_length(encode(text)) AS n FROM documents), a AS (SELECT stream_id, count(*) AS hits, avg(match_len) AS l FROM m GROUP BY stream_id) SELECT n.stream_id, round(coalesce(hits, 0) / greatest(n, 1), 6) AS hit_rate, round(coalesce(l, 0), 6) AS mean_len, round(coalesce(hits, 0) * coalesce(l, 0) / 1000, 6) AS effectiveness FROM n LEFT JOIN a USING (stream_id)"))
 def match_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = cx.longest_matches(cx.match_candidates(docs, "doc_id", "text")).groupBy("stream_id").agg(F.count("*").alias("hits"), F.avg("match_len").alias("l"))
     sizes = docs.select(F.col("doc_id").alias("stream_id"), F.octet_length("text").alias("n"))
     joined = sizes.join(found, "stream_id", "left")
-    return joined.select("stream_id", F.round(F.coalesce("hits", F.lit(0)) / F.greatest("n", F.lit(1)), 6).alias("hit_rate"), F.round(F.coalesce("l", F.lit(0.0)), 6).alias("mean_len"))
+    return joined.select("stream_id", F.round(F.coalesce("hits", F.lit(0)) / F.greatest("n", F.lit(1)), 6).alias("hit_rate"), F.round(F.coalesce("l", F.lit(0.0)), 6).alias("mean_len"), F.round(tm.effectiveness(F.coalesce("hits", F.lit(0)), F.coalesce("l", F.lit(0.0))), 6).alias("effectiveness"))
 
 
 @query(_match_sql(f""", v AS (SELECT c.stream_id, c.pos, match_len, x.b AS vote, y.b AS b FROM c JOIN m ON c.stream_id = m.stream_id AND c.pos = m.pos AND c.len = m.match_len JOIN b x ON x.stream_id = c.stream_id AND x.pos = source JOIN b y ON y.stream_id = c.stream_id AND y.pos = c.pos),

@@ -171,6 +171,12 @@ def vocabulary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select(F.decode("bytes", "UTF-8").alias("token"), F.octet_length("bytes").alias("n_bytes"))
 
 
+@query("WITH w AS (SELECT unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS w FROM conversations) SELECT count(DISTINCT w) AS tokens, CAST(max(octet_length(encode(w))) AS INTEGER) AS longest, CAST(sum(octet_length(encode(w))) AS BIGINT) AS bytes FROM (SELECT DISTINCT w FROM w)")
+def vocabulary_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the vocabulary of the conversations' words, its longest one, and the bytes of all."""
+    return vocabulary_lines(spark, sf_dir).agg(F.count("*").alias("tokens"), F.max("n_bytes").alias("longest"), F.sum("n_bytes").alias("bytes"))
+
+
 @query()
 def greedy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations by greedy longest match over single bytes and the 2,000 commonest words."""
@@ -221,7 +227,13 @@ def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream_id"), hashes.fnv1a_hex(text).alias("fnv"))
 
 
-@query()
+def _fold_sql(start: str, factor: str) -> str:
+    big = lambda x: f"CAST('{x}' AS UHUGEINT)"
+    folded = f"list_reduce(list_prepend({big(start)}, list_transform(bs, lambda x: CAST(x AS UHUGEINT))), lambda h, x: (xor(h, x) * {big(factor)}) % {big('18446744073709551616')})"
+    return f"lpad(lower(hex(CAST(CASE WHEN bs IS NULL OR len(bs) = 0 THEN {big(start)} ELSE {folded} END AS UBIGINT))), 16, '0')"
+
+
+@query(f"WITH l AS (SELECT page_id, list_transform(regexp_extract_all(hex(encode(html)), '..'), lambda h: CAST('0x' || h AS INTEGER)) AS bs FROM pages) SELECT page_id, {_fold_sql('14695981039346656037', '1099511628211')} || {_fold_sql('1099511628211', '14695981039346656037')} AS fingerprint FROM l")
 def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", hashes.fingerprint_hex(F.col("html").cast("binary")).alias("fingerprint"))
 

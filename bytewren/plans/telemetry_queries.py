@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytewren.functions import vectors as v
@@ -18,8 +18,7 @@ _WIN = f"{_R}, w AS (SELECT event_type, pos // 100 AS win, count(*) AS n, sum(va
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events numbered within their type; the value stands for a byte's cost."""
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return read(spark, sf_dir, "events").withColumn("pos", F.row_number().over(order) - 1)
+    return tm.numbered(read(spark, sf_dir, "events"), "event_type", "ts", "event_id")
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +129,33 @@ def bit_cost_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tm.bit_profile(rows, "lang", "c").select("lang", "bit", F.round("mean_cost", 6).alias("mean_cost"), F.round("share", 6).alias("share"))
 
 
+_BIT_COSTS = f"""WITH {BYTES}, j AS (SELECT unnest(range(8)) AS j), p AS (SELECT lang, stream_id, CAST(j AS INTEGER) AS bit, avg((b >> CAST(7 - j AS INTEGER)) & 1) AS p FROM b JOIN documents ON doc_id = stream_id, j GROUP BY ALL),
+    c AS (SELECT lang, bit, CASE WHEN p IN (0, 1) THEN 0.0 ELSE -(p * log2(p) + (1 - p) * log2(1 - p)) END AS c FROM p), m AS (SELECT lang, bit, avg(c) AS mean_cost, CASE WHEN avg(c) > 0 THEN stddev_pop(c) / avg(c) END AS cv FROM c GROUP BY ALL)"""
+
+
+def _bit_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lang, c): costs of the eight bits of each document under its own frequencies."""
+    each = explode_bytes(read(spark, sf_dir, "documents"), "doc_id", "text", 0, "lang")
+    hist = bs.histogram(each, "stream_id", "lang")
+    ones = F.array(*(F.sum(F.expr(f"(shiftright(b, {7 - j}) & 1) * n")) / F.sum("n") for j in range(8)))
+    cost = lambda p: F.when((p <= 0) | (p >= 1), 0.0).otherwise(-(p * F.log2(p) + (1 - p) * F.log2(1 - p)))
+    return hist.groupBy("stream_id", "lang").agg(ones.alias("p")).select("lang", F.transform("p", cost).alias("c"))
+
+
+@query(f"{_BIT_COSTS} SELECT lang, bit, round(mean_cost, 6) AS mean_cost, round(cv, 6) AS cv FROM m")
+def bit_cost_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much each bit's cost varies over the documents of a language."""
+    found = tm.bit_variation(_bit_costs(spark, sf_dir), "lang", "c")
+    return found.select("lang", "bit", F.round("mean_cost", 6).alias("mean_cost"), F.round(F.when(F.col("mean_cost") > 0, F.col("cv")), 6).alias("cv"))
+
+
+@query(f"{_BIT_COSTS} SELECT lang, round(sum(mean_cost) FILTER (bit <= 2) / sum(mean_cost), 6) AS low, round(sum(mean_cost) FILTER (bit BETWEEN 3 AND 5) / sum(mean_cost), 6) AS middle, round(sum(mean_cost) FILTER (bit >= 6) / sum(mean_cost), 6) AS high FROM m GROUP BY lang")
+def bit_range_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of high, middle and low bits in a byte's cost, by language."""
+    found = tm.range_shares(tm.bit_variation(_bit_costs(spark, sf_dir), "lang", "c"), "lang")
+    return found.select("lang", *(F.round(c, 6).alias(c) for c in ("low", "middle", "high")))
+
+
 @query("SELECT event_id, strftime(ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Madrid', '%H:%M:%S') || ' UTC+' || CAST(date_diff('hour', ts, ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Madrid') AS VARCHAR) AS label FROM events")
 def clock_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", tm.clock_label(F.col("ts").cast("timestamp")).alias("label"))

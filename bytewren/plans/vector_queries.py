@@ -176,6 +176,13 @@ def quantization_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("level", F.round("max_abs", 6).alias("max_abs"), F.round("mean_rel", 6).alias("mean_rel"), "passes")
 
 
+@query(f"SELECT coalesce(max_by(level, CASE level WHEN 'q8' THEN sqrt(256 / 68.0) ELSE sqrt(256 / 36.0) END) FILTER (passes), 'f32') AS best FROM ({SQL['quantization_quality']})")
+def best_quantization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level of storage for the vectors: the smallest that is good enough."""
+    rows, one = _first(spark, sf_dir)
+    return vs.best_level(vs.quality(vs.quantized_products(rows, "vec_id", "embedding", one)), 64)
+
+
 @query("SELECT level, label, count(*) AS n, CAST(count(*) * CASE level WHEN 'f32' THEN 256 WHEN 'q8' THEN 68 ELSE 36 END AS BIGINT) AS bytes, CAST(count(*) * (256 - CASE level WHEN 'f32' THEN 256 WHEN 'q8' THEN 68 ELSE 36 END) AS BIGINT) AS saved FROM embeddings, (SELECT unnest(['f32', 'q8', 'q4']) AS level) GROUP BY level, label")
 def quantized_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = read(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))

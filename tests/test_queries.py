@@ -49,6 +49,19 @@ def test_round_trips_lose_nothing(spark):
     assert QUERIES["call_transform_stats"](spark, DATA).where("not lossless").count() == 0
 
 
+def test_upper_median(spark):
+    """Of drawn values with ties, zeros and single rows, by key and of all."""
+    from bytewren.operators import vectors
+
+    rng = np.random.default_rng(63)
+    rows = [(int(k), float(x)) for k, x in zip(rng.integers(0, 5, 400), np.round(rng.exponential(3.0, 400), 1))] + [(9, 2.5), (8, 0.0), (8, 0.0)]
+    df = spark.createDataFrame(rows, "k int, x double")
+    upper = lambda xs: sorted(xs)[len(xs) // 2]
+    found = {r.k: r.median for r in vectors.upper_median(df, "x", "k").collect()}
+    assert found == {k: upper([x for j, x in rows if j == k]) for k in {k for k, _ in rows}}
+    assert [r.median for r in vectors.upper_median(df, "x").collect()] == [upper([x for _, x in rows])]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 4
     assert set(SQL) <= set(QUERIES)
