@@ -184,25 +184,49 @@ def _enough(shared: Column) -> Column:
     return (10 + TENTHS) * shared >= TENTHS * (F.col("na") + F.col("nb"))
 
 
-def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) of those pairs (a, b, na, nb; rows of ``texts``) whose whole sets are similar enough."""
-    pairs = cut(pairs)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    whole = table(_whole_sets(texts.join(ends, "row", "left_semi")))
+def _after() -> Column:
+    """How many shingles sets of na and nb can share besides those that both heads hold: once the shorter head ends, only what comes after it."""
+    return F.greatest(*(F.ceil(F.col(n) * TENTHS / 10) - 1 for n in ("na", "nb")))
+
+
+def _with_ends(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
+    """Pairs with both ends' arrays (g, x) as xa, xb. Ends are met one at a time; one with many pairs is no key of a shuffle."""
     count = pairs.count()
-    x, y = (whole.select(F.col("g").alias(k), F.col("x").alias(f"x{k}")) for k in "ab")
-    # Sets are met one end at a time; an end with many pairs is no key of a shuffle.
-    first = lookup(pairs, x, "a", count)
-    return cut(lookup(first, y, "b", count).where(_enough(F.size(F.array_intersect("xa", "xb")))).select("a", "b"))
+    x, y = (arrays.select(F.col("g").alias(k), F.col("x").alias(f"x{k}")) for k in "ab")
+    return lookup(lookup(pairs, x, "a", count), y, "b", count)
+
+
+def _ends(pairs: DataFrame, name: str) -> DataFrame:
+    return cut(pairs.select(F.explode(F.array("a", "b")).alias(name)).distinct())
+
 
+def _similar(pairs: DataFrame, one: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of those pairs (a, b, na, nb; rows of ``texts``) whose sets are similar enough.
 
-def _few_pairs(held: DataFrame) -> DataFrame:
-    """(a, b, na, nb) that may be similar, from shingles that FEW texts at most hold: (h, g, n, part), one part never with itself."""
+    Heads (of ``one``), a fifth as long, are compared first: what they share bounds
+    what whole sets can share, so that no similar pair is lost there.
+    """
+    pairs = cut(pairs)
+    heads = cut(one.join(_ends(pairs, "g"), "g", "left_semi").select("g", F.col("head").alias("x")))
+    shared = F.size(F.array_intersect("xa", "xb"))
+    pairs = cut(_with_ends(pairs, heads).where(_enough(shared + _after())).select("a", "b", "na", "nb"))
+    whole = table(_whole_sets(texts.join(_ends(pairs, "row"), "row", "left_semi")))
+    return cut(_with_ends(pairs, whole).where(_enough(shared)).select("a", "b"))
+
+
+def _few_pairs(held: DataFrame, many: DataFrame) -> DataFrame:
+    """(a, b, na, nb) that may be similar, from shingles that FEW texts at most hold: (h, g, n, part), one part never with itself.
+
+    many: (g, m), how many shingles that more texts hold a head has; they are not
+    counted one by one, so all of them are taken as shared.
+    """
     a, b = (held.select(F.col("g").alias(x), F.col("n").alias(f"n{x}"), F.col("part").alias(f"p{x}"), "h") for x in "ab")
     close = 10 * F.least("na", "nb") >= TENTHS * F.greatest("na", "nb")
-    # Once the shorter head ends, only what comes after it in its own set can still be shared. Shingles held by many are not counted here.
-    rest = a.join(b, "h").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & close)
-    return rest.select("a", "b", "na", "nb").distinct()
+    met = a.join(b, "h").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & close).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    ma, mb = (many.select(F.col("g").alias(x), F.col("m").alias(f"m{x}")) for x in "ab")
+    both = met.join(ma, "a", "left").join(mb, "b", "left")
+    most = F.col("c") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
+    return both.where(_enough(most + _after())).select("a", "b", "na", "nb")
 
 
 def crowd_links(ids: np.ndarray, sets: list[np.ndarray], split: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +263,6 @@ def _crowds(held: DataFrame, texts: DataFrame) -> DataFrame:
     chunks. Whole sets are compared chunk by chunk; what leaves a task is a
     forest, never the pairs.
     """
-    held = cut(held.select("h", "g", "n"))
     count = held.count()
     first = held.groupBy("h").agg(F.min("g").alias("c"))
     together = connected_components(lookup(held, first, "h", count).select(F.col("g").alias("a"), F.col("c").alias("b")))
@@ -282,14 +305,16 @@ def _near(texts: DataFrame) -> DataFrame:
     shared = table(heads.join(met.select("h"), "h", "left_semi"))
     held = shared.count()
     stars = lookup(shared, met, "h", held).where(F.col("g") > F.col("a")).select("a", F.col("g").alias("b"), "na", F.col("n").alias("nb")).where(close).distinct()
-    links = _similar(stars, texts)
+    links = _similar(stars, one, texts)
     found = cut(connected_components(links))
 
     # Then what shares a shingle but no component yet.
     parted = cut(shared.join(found.withColumnRenamed("node", "g"), "g", "left").select("h", "g", "n", F.coalesce("component", "g").alias("part")))
     open_ = cut(parted.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("k")).where("p <> q").select("h", "k"))
     few = cut(parted.join(open_.where(F.col("k") <= FEW), "h", "left_semi"))
-    links = links.union(_similar(_few_pairs(few), texts)).union(_crowds(lookup(parted, open_.where(F.col("k") > FEW).select("h", "k"), "h", held), texts))
+    crowded = cut(parted.join(open_.where(F.col("k") > FEW), "h", "left_semi"))
+    many = crowded.groupBy("g").agg(F.count("*").alias("m"))
+    links = links.union(_similar(_few_pairs(few, many), one, texts)).union(_crowds(crowded, texts))
     classes = _classes(groups.select("key", "low", "g"), connected_components(links), "g", parts_for(total))
     named = cut(groups.join(classes, "g").select("key", "component"))
     return lookup(rows.select("row", "id", "key"), named, "key", total).select("row", "id", "component")
