@@ -65,6 +65,19 @@ def _table(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextlib.contextmanager
+def passing(df: DataFrame) -> Iterator[DataFrame]:
+    """As ``table``, for what is read inside the block only: the folder is removed at its end.
+
+    What the block leaves must be written before it ends, by ``cut`` or ``table``.
+    """
+    made, path = _table(df)
+    try:
+        yield made
+    finally:
+        _remove(df.sparkSession, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended; the folder's owner cleans up then
         where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytewren.llm.common import bound_batches, connected_components, cut, forest, lookup, parts_for, table, unused, utf8
+from bytewren.llm.common import bound_batches, connected_components, cut, forest, lookup, parts_for, passing, table, unused, utf8
 
 SEED, SHINGLE, CHUNK = 42, 3, 1 << 15
 #: Words of a shingle and least Jaccard similarity, in tenths, for copies of a text.
@@ -206,12 +206,13 @@ def _similar(pairs: DataFrame, one: DataFrame, texts: DataFrame) -> DataFrame:
     Heads (of ``one``), a fifth as long, are compared first: what they share bounds
     what whole sets can share, so that no similar pair is lost there.
     """
-    pairs = cut(pairs)
-    heads = cut(one.join(_ends(pairs, "g"), "g", "left_semi").select("g", F.col("head").alias("x")))
     shared = F.size(F.array_intersect("xa", "xb"))
-    pairs = cut(_with_ends(pairs, heads).where(_enough(shared + _after())).select("a", "b", "na", "nb"))
-    whole = table(_whole_sets(texts.join(_ends(pairs, "row"), "row", "left_semi")))
-    return cut(_with_ends(pairs, whole).where(_enough(shared)).select("a", "b"))
+    with passing(pairs) as pairs:
+        heads = one.join(_ends(pairs, "g"), "g", "left_semi").select("g", F.col("head").alias("x"))
+        with passing(heads) as heads:
+            close = cut(_with_ends(pairs, heads).where(_enough(shared + _after())).select("a", "b", "na", "nb"))
+    with passing(_whole_sets(texts.join(_ends(close, "row"), "row", "left_semi"))) as whole:
+        return cut(_with_ends(close, whole).where(_enough(shared)).select("a", "b"))
 
 
 def _few_pairs(held: DataFrame, many: DataFrame) -> DataFrame:
@@ -270,8 +271,8 @@ def _crowds(held: DataFrame, texts: DataFrame) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(10 / TENTHS)).cast("int")  # similar sets are one band apart at most
     sizes = members.groupBy("crowd", band.alias("band")).agg(F.ceil(F.count("*") / CROWD).cast("int").alias("chunks"))
     placed = members.withColumn("band", band).join(sizes, ["crowd", "band"]).withColumn("chunk", F.pmod(F.xxhash64("g"), F.col("chunks")).cast("int"))
-    whole = table(_whole_sets(texts.join(members.select(F.col("g").alias("row")), "row", "left_semi")))
-    whole = table(placed.join(whole, "g").select("crowd", "band", "chunk", "chunks", "g", "x"))
+    with passing(_whole_sets(texts.join(members.select(F.col("g").alias("row")), "row", "left_semi"))) as whole:
+        whole = table(placed.join(whole, "g").select("crowd", "band", "chunk", "chunks", "g", "x"))
     above = sizes.select("crowd", (F.col("band") - 1).alias("band"), F.col("chunks").alias("upper"))
     # A cell is two chunks, or one with itself: of the same band (i <= j), or of a band (i) and the next one (j).
     own = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.col("band").alias("at"), F.lit(0).alias("step"), F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j"), (F.col("chunk") > o).cast("int").alias("side")))
@@ -293,23 +294,23 @@ def _crowds(held: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _near(texts: DataFrame) -> DataFrame:
     """(row, id, component) for a written table (row, id, t); see near_duplicates."""
-    rows = table(_sets(texts, frequency_levels(texts)))
-    total = rows.count()
-    groups = cut(rows.groupBy("key").agg(F.min("id").alias("low"), F.min("row").alias("g")))
-    one = table(rows.join(groups.select("g"), F.col("row") == F.col("g")).select("g", "n", "head"))
+    with passing(_sets(texts, frequency_levels(texts))) as sets:
+        rows = table(sets.select("row", "id", "key"))
+        total = rows.count()
+        groups = cut(rows.groupBy("key").agg(F.min("id").alias("low"), F.min("row").alias("g")))
+        one = table(sets.join(groups.select("g"), F.col("row") == F.col("g")).select("g", "n", "head"))
     heads = one.select("g", "n", F.explode("head").alias("h"))
     close = 10 * F.least("na", "nb") >= TENTHS * F.greatest("na", "nb")
 
     # First each text against the lowest of those that hold a shingle of its head: a pair for each, not for each two.
     met = cut(heads.groupBy("h").agg(F.min(F.struct("g", "n")).alias("c"), F.count("*").alias("k")).where("k > 1").select("h", F.col("c.g").alias("a"), F.col("c.n").alias("na")))
-    shared = table(heads.join(met.select("h"), "h", "left_semi"))
-    held = shared.count()
-    stars = lookup(shared, met, "h", held).where(F.col("g") > F.col("a")).select("a", F.col("g").alias("b"), "na", F.col("n").alias("nb")).where(close).distinct()
-    links = _similar(stars, one, texts)
-    found = cut(connected_components(links))
-
-    # Then what shares a shingle but no component yet.
-    parted = cut(shared.join(found.withColumnRenamed("node", "g"), "g", "left").select("h", "g", "n", F.coalesce("component", "g").alias("part")))
+    with passing(heads.join(met.select("h"), "h", "left_semi")) as shared:
+        stars = lookup(shared, met, "h", shared.count()).where(F.col("g") > F.col("a")).select("a", F.col("g").alias("b"), "na", F.col("n").alias("nb")).where(close).distinct()
+        links = _similar(stars, one, texts)
+        found = cut(connected_components(links))
+
+        # Then what shares a shingle but no component yet.
+        parted = table(shared.join(found.withColumnRenamed("node", "g"), "g", "left").select("h", "g", "n", F.coalesce("component", "g").alias("part")))
     open_ = cut(parted.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("k")).where("p <> q").select("h", "k"))
     few = cut(parted.join(open_.where(F.col("k") <= FEW), "h", "left_semi"))
     crowded = cut(parted.join(open_.where(F.col("k") > FEW), "h", "left_semi"))
@@ -317,7 +318,7 @@ def _near(texts: DataFrame) -> DataFrame:
     links = links.union(_similar(_few_pairs(few, many), one, texts)).union(_crowds(crowded, texts))
     classes = _classes(groups.select("key", "low", "g"), connected_components(links), "g", parts_for(total))
     named = cut(groups.join(classes, "g").select("key", "component"))
-    return lookup(rows.select("row", "id", "key"), named, "key", total).select("row", "id", "component")
+    return lookup(rows, named, "key", total).select("row", "id", "component")
 
 
 def _numbered(docs: DataFrame, text_col: str, id_: Column) -> DataFrame:
