@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -155,7 +155,7 @@ def frequency_levels(texts: DataFrame) -> np.ndarray:
 
 
 def _sets(texts: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(row, id, key, n, head) of (row, id, t): a digest of the set of shingles, its size, and the first of it in the order of levels."""
+    """(row, id, key, n, head, level) of (row, id, t): a digest of the set of shingles, its size, the first of it in the order of levels, and the last one's level."""
     sent = texts.sparkSession.sparkContext.broadcast(levels)  # CELLS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,9 +164,10 @@ def _sets(texts: DataFrame, levels: np.ndarray) -> DataFrame:
             sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
             keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
             heads = [x[np.argsort(levels[x & (CELLS - 1)], kind="stable")][: len(x) + 1 + -TENTHS * len(x) // 10] for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), _lists(heads)], names=["row", "id", "key", "n", "head"])
+            ends = [int(levels[x[-1] & (CELLS - 1)]) if len(x) else 0 for x in heads]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), _lists(heads), pa.array(ends, pa.int32())], names=["row", "id", "key", "n", "head", "level"])
 
-    return texts.select("row", "id", "t").mapInArrow(run, "row long, id long, key binary, n long, head array<long>")
+    return texts.select("row", "id", "t").mapInArrow(run, "row long, id long, key binary, n long, head array<long>, level int")
 
 
 def _whole_sets(texts: DataFrame) -> DataFrame:
@@ -230,12 +231,10 @@ def _few_pairs(held: DataFrame, many: DataFrame) -> DataFrame:
     return both.where(_enough(most + _after())).select("a", "b", "na", "nb")
 
 
-def crowd_links(ids: np.ndarray, sets: list[np.ndarray], split: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (a, b) of the similar pairs: rows below ``split`` with those from there on; all with each other if it is 0."""
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many elements the sets at ``left`` share with those at ``right``."""
     n = len(sets)
-    left, right = (np.arange(split), np.arange(split, n)) if split else (np.arange(n), np.arange(n))
-    size = np.array([len(x) for x in sets])
-    flat, row = np.concatenate([np.empty(0, np.int64), *sets]), np.repeat(np.arange(n), size)
+    flat, row = np.concatenate([np.empty(0, np.int64), *sets]), np.repeat(np.arange(n), [len(x) for x in sets])
     _, column, often = np.unique(flat, return_inverse=True, return_counts=True)
     use = often[column] > 1  # others are shared by none
     _, column = np.unique(column[use], return_inverse=True)
@@ -248,48 +247,98 @@ def crowd_links(ids: np.ndarray, sets: list[np.ndarray], split: int) -> tuple[np
         has = np.zeros((n, min(SLICE, int(column[-1]) + 1 - start)), np.float32)
         has[row[a:b], column[a:b] - start] = 1
         shared += has[left] @ has[right].T
-    near = (10 + TENTHS) * shared.astype(np.int64) >= TENTHS * (size[left][:, None] + size[right][None, :])
-    i, j = np.nonzero(near)
+    return shared.astype(np.int64)
+
+
+def _sides(n: int, split: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows below ``split`` and those from there on; all and all if it is 0."""
+    return (np.arange(split), np.arange(split, n)) if split else (np.arange(n), np.arange(n))
+
+
+def crowd_links(ids: np.ndarray, sets: list[np.ndarray], split: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (a, b) of the similar pairs: rows below ``split`` with those from there on; all with each other if it is 0."""
+    left, right = _sides(len(sets), split)
+    size = np.array([len(x) for x in sets])
+    i, j = np.nonzero((10 + TENTHS) * _shared(sets, left, right) >= TENTHS * (size[left][:, None] + size[right][None, :]))
     i, j = left[i], right[j]
     keep = i != j
     node, root = forest(ids[i[keep]], ids[j[keep]]) if keep.any() else (np.empty(0, np.int64),) * 2
     return node[node != root], root[node != root]
 
 
-def _crowds(held: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): links that keep together what is similar among texts that share a shingle which more than FEW hold: (h, g, n, part).
+def crowd_candidates(frame: pd.DataFrame, split: int) -> np.ndarray:
+    """Which rows may be similar to one of another component (column part) on the other side of ``split``, by their heads.
 
-    Texts that hang together through such shingles are a crowd. It is cut into
-    bands of like size, of which only neighbours can be similar, and bands into
-    chunks. Whole sets are compared chunk by chunk; what leaves a task is a
-    forest, never the pairs.
+    x: what a head shares with other components at all; n: size of the whole set;
+    level, last: where the head ends in the order of shingles. Two sets share what
+    both heads hold, and of the set whose head ends first at most what comes after it.
+    """
+    left, right = _sides(len(frame), split)
+    n, part = frame["n"].to_numpy(), frame["part"].to_numpy()
+    after = -(-n * TENTHS // 10) - 1
+    order = np.lexsort((frame["last"].to_numpy(), frame["level"].to_numpy()))
+    rank = np.empty(len(frame), np.int64)
+    rank[order] = np.arange(len(frame))  # of equal ends either may count as the first
+    shared = _shared(frame["x"].tolist(), left, right)
+    most = shared + np.where(rank[left][:, None] <= rank[right][None, :], after[left][:, None], after[right][None, :])
+    near = (shared > 0) & (part[left][:, None] != part[right][None, :]) & ((10 + TENTHS) * most >= TENTHS * (n[left][:, None] + n[right][None, :]))
+    return np.union1d(left[near.any(axis=1)], right[near.any(axis=0)])
+
+
+def _cells(members: DataFrame, values: DataFrame, make: Callable[[pd.DataFrame, int], pd.DataFrame], schema: str) -> DataFrame:
+    """What ``make`` gives, written, for every cell of crowds' members (crowd, g, n) with their values (g, ..).
+
+    A crowd is cut into bands of like size, of which only neighbours can be
+    similar, and bands into chunks. A cell is two chunks, or one with itself: of
+    the same band (i <= j), or of a band (i) and the next one (j). ``make`` gets
+    its rows and how many of them are on the first side, 0 for a chunk with itself.
     """
-    count = held.count()
-    first = held.groupBy("h").agg(F.min("g").alias("c"))
-    together = connected_components(lookup(held, first, "h", count).select(F.col("g").alias("a"), F.col("c").alias("b")))
-    members = cut(held.select("g", "n").distinct().join(together.select(F.col("node").alias("g"), F.col("component").alias("crowd")), "g"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(10 / TENTHS)).cast("int")  # similar sets are one band apart at most
-    sizes = members.groupBy("crowd", band.alias("band")).agg(F.ceil(F.count("*") / CROWD).cast("int").alias("chunks"))
+    sizes = cut(members.groupBy("crowd", band.alias("band")).agg(F.ceil(F.count("*") / CROWD).cast("int").alias("chunks")))
     placed = members.withColumn("band", band).join(sizes, ["crowd", "band"]).withColumn("chunk", F.pmod(F.xxhash64("g"), F.col("chunks")).cast("int"))
-    with passing(_whole_sets(texts.join(members.select(F.col("g").alias("row")), "row", "left_semi"))) as whole:
-        whole = table(placed.join(whole, "g").select("crowd", "band", "chunk", "chunks", "g", "x"))
     above = sizes.select("crowd", (F.col("band") - 1).alias("band"), F.col("chunks").alias("upper"))
-    # A cell is two chunks, or one with itself: of the same band (i <= j), or of a band (i) and the next one (j).
+    below = sizes.select("crowd", (F.col("band") + 1).alias("band"), F.col("chunks").alias("lower"))
     own = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.col("band").alias("at"), F.lit(0).alias("step"), F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j"), (F.col("chunk") > o).cast("int").alias("side")))
     up = F.when(F.col("upper").isNotNull(), F.transform(F.sequence(F.lit(0), F.coalesce("upper", F.lit(1)) - 1), lambda o: F.struct(F.col("band").alias("at"), F.lit(1).alias("step"), F.col("chunk").alias("i"), o.alias("j"), F.lit(0).alias("side"))))
     down = F.when(F.col("lower").isNotNull(), F.transform(F.sequence(F.lit(0), F.coalesce("lower", F.lit(1)) - 1), lambda o: F.struct((F.col("band") - 1).alias("at"), F.lit(1).alias("step"), o.alias("i"), F.col("chunk").alias("j"), F.lit(1).alias("side"))))
-    below = sizes.select("crowd", (F.col("band") + 1).alias("band"), F.col("chunks").alias("lower"))
-    dealt = whole.join(above, ["crowd", "band"], "left").join(below, ["crowd", "band"], "left")
-    cells = dealt.select("crowd", "g", "x", F.explode(F.concat(own, F.coalesce(up, F.slice(own, 1, 0)), F.coalesce(down, F.slice(own, 1, 0)))).alias("c")).select("crowd", "c.*", "g", "x")
+    none = F.slice(own, 1, 0)
+    names = [c for c in values.columns if c != "g"]
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         same = frame["step"].iloc[0] == 0 and frame["i"].iloc[0] == frame["j"].iloc[0]
-        frame = frame.sort_values(["side", "g"])
+        frame = frame.sort_values(["side", "g"], ignore_index=True)
         split = 0 if same else int((frame["side"] == 0).sum())
-        a, b = crowd_links(frame["g"].to_numpy(), frame["x"].tolist(), split) if same or 0 < split < len(frame) else ((), ())
+        return make(frame if same or 0 < split < len(frame) else frame.iloc[:0], split)
+
+    with passing(placed.join(above, ["crowd", "band"], "left").join(below, ["crowd", "band"], "left").join(values, "g")) as dealt:
+        cells = dealt.select("crowd", "g", "n", *names, F.explode(F.concat(own, F.coalesce(up, none), F.coalesce(down, none))).alias("c")).select("crowd", "c.*", "g", "n", *names)
+        return cut(cells.groupBy("crowd", "at", "step", "i", "j").applyInPandas(compare, schema))
+
+
+def _crowds(crowded: DataFrame, open_heads: DataFrame, one: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links that keep together what is similar among texts that share a shingle which more than FEW hold: (h, g, n, part).
+
+    Texts that hang together through such shingles are a crowd. Heads, or of them
+    what other components hold too (open_heads: (h, g, part)), are compared first,
+    cell by cell; whole sets only of those texts that can be similar to one of
+    another component. What leaves a task are texts and forests, never pairs.
+    """
+    first = crowded.groupBy("h").agg(F.min("g").alias("c"))
+    together = connected_components(lookup(crowded, first, "h", crowded.count()).select(F.col("g").alias("a"), F.col("c").alias("b")))
+    members = cut(crowded.select("g", "n").distinct().join(together.select(F.col("node").alias("g"), F.col("component").alias("crowd")), "g"))
+    heads = open_heads.join(members.select("g"), "g", "left_semi").groupBy("g", "part").agg(F.collect_list("h").alias("x"))
+    heads = heads.join(one.select("g", "level", F.try_element_at("head", F.lit(-1)).alias("last")), "g")
+
+    def candidates(frame: pd.DataFrame, split: int) -> pd.DataFrame:
+        return frame.iloc[crowd_candidates(frame, split) if len(frame) else []][["crowd", "g", "n"]].astype("int64")
+
+    def links(frame: pd.DataFrame, split: int) -> pd.DataFrame:
+        a, b = crowd_links(frame["g"].to_numpy(), frame["x"].tolist(), split) if len(frame) else ((), ())
         return pd.DataFrame({"a": a, "b": b}).astype("int64")
 
-    return cut(cells.groupBy("crowd", "at", "step", "i", "j").applyInPandas(compare, "a long, b long"))
+    near = cut(_cells(members, heads, candidates, "crowd long, g long, n long").distinct())
+    with passing(_whole_sets(texts.join(near.select(F.col("g").alias("row")), "row", "left_semi"))) as whole:
+        return _cells(near, whole, links, "a long, b long")
 
 
 def _near(texts: DataFrame) -> DataFrame:
@@ -298,7 +347,7 @@ def _near(texts: DataFrame) -> DataFrame:
         rows = table(sets.select("row", "id", "key"))
         total = rows.count()
         groups = cut(rows.groupBy("key").agg(F.min("id").alias("low"), F.min("row").alias("g")))
-        one = table(sets.join(groups.select("g"), F.col("row") == F.col("g")).select("g", "n", "head"))
+        one = table(sets.join(groups.select("g"), F.col("row") == F.col("g")).select("g", "n", "head", "level"))
     heads = one.select("g", "n", F.explode("head").alias("h"))
     close = 10 * F.least("na", "nb") >= TENTHS * F.greatest("na", "nb")
 
@@ -315,7 +364,7 @@ def _near(texts: DataFrame) -> DataFrame:
     few = cut(parted.join(open_.where(F.col("k") <= FEW), "h", "left_semi"))
     crowded = cut(parted.join(open_.where(F.col("k") > FEW), "h", "left_semi"))
     many = crowded.groupBy("g").agg(F.count("*").alias("m"))
-    links = links.union(_similar(_few_pairs(few, many), one, texts)).union(_crowds(crowded, texts))
+    links = links.union(_similar(_few_pairs(few, many), one, texts)).union(_crowds(crowded, few.union(crowded).select("h", "g", "part"), one, texts))
     classes = _classes(groups.select("key", "low", "g"), connected_components(links), "g", parts_for(total))
     named = cut(groups.join(classes, "g").select("key", "component"))
     return lookup(rows, named, "key", total).select("row", "id", "component")
