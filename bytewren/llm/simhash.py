@@ -286,57 +286,59 @@ def crowd_candidates(frame: pd.DataFrame, split: int) -> np.ndarray:
 
 
 def _cells(members: DataFrame, values: DataFrame, make: Callable[[pd.DataFrame, int], pd.DataFrame], schema: str) -> DataFrame:
-    """What ``make`` gives, written, for every cell of crowds' members (crowd, g, n) with their values (g, ..).
+    """What ``make`` gives, written, for every cell of crowds' members (crowd, g, n, part) with their values (g, ..).
 
     A crowd is cut into bands of like size, of which only neighbours can be
-    similar, and bands into chunks. A cell is two chunks, or one with itself: of
-    the same band (i <= j), or of a band (i) and the next one (j). ``make`` gets
-    its rows and how many of them are on the first side, 0 for a chunk with itself.
+    similar, and bands into chunks; a component (part) with CROWD members has
+    chunks of its own, which are not compared with each other. A cell is two
+    chunks, or one with itself. ``make`` gets its rows and how many of them are
+    on the first side, 0 for a chunk with itself.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(10 / TENTHS)).cast("int")  # similar sets are one band apart at most
-    sizes = cut(members.groupBy("crowd", band.alias("band")).agg(F.ceil(F.count("*") / CROWD).cast("int").alias("chunks")))
-    placed = members.withColumn("band", band).join(sizes, ["crowd", "band"]).withColumn("chunk", F.pmod(F.xxhash64("g"), F.col("chunks")).cast("int"))
-    above = sizes.select("crowd", (F.col("band") - 1).alias("band"), F.col("chunks").alias("upper"))
-    below = sizes.select("crowd", (F.col("band") + 1).alias("band"), F.col("chunks").alias("lower"))
-    own = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.col("band").alias("at"), F.lit(0).alias("step"), F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j"), (F.col("chunk") > o).cast("int").alias("side")))
-    up = F.when(F.col("upper").isNotNull(), F.transform(F.sequence(F.lit(0), F.coalesce("upper", F.lit(1)) - 1), lambda o: F.struct(F.col("band").alias("at"), F.lit(1).alias("step"), F.col("chunk").alias("i"), o.alias("j"), F.lit(0).alias("side"))))
-    down = F.when(F.col("lower").isNotNull(), F.transform(F.sequence(F.lit(0), F.coalesce("lower", F.lit(1)) - 1), lambda o: F.struct((F.col("band") - 1).alias("at"), F.lit(1).alias("step"), o.alias("i"), F.col("chunk").alias("j"), F.lit(1).alias("side"))))
-    none = F.slice(own, 1, 0)
+    large = cut(members.groupBy("crowd", "part").agg(F.count("*").alias("k")).where(F.col("k") >= CROWD).select("part", F.col("part").alias("own")).distinct())
+    members = members.join(large, "part", "left").withColumn("block", F.struct(band.alias("band"), F.coalesce("own", F.lit(-1)).alias("home"))).drop("own")
+    sizes = cut(members.groupBy("crowd", "block").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("chunks")))
+    placed = members.join(sizes, ["crowd", "block"]).withColumn("chunk", F.pmod(F.xxhash64("g"), F.col("chunks")).cast("int")).drop("chunks")
+    both = sizes.join(sizes.select("crowd", F.col("block").alias("other"), F.col("chunks").alias("others")), "crowd")
+    meets = (F.abs(F.col("block.band") - F.col("other.band")) <= 1) & ((F.col("block.home") != F.col("other.home")) | (F.col("block.home") == -1))
+    nearby = cut(both.where(meets).groupBy("crowd", "block").agg(F.collect_list(F.struct("other", "others")).alias("near")))
     names = [c for c in values.columns if c != "g"]
+    here, there = F.struct("block", "chunk"), F.struct(F.col("near.other").alias("block"), F.col("at").alias("chunk"))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        same = frame["step"].iloc[0] == 0 and frame["i"].iloc[0] == frame["j"].iloc[0]
+        same = bool(frame["same"].iloc[0])
         frame = frame.sort_values(["side", "g"], ignore_index=True)
         split = 0 if same else int((frame["side"] == 0).sum())
         return make(frame if same or 0 < split < len(frame) else frame.iloc[:0], split)
 
-    with passing(placed.join(above, ["crowd", "band"], "left").join(below, ["crowd", "band"], "left").join(values, "g")) as dealt:
-        cells = dealt.select("crowd", "g", "n", *names, F.explode(F.concat(own, F.coalesce(up, none), F.coalesce(down, none))).alias("c")).select("crowd", "c.*", "g", "n", *names)
-        return cut(cells.groupBy("crowd", "at", "step", "i", "j").applyInPandas(compare, schema))
+    with passing(placed.join(nearby, ["crowd", "block"]).join(values, "g")) as dealt:
+        cells = dealt.withColumn("near", F.explode("near")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("near.others") - 1)))
+        cells = cells.select("crowd", F.to_json(F.least(here, there)).alias("i"), F.to_json(F.greatest(here, there)).alias("j"), (here > there).cast("int").alias("side"), (here == there).alias("same"), "g", "n", "part", *names)
+        return cut(cells.groupBy("crowd", "i", "j").applyInPandas(compare, schema))
 
 
 def _crowds(crowded: DataFrame, open_heads: DataFrame, one: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): links that keep together what is similar among texts that share a shingle which more than FEW hold: (h, g, n, part).
 
     Texts that hang together through such shingles are a crowd. Heads, or of them
-    what other components hold too (open_heads: (h, g, part)), are compared first,
+    what other components hold too (open_heads: (h, g)), are compared first,
     cell by cell; whole sets only of those texts that can be similar to one of
     another component. What leaves a task are texts and forests, never pairs.
     """
     first = crowded.groupBy("h").agg(F.min("g").alias("c"))
     together = connected_components(lookup(crowded, first, "h", crowded.count()).select(F.col("g").alias("a"), F.col("c").alias("b")))
-    members = cut(crowded.select("g", "n").distinct().join(together.select(F.col("node").alias("g"), F.col("component").alias("crowd")), "g"))
-    heads = open_heads.join(members.select("g"), "g", "left_semi").groupBy("g", "part").agg(F.collect_list("h").alias("x"))
+    members = cut(crowded.select("g", "n", "part").distinct().join(together.select(F.col("node").alias("g"), F.col("component").alias("crowd")), "g"))
+    heads = open_heads.join(members.select("g"), "g", "left_semi").groupBy("g").agg(F.collect_list("h").alias("x"))
     heads = heads.join(one.select("g", "level", F.try_element_at("head", F.lit(-1)).alias("last")), "g")
 
     def candidates(frame: pd.DataFrame, split: int) -> pd.DataFrame:
-        return frame.iloc[crowd_candidates(frame, split) if len(frame) else []][["crowd", "g", "n"]].astype("int64")
+        return frame.iloc[crowd_candidates(frame, split) if len(frame) else []][["crowd", "g", "n", "part"]].astype("int64")
 
     def links(frame: pd.DataFrame, split: int) -> pd.DataFrame:
         a, b = crowd_links(frame["g"].to_numpy(), frame["x"].tolist(), split) if len(frame) else ((), ())
         return pd.DataFrame({"a": a, "b": b}).astype("int64")
 
-    near = cut(_cells(members, heads, candidates, "crowd long, g long, n long").distinct())
+    near = cut(_cells(members, heads, candidates, "crowd long, g long, n long, part long").distinct())
     with passing(_whole_sets(texts.join(near.select(F.col("g").alias("row")), "row", "left_semi"))) as whole:
         return _cells(near, whole, links, "a long, b long")
 
@@ -364,7 +366,7 @@ def _near(texts: DataFrame) -> DataFrame:
     few = cut(parted.join(open_.where(F.col("k") <= FEW), "h", "left_semi"))
     crowded = cut(parted.join(open_.where(F.col("k") > FEW), "h", "left_semi"))
     many = crowded.groupBy("g").agg(F.count("*").alias("m"))
-    links = links.union(_similar(_few_pairs(few, many), one, texts)).union(_crowds(crowded, few.union(crowded).select("h", "g", "part"), one, texts))
+    links = links.union(_similar(_few_pairs(few, many), one, texts)).union(_crowds(crowded, few.union(crowded).select("h", "g"), one, texts))
     classes = _classes(groups.select("key", "low", "g"), connected_components(links), "g", parts_for(total))
     named = cut(groups.join(classes, "g").select("key", "component"))
     return lookup(rows, named, "key", total).select("row", "id", "component")
