@@ -34,7 +34,9 @@ WIDE, TENTHS = 5, 8
 #: Counters of how common shingles are, and pieces in which they travel. They bear on the time only, not on the result.
 CELLS, PIECES = 1 << 22, 64
 #: Texts that share a shingle and are paired; of more, chunks of so many are compared in one task, so many shingles at a time.
-FEW, CROWD, SLICE = 50, 512, 4096
+FEW, CROWD, SLICE = 50, 2048, 4096
+#: Shingles in a chunk, so that long texts make small chunks.
+HEAVY = 1 << 22
 
 
 def shingles_of(text: bytes, width: int) -> list[bytes]:
@@ -297,7 +299,7 @@ def _cells(members: DataFrame, values: DataFrame, make: Callable[[pd.DataFrame,
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(10 / TENTHS)).cast("int")  # similar sets are one band apart at most
     large = cut(members.groupBy("crowd", "part").agg(F.count("*").alias("k")).where(F.col("k") >= CROWD).select("part", F.col("part").alias("own")).distinct())
     members = members.join(large, "part", "left").withColumn("block", F.struct(band.alias("band"), F.coalesce("own", F.lit(-1)).alias("home"))).drop("own")
-    sizes = cut(members.groupBy("crowd", "block").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("chunks")))
+    sizes = cut(members.groupBy("crowd", "block").agg(F.ceil(F.greatest(F.count("*") / CROWD, F.sum("n") / HEAVY)).cast("int").alias("chunks")))
     placed = members.join(sizes, ["crowd", "block"]).withColumn("chunk", F.pmod(F.xxhash64("g"), F.col("chunks")).cast("int")).drop("chunks")
     both = sizes.join(sizes.select("crowd", F.col("block").alias("other"), F.col("chunks").alias("others")), "crowd")
     meets = (F.abs(F.col("block.band") - F.col("other.band")) <= 1) & ((F.col("block.home") != F.col("other.home")) | (F.col("block.home") == -1))
