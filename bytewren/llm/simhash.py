@@ -5,18 +5,21 @@ in none of the lower half. So a Hamming ball of radius one around the upper half
 and one of radius zero around the lower half find every such pair; each hit is
 verified on all 64 bits inside the join, so that false candidates make no rows.
 
+Similar sets of shingles are looked for by fingerprints first: of two within
+seven bits one of four segments differs in one bit at most, so that both hold the
+same segment with one bit left out. Candidates are verified on whole sets.
 Texts with a Jaccard similarity of 0.8 lie ten bits apart on average and up to
-twenty, where no segments of 64 bits help. They are found by prefixes instead:
-in any one order of all shingles, two such sets share a shingle among the first
-fifth of each. Commonest shingles come last, which only saves work. Hence no
-similar pair is missed.
+twenty, though, where no segments of 64 bits help. What fingerprints miss is found
+by prefixes: in any one order of all shingles, two such sets share a shingle among
+the first fifth of each. Commonest shingles come last, which only saves work.
+Hence no similar pair is missed.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytewren.llm.common import bound_batches, connected_components, cut, forest, lookup, parts_for, passing, table, unused, utf8
+from bytewren.llm.common import bound_batches, connected_components, cut, forest, lookup, parts_for, passing, release, table, unused, utf8
 
 SEED, SHINGLE, CHUNK = 42, 3, 1 << 15
 #: Words of a shingle and least Jaccard similarity, in tenths, for copies of a text.
@@ -37,6 +40,10 @@ CELLS, PIECES = 1 << 22, 64
 FEW, CROWD, SLICE = 50, 2048, 4096
 #: Shingles in a chunk, so that long texts make small chunks.
 HEAVY = 1 << 22
+#: Bits that fingerprints of candidates may differ in: twice the segments, less one. Rows of keys in a task.
+RADIUS, SEGMENT, KEYED = 7, 16, 1 << 20
+#: Least and most bits of a sketch; more would not change the result.
+SKETCH = (64, 1 << 16)
 
 
 def shingles_of(text: bytes, width: int) -> list[bytes]:
@@ -50,14 +57,22 @@ def shingles_of(text: bytes, width: int) -> list[bytes]:
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     """The signed 64-bit SimHash of a UTF-8 text: majority bits of its shingles' XXH64; 0 without words."""
     shingles = shingles_of(text, width)
-    if not shingles:
-        return 0
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(shingles), CHUNK):
-        part = shingles[i : i + CHUNK]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), ">u8", len(part))
+    parts = (shingles[i : i + CHUNK] for i in range(0, len(shingles), CHUNK))
+    return _majority(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), ">u8", len(part)) for part in parts)
+
+
+def set_fingerprint(x: np.ndarray) -> int:
+    """The signed 64-bit SimHash of a set of shingles' hashes, each counted once; 0 without any."""
+    return _majority(x[i : i + CHUNK].astype(">i8") for i in range(0, len(x), CHUNK))
+
+
+def _majority(parts: Iterable[np.ndarray]) -> int:
+    """Bits that over half of the big-endian hashes have, as one signed number."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(shingles)).tobytes(), "big", signed=True)
+        n += len(hashes)
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,7 +172,7 @@ def frequency_levels(texts: DataFrame) -> np.ndarray:
 
 
 def _sets(texts: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(row, id, key, n, head, level) of (row, id, t): a digest of the set of shingles, its size, the first of it in the order of levels, and the last one's level."""
+    """(row, id, key, n, fp, head) of (row, id, t): a digest of the set of shingles, its size, its SimHash, and the first of it in the order of levels."""
     sent = texts.sparkSession.sparkContext.broadcast(levels)  # CELLS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,10 +181,55 @@ def _sets(texts: DataFrame, levels: np.ndarray) -> DataFrame:
             sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
             keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
             heads = [x[np.argsort(levels[x & (CELLS - 1)], kind="stable")][: len(x) + 1 + -TENTHS * len(x) // 10] for x in sets]
-            ends = [int(levels[x[-1] & (CELLS - 1)]) if len(x) else 0 for x in heads]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), _lists(heads), pa.array(ends, pa.int32())], names=["row", "id", "key", "n", "head", "level"])
+            fps = [set_fingerprint(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(fps, pa.int64()), _lists(heads)], names=["row", "id", "key", "n", "fp", "head"])
+
+    return texts.select("row", "id", "t").mapInArrow(run, "row long, id long, key binary, n long, fp long, head array<long>")
+
+
+def leaders(key: np.ndarray, g: np.ndarray, n: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(a, b, na, nb): of the rows with one key, each with the first that is at most RADIUS bits away and of like size, if one is.
+
+    What has found its first row leads no other, so pairs grow as the rows do, not with the square of a group.
+    """
+    order = np.lexsort((g, key))
+    key, g, n, fp = key[order], g[order], n[order], fp[order]
+    made = [np.empty((4, 0), np.int64)]
+    while len(key):
+        new = np.append(True, key[1:] != key[:-1])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        close = (10 * np.minimum(n, n[first]) >= TENTHS * np.maximum(n, n[first])) & ~new
+        near = close & (np.bitwise_count((fp ^ fp[first]).view(np.uint64)) <= RADIUS)
+        made.append(np.stack([g[first], g, n[first], n])[:, near])
+        left = ~(new | near)
+        key, g, n, fp = key[left], g[left], n[left], fp[left]
+    return tuple(np.unique(np.concatenate(made, axis=1), axis=1))
+
+
+def fingerprint_candidates(one: DataFrame, total: int) -> DataFrame:
+    """(a, b, na, nb) of (g, n, fp): texts of like size whose fingerprints differ in RADIUS bits at most, by multi-index hashing.
+
+    A fingerprint has a key for every bit: the bit's segment without that bit. Two
+    within RADIUS bits share a key. Fingerprints are dealt by the half of the
+    segment that the bit is not in, and get their keys in the task. Of those with a
+    key see ``leaders``. total: about how many rows there are.
+    """
+    half = SEGMENT // 2
+    dealt = F.expr(f"transform(sequence(0, {64 // half - 1}), i -> i * {1 << half} + cast(shiftrightunsigned(fp, {half} * i) & {(1 << half) - 1} as int))")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = zip(*([c.to_numpy() for c in batch.columns] for batch in batches))
+        lies, g, n, fp = [np.concatenate(c) for c in columns] or [np.empty(0, np.int64)] * 4
+        low = ((lies >> half) ^ 1) * half  # the other half of the segment, whose bits are left out one by one
+        start = (low // SEGMENT * SEGMENT).astype(np.uint64)
+        segment = ((fp.view(np.uint64) >> start) & np.uint64((1 << SEGMENT) - 1)).astype(np.int64)
+        bits = [low + i for i in range(half)]
+        keys = [(bit << SEGMENT) | (segment & ~(1 << (bit % SEGMENT))) for bit in bits]
+        made = leaders(np.concatenate(keys), *(np.tile(x, half) for x in (g, n, fp)))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["a", "b", "na", "nb"])
 
-    return texts.select("row", "id", "t").mapInArrow(run, "row long, id long, key binary, n long, head array<long>, level int")
+    rows = one.select(F.explode(dealt).alias("lies"), "g", "n", "fp").select(F.col("lies").cast("long"), "g", "n", "fp")
+    return rows.repartition(64 * total // KEYED + 1, "lies").mapInArrow(run, "a long, b long, na long, nb long").distinct()
 
 
 def _whole_sets(texts: DataFrame) -> DataFrame:
@@ -182,6 +242,26 @@ def _whole_sets(texts: DataFrame) -> DataFrame:
     return texts.select("row", "t").mapInArrow(run, "g long, x array<long>")
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """Bit i: whether an odd number of the hashes end in i. Two sets differ in at least as many elements as their sketches in bits.
+
+    There are as many bits as elements, up to the next power of two, within SKETCH.
+    A longer sketch folds to a shorter one: its halves are XORed.
+    """
+    bits = min(max(SKETCH[0], 1 << max(0, len(x) - 1).bit_length()), SKETCH[1])
+    return np.packbits(np.bincount(x & (bits - 1), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(g, x) of (row, t): the sketch of a text's shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(shingle_set(t)) for t in batch.column(1).to_pylist()], pa.binary())], names=["g", "x"])
+
+    return texts.select("row", "t").mapInArrow(run, "g long, x binary")
+
+
 def _enough(shared: Column) -> Column:
     """Whether sets of na and nb shingles that share so many have the least similarity: t / (1 + t) of na + nb are needed."""
     return (10 + TENTHS) * shared >= TENTHS * (F.col("na") + F.col("nb"))
@@ -214,6 +294,7 @@ def _similar(pairs: DataFrame, one: DataFrame, texts: DataFrame) -> DataFrame:
         heads = one.join(_ends(pairs, "g"), "g", "left_semi").select("g", F.col("head").alias("x"))
         with passing(heads) as heads:
             close = cut(_with_ends(pairs, heads).where(_enough(shared + _after())).select("a", "b", "na", "nb"))
+    release(texts.sparkSession)
     with passing(_whole_sets(texts.join(_ends(close, "row"), "row", "left_semi"))) as whole:
         return cut(_with_ends(close, whole).where(_enough(shared)).select("a", "b"))
 
@@ -233,15 +314,16 @@ def _few_pairs(held: DataFrame, many: DataFrame) -> DataFrame:
     return both.where(_enough(most + _after())).select("a", "b", "na", "nb")
 
 
-def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many elements the sets at ``left`` share with those at ``right``."""
+def _shared(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """How many elements the sets below ``split`` share with those from there on; all with all if it is 0."""
     n = len(sets)
-    flat, row = np.concatenate([np.empty(0, np.int64), *sets]), np.repeat(np.arange(n), [len(x) for x in sets])
+    left, right = _sides(n, split)
+    flat, row = np.concatenate([np.empty(0, np.int64), *sets]), np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in sets])
     _, column, often = np.unique(flat, return_inverse=True, return_counts=True)
     use = often[column] > 1  # others are shared by none
     _, column = np.unique(column[use], return_inverse=True)
     row = row[use]
-    shared = np.zeros((len(left), len(right)), np.float32)
+    shared = np.zeros((left.stop - left.start, right.stop - right.start), np.float32)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     for start in range(0, int(column[-1]) + 1 if len(column) else 0, SLICE):
@@ -249,48 +331,65 @@ def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
         has = np.zeros((n, min(SLICE, int(column[-1]) + 1 - start)), np.float32)
         has[row[a:b], column[a:b] - start] = 1
         shared += has[left] @ has[right].T
-    return shared.astype(np.int64)
+    return shared
 
 
-def _sides(n: int, split: int) -> tuple[np.ndarray, np.ndarray]:
+def _sides(n: int, split: int) -> tuple[slice, slice]:
     """Rows below ``split`` and those from there on; all and all if it is 0."""
-    return (np.arange(split), np.arange(split, n)) if split else (np.arange(n), np.arange(n))
+    return (slice(0, split), slice(split, n)) if split else (slice(0, n), slice(0, n))
 
 
 def crowd_links(ids: np.ndarray, sets: list[np.ndarray], split: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (a, b) of the similar pairs: rows below ``split`` with those from there on; all with each other if it is 0."""
     left, right = _sides(len(sets), split)
     size = np.array([len(x) for x in sets])
-    i, j = np.nonzero((10 + TENTHS) * _shared(sets, left, right) >= TENTHS * (size[left][:, None] + size[right][None, :]))
-    i, j = left[i], right[j]
+    i, j = np.nonzero((10 + TENTHS) * _shared(sets, split) >= TENTHS * (size[left][:, None] + size[right][None, :]))
+    i, j = i + left.start, j + right.start
     keep = i != j
     node, root = forest(ids[i[keep]], ids[j[keep]]) if keep.any() else (np.empty(0, np.int64),) * 2
     return node[node != root], root[node != root]
 
 
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits each sketch of a differs from each of b; a and b: a sketch of equal length in each row."""
+    both = np.zeros((len(a), len(b)), np.float32)
+    for start in range(0, a.shape[1], max(1, SLICE // 8)):
+        x, y = (np.unpackbits(z[:, start : start + max(1, SLICE // 8)], axis=1).astype(np.float32) for z in (a, b))
+        both += x.sum(axis=1)[:, None] + y.sum(axis=1)[None, :] - 2 * (x @ y.T)
+    return both
+
+
 def crowd_candidates(frame: pd.DataFrame, split: int) -> np.ndarray:
-    """Which rows may be similar to one of another component (column part) on the other side of ``split``, by their heads.
+    """Which rows may be similar to one of another component (column part) on the other side of ``split``, by their sketches (x) and sizes (n).
 
-    x: what a head shares with other components at all; n: size of the whole set;
-    level, last: where the head ends in the order of shingles. Two sets share what
-    both heads hold, and of the set whose head ends first at most what comes after it.
+    Similar sets differ in a ninth of na + nb at most, and sketches in no more. Sketches of similar sets have equal or neighbouring lengths.
     """
-    left, right = _sides(len(frame), split)
-    n, part = frame["n"].to_numpy(), frame["part"].to_numpy()
-    after = -(-n * TENTHS // 10) - 1
-    order = np.lexsort((frame["last"].to_numpy(), frame["level"].to_numpy()))
-    rank = np.empty(len(frame), np.int64)
-    rank[order] = np.arange(len(frame))  # of equal ends either may count as the first
-    shared = _shared(frame["x"].tolist(), left, right)
-    most = shared + np.where(rank[left][:, None] <= rank[right][None, :], after[left][:, None], after[right][None, :])
-    near = (shared > 0) & (part[left][:, None] != part[right][None, :]) & ((10 + TENTHS) * most >= TENTHS * (n[left][:, None] + n[right][None, :]))
-    return np.union1d(left[near.any(axis=1)], right[near.any(axis=0)])
+    n, part, rows = frame["n"].to_numpy(), frame["part"].to_numpy(), np.arange(len(frame))
+    left, right = (rows[side] for side in _sides(len(frame), split))
+    width = np.array([len(x) for x in frame["x"]])
+    packed = {w: np.frombuffer(b"".join(frame["x"][width == w]), np.uint8).reshape(-1, w) for w in np.unique(width).tolist()}
+    place = np.empty(len(frame), np.int64)  # a row's place among those of its width
+    for w in packed:
+        place[width == w] = np.arange(len(packed[w]))
+    folded = {w: x[:, : w // 2] ^ x[:, w // 2 :] for w, x in packed.items()}
+    found = np.zeros(len(frame), bool)
+    for w in packed:
+        for v in (w // 2, w, 2 * w):
+            i, j = left[width[left] == w], right[width[right] == v]
+            if v not in packed or not len(i) or not len(j):
+                continue
+            x, y = (folded[k] if k > min(v, w) else packed[k] for k in (w, v))
+            least = (TENTHS + 10) * np.maximum(_differing(x[place[i]], y[place[j]]), np.abs(n[i][:, None] - n[j][None, :]))
+            near = (least <= (10 - TENTHS) * (n[i][:, None] + n[j][None, :])) & (part[i][:, None] != part[j][None, :])
+            found[i[near.any(axis=1)]] = True
+            found[j[near.any(axis=0)]] = True
+    return np.flatnonzero(found)
 
 
 def _cells(members: DataFrame, values: DataFrame, make: Callable[[pd.DataFrame, int], pd.DataFrame], schema: str) -> DataFrame:
     """What ``make`` gives, written, for every cell of crowds' members (crowd, g, n, part) with their values (g, ..).
 
-    A crowd is cut into bands of like size, of which only neighbours can be
+    A crowd that is no chunk by itself is cut into bands of like size, of which only neighbours can be
     similar, and bands into chunks; a component (part) with CROWD members has
     chunks of its own, which are not compared with each other. A cell is two
     chunks, or one with itself. ``make`` gets its rows and how many of them are
@@ -298,7 +397,9 @@ def _cells(members: DataFrame, values: DataFrame, make: Callable[[pd.DataFrame,
     """
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(10 / TENTHS)).cast("int")  # similar sets are one band apart at most
     large = cut(members.groupBy("crowd", "part").agg(F.count("*").alias("k")).where(F.col("k") >= CROWD).select("part", F.col("part").alias("own")).distinct())
-    members = members.join(large, "part", "left").withColumn("block", F.struct(band.alias("band"), F.coalesce("own", F.lit(-1)).alias("home"))).drop("own")
+    wide = cut(members.groupBy("crowd").agg(F.greatest(F.count("*") / CROWD, F.sum("n") / HEAVY).alias("k")).where("k > 1").select("crowd", F.lit(True).alias("wide")))
+    members = members.join(large, "part", "left").join(wide, "crowd", "left")
+    members = members.withColumn("block", F.struct(F.when(F.col("wide"), band).otherwise(0).alias("band"), F.coalesce("own", F.lit(-1)).alias("home"))).drop("own", "wide")
     sizes = cut(members.groupBy("crowd", "block").agg(F.ceil(F.greatest(F.count("*") / CROWD, F.sum("n") / HEAVY)).cast("int").alias("chunks")))
     placed = members.join(sizes, ["crowd", "block"]).withColumn("chunk", F.pmod(F.xxhash64("g"), F.col("chunks")).cast("int")).drop("chunks")
     both = sizes.join(sizes.select("crowd", F.col("block").alias("other"), F.col("chunks").alias("others")), "crowd")
@@ -319,19 +420,14 @@ def _cells(members: DataFrame, values: DataFrame, make: Callable[[pd.DataFrame,
         return cut(cells.groupBy("crowd", "i", "j").applyInPandas(compare, schema))
 
 
-def _crowds(crowded: DataFrame, open_heads: DataFrame, one: DataFrame, texts: DataFrame) -> DataFrame:
+def _crowds(crowded: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): links that keep together what is similar among texts that share a shingle which more than FEW hold: (h, g, n, part).
 
-    Texts that hang together through such shingles are a crowd. Heads, or of them
-    what other components hold too (open_heads: (h, g)), are compared first,
-    cell by cell; whole sets only of those texts that can be similar to one of
-    another component. What leaves a task are texts and forests, never pairs.
+    Those that hold one shingle are a crowd. Sketches, an eighth to a quarter of a byte for a
+    shingle, are compared first, cell by cell; whole sets only of those texts
+    that can be similar to one of another component. What leaves a task are texts
+    and forests, never pairs.
     """
-    first = crowded.groupBy("h").agg(F.min("g").alias("c"))
-    together = connected_components(lookup(crowded, first, "h", crowded.count()).select(F.col("g").alias("a"), F.col("c").alias("b")))
-    members = cut(crowded.select("g", "n", "part").distinct().join(together.select(F.col("node").alias("g"), F.col("component").alias("crowd")), "g"))
-    heads = open_heads.join(members.select("g"), "g", "left_semi").groupBy("g").agg(F.collect_list("h").alias("x"))
-    heads = heads.join(one.select("g", "level", F.try_element_at("head", F.lit(-1)).alias("last")), "g")
 
     def candidates(frame: pd.DataFrame, split: int) -> pd.DataFrame:
         return frame.iloc[crowd_candidates(frame, split) if len(frame) else []][["crowd", "g", "n", "part"]].astype("int64")
@@ -340,7 +436,9 @@ def _crowds(crowded: DataFrame, open_heads: DataFrame, one: DataFrame, texts: Da
         a, b = crowd_links(frame["g"].to_numpy(), frame["x"].tolist(), split) if len(frame) else ((), ())
         return pd.DataFrame({"a": a, "b": b}).astype("int64")
 
-    near = cut(_cells(members, heads, candidates, "crowd long, g long, n long, part long").distinct())
+    members = crowded.select(F.col("h").alias("crowd"), "g", "n", "part")
+    with passing(_sketches(texts.join(members.select(F.col("g").alias("row")), "row", "left_semi"))) as sketches:
+        near = cut(_cells(members, sketches, candidates, "crowd long, g long, n long, part long").distinct())
     with passing(_whole_sets(texts.join(near.select(F.col("g").alias("row")), "row", "left_semi"))) as whole:
         return _cells(near, whole, links, "a long, b long")
 
@@ -351,15 +449,20 @@ def _near(texts: DataFrame) -> DataFrame:
         rows = table(sets.select("row", "id", "key"))
         total = rows.count()
         groups = cut(rows.groupBy("key").agg(F.min("id").alias("low"), F.min("row").alias("g")))
-        one = table(sets.join(groups.select("g"), F.col("row") == F.col("g")).select("g", "n", "head", "level"))
+        one = table(sets.join(groups.select("g"), F.col("row") == F.col("g")).select("g", "n", "fp", "head"))
+    release(texts.sparkSession)
     heads = one.select("g", "n", F.explode("head").alias("h"))
     close = 10 * F.least("na", "nb") >= TENTHS * F.greatest("na", "nb")
 
-    # First each text against the lowest of those that hold a shingle of its head: a pair for each, not for each two.
+    # First what fingerprints bring together, and each text against the lowest of those that hold a shingle of its head: a pair for each, not for each two.
+    by_bits = cut(fingerprint_candidates(one, total))
     met = cut(heads.groupBy("h").agg(F.min(F.struct("g", "n")).alias("c"), F.count("*").alias("k")).where("k > 1").select("h", F.col("c.g").alias("a"), F.col("c.n").alias("na")))
+    release(texts.sparkSession)
     with passing(heads.join(met.select("h"), "h", "left_semi")) as shared:
+        release(texts.sparkSession)
         stars = lookup(shared, met, "h", shared.count()).where(F.col("g") > F.col("a")).select("a", F.col("g").alias("b"), "na", F.col("n").alias("nb")).where(close).distinct()
-        links = _similar(stars, one, texts)
+        links = _similar(by_bits.union(stars).distinct(), one, texts)
+        release(texts.sparkSession)
         found = cut(connected_components(links))
 
         # Then what shares a shingle but no component yet.
@@ -368,7 +471,10 @@ def _near(texts: DataFrame) -> DataFrame:
     few = cut(parted.join(open_.where(F.col("k") <= FEW), "h", "left_semi"))
     crowded = cut(parted.join(open_.where(F.col("k") > FEW), "h", "left_semi"))
     many = crowded.groupBy("g").agg(F.count("*").alias("m"))
-    links = links.union(_similar(_few_pairs(few, many), one, texts)).union(_crowds(crowded, few.union(crowded).select("h", "g"), one, texts))
+    links = links.union(_similar(_few_pairs(few, many), one, texts))
+    release(texts.sparkSession)
+    links = links.union(_crowds(crowded, texts))
+    release(texts.sparkSession)
     classes = _classes(groups.select("key", "low", "g"), connected_components(links), "g", parts_for(total))
     named = cut(groups.join(classes, "g").select("key", "component"))
     return lookup(rows, named, "key", total).select("row", "id", "component")
@@ -385,7 +491,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows with equal sets (those without words, as null and empty texts, among
     them) are joined through the set's digest, never paired. Other texts are first compared
-    with one text for each shingle of their heads. Only what is in different
+    with what lies within RADIUS bits of their SimHash and with one text for each
+    shingle of their heads. Only what is in different
     components after that is paired if few share the shingle, and compared chunk by
     chunk if many do; sets are always compared whole.
     A very long text costs its own length. A null id keeps its row but never

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -187,6 +188,44 @@ def test_near_duplicates_are_all_texts_of_similarity_0_8(spark, monkeypatch, few
     assert simhash.one_of_each(docs).count() == len(set(want.values()))
 
 
+def test_fingerprints_bring_near_texts_together(spark):
+    """Each within RADIUS bits of the first of its group is a candidate with it, and a large group makes no pair for each two."""
+    rng = random.Random(31)
+    flip = lambda f, k: f ^ sum(1 << b for b in rng.sample(range(64), k))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    groups = [[base, *(flip(base, rng.randint(0, simhash.RADIUS)) for _ in range(size))] for base, size in ((rng.getrandbits(64), k) for k in (1, 2, 5, 400))]
+    fps = [f for group in groups for f in group]
+    one = spark.createDataFrame([(i, 100, signed(f)) for i, f in enumerate(fps)], "g long, n long, fp long")
+    found = {(r.a, r.b) for r in simhash.fingerprint_candidates(one, len(fps)).collect()}
+    start = 0
+    for group in groups:
+        assert {(start, start + i) for i in range(1, len(group))} <= found
+        start += len(group)
+    assert all(bin(fps[a] ^ fps[b]).count("1") <= simhash.RADIUS for a, b in found) and len(found) < 64 * len(fps)
+    unlike = spark.createDataFrame([(0, 100, 5), (1, 79, 5)], "g long, n long, fp long")
+    assert simhash.fingerprint_candidates(unlike, 2).count() == 0
+
+
+@pytest.mark.parametrize("split", [0, 25])
+def test_sketches_keep_all_similar_sets(split):
+    """No similar pair is lost by them, they are a small part of the sets, and few others are kept."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (1, 5, 60, 64, 65, 130, 700, 3000, 90_000, 90_000):
+        base = rng.integers(-(1 << 63), 1 << 63, n)
+        sets += [np.unique(np.concatenate([base[: n - int(n * c)], rng.integers(-(1 << 63), 1 << 63, int(n * c * e))])) for c, e in ((0, 0), (0.1, 1), (0.11, 1), (0.2, 0), (0.5, 1))]
+    made = [simhash.sketch(x) for x in sets]
+    assert all(len(m) <= max(8, len(x) / 4) for m, x in zip(made, sets))
+    frame = pd.DataFrame({"g": range(len(sets)), "n": [len(x) for x in sets], "part": range(len(sets)), "x": made})
+    got = set(simhash.crowd_candidates(frame, split).tolist())
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if not split or j < split <= i]
+    shared = {p: len(np.intersect1d(sets[p[0]], sets[p[1]])) for p in pairs}
+    alike = lambda p, least: shared[p] >= least * (len(sets[p[0]]) + len(sets[p[1]]) - shared[p])
+    assert {i for p in pairs if alike(p, 0.8) for i in p} <= got
+    assert not {i for i in got if 64 < len(sets[i]) < 1 << 16} - {i for p in pairs if alike(p, 0.7) for i in p}
+    assert not len(simhash.crowd_candidates(frame.assign(part=1), split))
+
+
 def plain_removal(rows):
     first = {}
     for i, t, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
