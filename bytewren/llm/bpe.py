@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytewren.llm.common import map_rows, utf8
+from bytewren.llm.common import KEPT, map_rows, utf8
 
 #: States, spellings and neighbours are forgotten beyond these numbers and made again; results don't depend on them. Some 200 MB in all.
 MOST_STATES, MOST_PIECES, MOST_PAIRS = 150_000, 150_000, 250_000
@@ -279,15 +279,12 @@ class Decoder:
         return "".join(out) + self.finish()
 
 
-_made: dict[tuple[str, str], tuple[Encoder, Decoder]] = {}
-
-
 def codec(path: str, pattern: str) -> tuple[Encoder, Decoder]:
-    """The worker's encoder and decoder; a reused worker keeps what it has learned."""
-    if (path, pattern) not in _made:
+    """The worker's encoder and decoder; a reused worker keeps what it has learned until ``forget``."""
+    if ("codec", path, pattern) not in KEPT:
         encoder = Encoder(load_ranks(path), pattern)
-        _made[path, pattern] = encoder, Decoder(encoder.transducer.bytes_of)
-    return _made[path, pattern]
+        KEPT["codec", path, pattern] = encoder, Decoder(encoder.transducer.bytes_of)
+    return KEPT["codec", path, pattern]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

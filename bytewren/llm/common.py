@@ -91,6 +91,17 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: What a worker that is used again keeps for its operator from task to task: large tables that can be made again.
+KEPT: dict = {}
+
+
+def forget() -> None:
+    """Give back the memory of what other operators' tasks have left in this worker."""
+    if KEPT:
+        KEPT.clear()
+        gc.collect()
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

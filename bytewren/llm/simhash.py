@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytewren.llm.common import bound_batches, connected_components, cut, forest, lookup, parts_for, passing, release, table, unused, utf8
+from bytewren.llm.common import bound_batches, connected_components, cut, forest, forget, lookup, parts_for, passing, release, table, unused, utf8
 
 SEED, SHINGLE, CHUNK = 42, 3, 1 << 15
 #: Words of a shingle and least Jaccard similarity, in tenths, for copies of a text.
@@ -39,9 +39,9 @@ CELLS, PIECES = 1 << 22, 64
 #: Texts that share a shingle and are paired; of more, chunks of so many are compared in one task, so many shingles at a time.
 FEW, CROWD, SLICE = 50, 2048, 4096
 #: Shingles in a chunk, so that long texts make small chunks.
-HEAVY = 1 << 22
+HEAVY = 1 << 20
 #: Bits that fingerprints of candidates may differ in: twice the segments, less one. Rows of keys in a task.
-RADIUS, SEGMENT, KEYED = 7, 16, 1 << 20
+RADIUS, SEGMENT, KEYED = 7, 16, 1 << 18
 #: Least and most bits of a sketch; more would not change the result.
 SKETCH = (64, 1 << 16)
 
@@ -148,6 +148,7 @@ def frequency_levels(texts: DataFrame) -> np.ndarray:
     piece = CELLS // PIECES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -157,6 +158,7 @@ def frequency_levels(texts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(made, pa.binary())], names=["piece", "z"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -176,6 +178,7 @@ def _sets(texts: DataFrame, levels: np.ndarray) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast(levels)  # CELLS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         levels = sent.value
         for batch in batches:
             sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
@@ -218,6 +221,7 @@ def fingerprint_candidates(one: DataFrame, total: int) -> DataFrame:
     dealt = F.expr(f"transform(sequence(0, {64 // half - 1}), i -> i * {1 << half} + cast(shiftrightunsigned(fp, {half} * i) & {(1 << half) - 1} as int))")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         columns = zip(*([c.to_numpy() for c in batch.columns] for batch in batches))
         lies, g, n, fp = [np.concatenate(c) for c in columns] or [np.empty(0, np.int64)] * 4
         low = ((lies >> half) ^ 1) * half  # the other half of the segment, whose bits are left out one by one
@@ -236,6 +240,7 @@ def _whole_sets(texts: DataFrame) -> DataFrame:
     """(g, x) of (row, t): all shingles of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(t) for t in batch.column(1).to_pylist()])], names=["g", "x"])
 
@@ -256,6 +261,7 @@ def _sketches(texts: DataFrame) -> DataFrame:
     """(g, x) of (row, t): the sketch of a text's shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(shingle_set(t)) for t in batch.column(1).to_pylist()], pa.binary())], names=["g", "x"])
 
@@ -409,6 +415,7 @@ def _cells(members: DataFrame, values: DataFrame, make: Callable[[pd.DataFrame,
     here, there = F.struct("block", "chunk"), F.struct(F.col("near.other").alias("block"), F.col("at").alias("chunk"))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        forget()
         same = bool(frame["same"].iloc[0])
         frame = frame.sort_values(["side", "g"], ignore_index=True)
         split = 0 if same else int((frame["side"] == 0).sum())
