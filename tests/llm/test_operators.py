@@ -226,6 +226,14 @@ def test_sketches_keep_all_similar_sets(split):
     assert not len(simhash.crowd_candidates(frame.assign(part=1), split))
 
 
+def test_workers_give_back_the_encoder():
+    bpe.codec(RANKS, public_tokenizers.PATTERN)
+    assert common.KEPT
+    common.forget()
+    assert not common.KEPT
+    assert bpe.codec(RANKS, public_tokenizers.PATTERN)[0].ids("a b")
+
+
 def plain_removal(rows):
     first = {}
     for i, t, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
