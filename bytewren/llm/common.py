@@ -66,6 +66,32 @@ def _table(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Bytes of text in a part of a dealt table, and most parts.
+PART, PARTS = 48 << 20, 50_000
+
+
+def dealt(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """As ``table``, dealt into parts by ``key`` as a bucketed table: a join by that key moves only its other side.
+
+    text: what rows are large by; a first pass over ``df`` sums its bytes. The table's name goes with its folder when Python exits.
+    """
+    spark = df.sparkSession
+    total = df.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
+    parts = min(PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART)))
+    name = f"bytewren_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    df.repartition(parts, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, key).saveAsTable(name)
+    atexit.register(_remove, spark, path)
+    atexit.register(_unname, spark, name)
+    release(spark)
+    return spark.table(name)
+
+
+def _unname(spark: SparkSession, name: str) -> None:
+    with contextlib.suppress(Exception):
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+
+
 @contextlib.contextmanager
 def passing(df: DataFrame) -> Iterator[DataFrame]:
     """As ``table``, for what is read inside the block only: the folder is removed at its end.

@@ -26,10 +26,12 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytewren.llm.common import bound_batches, connected_components, cut, forest, forget, lookup, parts_for, passing, release, table, unused, utf8
+from bytewren.llm.common import bound_batches, connected_components, cut, dealt, forest, forget, lookup, parts_for, passing, release, table, unused, utf8
+from bytewren.llm.suffixes import HASH_BITS, _concat, _eight, _five, _pack, _runs
 
 SEED, SHINGLE, CHUNK = 42, 3, 1 << 15
 #: Words of a shingle and least Jaccard similarity, in tenths, for copies of a text.
@@ -42,6 +44,10 @@ FEW, CROWD, SLICE = 50, 2048, 4096
 HEAVY = 1 << 20
 #: Bits that fingerprints of candidates may differ in: twice the segments, less one. Rows of keys in a task.
 RADIUS, SEGMENT, KEYED = 7, 16, 1 << 18
+#: Rows of a task that compares texts which share a shingle, and bytes of sketches that it looks at together.
+GROUPED, SENT = 1 << 16, 1 << 24
+#: Shingles of heads that a task sends at once; those of which so many texts hold more lie in any task.
+HELD, OFTEN = 1 << 21, 1000
 #: Least and most bits of a sketch; more would not change the result.
 SKETCH = (64, 1 << 16)
 
@@ -174,7 +180,7 @@ def frequency_levels(texts: DataFrame) -> np.ndarray:
 
 
 def _sets(texts: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(row, id, key, n, fp, head) of (row, id, t): a digest of the set of shingles, its size, its SimHash, and the first of it in the order of levels."""
+    """(row, id, key, n, fp, x, head) of (row, id, t): a digest of the set of shingles, its size, its SimHash, its sketch, and the first of it in the order of levels."""
     sent = texts.sparkSession.sparkContext.broadcast(levels)  # CELLS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +191,9 @@ def _sets(texts: DataFrame, levels: np.ndarray) -> DataFrame:
             keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
             heads = [x[np.argsort(levels[x & (CELLS - 1)], kind="stable")][: len(x) + 1 + -TENTHS * len(x) // 10] for x in sets]
             fps = [set_fingerprint(x) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(fps, pa.int64()), _lists(heads)], names=["row", "id", "key", "n", "fp", "head"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(fps, pa.int64()), pa.array([sketch(x) for x in sets], pa.binary()), _lists(heads)], names=["row", "id", "key", "n", "fp", "x", "head"])
 
-    return texts.select("row", "id", "t").mapInArrow(run, "row long, id long, key binary, n long, fp long, head array<long>")
+    return texts.select("row", "id", "t").mapInArrow(run, "row long, id long, key binary, n long, fp long, x binary, head array<long>")
 
 
 def leaders(key: np.ndarray, g: np.ndarray, n: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -236,6 +242,75 @@ def fingerprint_candidates(one: DataFrame, total: int) -> DataFrame:
     return rows.repartition(64 * total // KEYED + 1, "lies").mapInArrow(run, "a long, b long, na long, nb long").distinct()
 
 
+def shared_heads(one: DataFrame, total: int) -> DataFrame:
+    """(h, g, n) of (g, n, head): for each shingle that two heads hold or more, a row for each of them; total: about how many shingles heads hold.
+
+    h is a shingle's leading bits, HASH_BITS besides those of its bucket; equal bits only make candidates. Buckets get shingles packed, without
+    the texts' other columns. A shingle that more than OFTEN of a task's texts hold is shared for certain: its bucket gets
+    to know it, its texts go to any bucket.
+    """
+    bits = (total // KEYED).bit_length()
+    inside = np.uint64((1 << HASH_BITS) - 1)
+    none = np.empty(0, np.int64)
+
+    def blob(key: np.ndarray, g: np.ndarray, n: np.ndarray, many: np.ndarray, own: tuple[np.ndarray, ...]) -> bytes:
+        order = np.argsort(g, kind="stable")  # for the packing's sake
+        key, g, n = key[order], g[order], n[order]
+        starts = _runs(g)
+        return _pack(np.diff(g[starts], prepend=0), n[starts], np.diff(np.append(starts, len(g))).astype(np.int32), _five(key & inside), _five(many & inside), *own)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        held, size, turn = [], 0, TaskContext.get().partitionId()
+
+        def flush() -> pa.RecordBatch:
+            nonlocal turn
+            g, n, key = map(np.concatenate, zip(*held))
+            order = np.argsort(key, kind="stable")
+            g, n, key = g[order], n[order], key[order]
+            starts = _runs(key)
+            count = np.diff(np.append(starts, len(key)))
+            often = np.repeat(count > OFTEN, count)
+            many, rest = key[starts[count > OFTEN]], (key[~often], g[~often], n[~often])
+            edges = np.arange(1, 1 << bits).astype(np.uint64) << np.uint64(HASH_BITS)
+            a, b = (np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for x in (rest[0], many))
+            made = [(i, blob(*(x[a[i] : a[i + 1]] for x in rest), many[b[i] : b[i + 1]], (none,) * 3)) for i in range(1 << bits) if a[i] < a[i + 1] or b[i] < b[i + 1]]
+            own = [x[often] for x in (key.view(np.int64), g, n)]
+            for start in range(0, len(own[0]), 1 << 14):
+                turn += 1
+                made.append((turn % (1 << bits), blob(none.view(np.uint64), none, none, none.view(np.uint64), tuple(x[start : start + (1 << 14)] for x in own))))
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary())], names=["bucket", "blob"])
+
+        for batch in batches:
+            head = batch.column(2)
+            sizes = np.diff(head.offsets.to_numpy())
+            key = head.flatten().to_numpy().view(np.uint64) >> np.uint64(64 - bits - HASH_BITS)
+            held.append((np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(batch.column(1).to_numpy(), sizes), key))
+            size += len(key)
+            if size >= HELD:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    def match(frame: pd.DataFrame) -> pd.DataFrame:
+        forget()
+        parts = [_concat([x], ()) for x in frame["blob"]]
+        g = np.concatenate([np.repeat(np.cumsum(p[0]), p[2]) for p in parts])
+        n = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
+        key, many = (_eight(np.concatenate([p[k] for p in parts])) for k in (3, 4))
+        order = np.lexsort((g, key))
+        g, n, key = g[order], n[order], key[order]
+        starts = _runs(key)
+        count = np.diff(np.append(starts, len(key)))
+        found = np.repeat(count > 1, count) | np.isin(key, many)
+        h = (key | (np.uint64(frame["bucket"].iloc[0]) << np.uint64(HASH_BITS))).view(np.int64)
+        return pd.DataFrame({c: np.concatenate([x[found], *(p[k] for p in parts)]) for c, x, k in (("h", h, 5), ("g", g, 6), ("n", n, 7))})
+
+    sent = one.select("g", "n", "head").mapInArrow(send, "bucket int, blob binary")
+    return sent.repartition(1 << bits, "bucket").groupBy("bucket").applyInPandas(match, "h long, g long, n long")
+
+
 def _whole_sets(texts: DataFrame) -> DataFrame:
     """(g, x) of (row, t): all shingles of a text."""
 
@@ -257,15 +332,27 @@ def sketch(x: np.ndarray) -> bytes:
     return np.packbits(np.bincount(x & (bits - 1), minlength=bits) & 1, bitorder="little").tobytes()
 
 
-def _sketches(texts: DataFrame) -> DataFrame:
-    """(g, x) of (row, t): the sketch of a text's shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(shingle_set(t)) for t in batch.column(1).to_pylist()], pa.binary())], names=["g", "x"])
-
-    return texts.select("row", "t").mapInArrow(run, "g long, x binary")
+def near_sketches(x: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the rows i and j, pair by pair, may be similar by their sketches x and sizes n: similar sets differ in a ninth of both sizes at most, and sketches in no more."""
+    width = np.array([len(y) for y in x], np.int64)
+    i, j = np.where(width[i] <= width[j], i, j), np.where(width[i] <= width[j], j, i)
+    near = np.zeros(len(i), bool)
+    place = np.empty(len(x), np.int64)  # a row's place among those of its width
+    packed = {}
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        place[at] = np.arange(len(at))
+        packed[w] = np.frombuffer(b"".join(x[k] for k in at.tolist()), np.uint64).reshape(-1, w // 8)
+    for w in packed:
+        for v in (w, 2 * w):  # similar sets have sketches of equal or neighbouring lengths
+            at = np.flatnonzero((width[i] == w) & (width[j] == v))
+            for start in range(0, len(at), max(1, SENT // v)):
+                k = at[start : start + max(1, SENT // v)]
+                y = packed[v][place[j[k]]]
+                y = y if v == w else y[:, : w // 8] ^ y[:, w // 8 :]
+                differ = np.bitwise_count(packed[w][place[i[k]]] ^ y).sum(axis=1, dtype=np.int64)
+                near[k] = (10 + TENTHS) * differ <= (10 - TENTHS) * (n[i[k]] + n[j[k]])
+    return near
 
 
 def _enough(shared: Column) -> Column:
@@ -273,11 +360,6 @@ def _enough(shared: Column) -> Column:
     return (10 + TENTHS) * shared >= TENTHS * (F.col("na") + F.col("nb"))
 
 
-def _after() -> Column:
-    """How many shingles sets of na and nb can share besides those that both heads hold: once the shorter head ends, only what comes after it."""
-    return F.greatest(*(F.ceil(F.col(n) * TENTHS / 10) - 1 for n in ("na", "nb")))
-
-
 def _with_ends(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     """Pairs with both ends' arrays (g, x) as xa, xb. Ends are met one at a time; one with many pairs is no key of a shuffle."""
     count = pairs.count()
@@ -292,32 +374,65 @@ def _ends(pairs: DataFrame, name: str) -> DataFrame:
 def _similar(pairs: DataFrame, one: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b) of those pairs (a, b, na, nb; rows of ``texts``) whose sets are similar enough.
 
-    Heads (of ``one``), a fifth as long, are compared first: what they share bounds
-    what whole sets can share, so that no similar pair is lost there.
+    Sketches (of ``one``) are compared first, which lose no similar pair, then whole sets of what is left.
     """
-    shared = F.size(F.array_intersect("xa", "xb"))
-    with passing(pairs) as pairs:
-        heads = one.join(_ends(pairs, "g"), "g", "left_semi").select("g", F.col("head").alias("x"))
-        with passing(heads) as heads:
-            close = cut(_with_ends(pairs, heads).where(_enough(shared + _after())).select("a", "b", "na", "nb"))
-    release(texts.sparkSession)
-    with passing(_whole_sets(texts.join(_ends(close, "row"), "row", "left_semi"))) as whole:
-        return cut(_with_ends(close, whole).where(_enough(shared)).select("a", "b"))
 
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for batch in batches:
+            na, nb, at = batch.column(2).to_numpy(), batch.column(3).to_numpy(), np.arange(batch.num_rows)
+            near = near_sketches(batch.column(4).to_pylist() + batch.column(5).to_pylist(), np.concatenate([na, nb]), at, at + batch.num_rows)
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(near))
+
+    with passing(pairs) as pairs, passing(one.join(_ends(pairs, "g"), "g", "left_semi").select("g", "x")) as sketches:
+        met = _with_ends(pairs, sketches).select("a", "b", "na", "nb", "xa", "xb")
+        near = cut(met.mapInArrow(close, "a long, b long, na long, nb long"))
+    release(texts.sparkSession)
+    with passing(_whole_sets(texts.join(_ends(near, "row"), "row", "left_semi"))) as whole:
+        return cut(_with_ends(near, whole).where(_enough(F.size(F.array_intersect("xa", "xb")))).select("a", "b"))
 
-def _few_pairs(held: DataFrame, many: DataFrame) -> DataFrame:
-    """(a, b, na, nb) that may be similar, from shingles that FEW texts at most hold: (h, g, n, part), one part never with itself.
 
-    many: (g, m), how many shingles that more texts hold a head has; they are not
-    counted one by one, so all of them are taken as shared.
+def group_pairs(h: np.ndarray, g: np.ndarray, n: np.ndarray, part: np.ndarray, x: list[bytes]) -> np.ndarray:
+    """Rows a, b, na, nb: pairs of texts with one h that are of different components (part) and may be similar by their sizes and sketches (x), each once."""
+    order = np.lexsort((g, h))
+    h, g, n, part, x = h[order], g[order], n[order], part[order], [x[k] for k in order.tolist()]
+    _, text = np.unique(g, return_inverse=True)
+    made = [np.empty((4, 0), np.int64)]
+    for far in range(1, len(h)):
+        i = np.flatnonzero(h[:-far] == h[far:])
+        if not len(i):
+            break
+        i = i[(part[i] != part[i + far]) & (10 * np.minimum(n[i], n[i + far]) >= TENTHS * np.maximum(n[i], n[i + far]))]
+        i = i[np.unique(text[i] * len(g) + text[i + far], return_index=True)[1]]  # texts that share a passage meet in all its shingles
+        i = i[near_sketches(x, n, i, i + far)]
+        made.append(np.stack([g[i], g[i + far], n[i], n[i + far]]))
+    return np.unique(np.concatenate(made, axis=1), axis=1)
+
+
+def _few_pairs(held: DataFrame, one: DataFrame) -> DataFrame:
+    """(a, b, na, nb) that may be similar, from shingles that FEW texts at most hold: (h, g, n, part).
+
+    Of shingles that the same texts hold, one is enough. Sketches come to a
+    shingle's texts, which are compared in its task: what can't be similar makes
+    no row, however many pairs share a passage.
     """
-    a, b = (held.select(F.col("g").alias(x), F.col("n").alias(f"n{x}"), F.col("part").alias(f"p{x}"), "h") for x in "ab")
-    close = 10 * F.least("na", "nb") >= TENTHS * F.greatest("na", "nb")
-    met = a.join(b, "h").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & close).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    ma, mb = (many.select(F.col("g").alias(x), F.col("m").alias(f"m{x}")) for x in "ab")
-    both = met.join(ma, "a", "left").join(mb, "b", "left")
-    most = F.col("c") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
-    return both.where(_enough(most + _after())).select("a", "b", "na", "nb")
+    same = held.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("g", "n", "part"))).alias("m")).groupBy("m").agg(F.min("h").alias("h"))
+    groups = cut(same.select("h", F.explode("m").alias("m")).select("h", "m.*"))
+    count = groups.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        columns, x = [[np.empty(0, np.int64)] for _ in range(4)], []
+        for batch in batches:
+            for k in range(4):
+                columns[k].append(batch.column(k).to_numpy())
+            x += batch.column(4).to_pylist()
+        made = group_pairs(*map(np.concatenate, columns), x)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=["a", "b", "na", "nb"])
+
+    with passing(one.join(cut(groups.select("g").distinct()), "g", "left_semi").select("g", "x")) as sketches:
+        met = lookup(groups, sketches, "g", count).select("h", "g", "n", "part", "x")
+        return cut(met.repartition(count // GROUPED + 1, "h").mapInArrow(run, "a long, b long, na long, nb long").distinct())
 
 
 def _shared(sets: list[np.ndarray], split: int) -> np.ndarray:
@@ -427,7 +542,7 @@ def _cells(members: DataFrame, values: DataFrame, make: Callable[[pd.DataFrame,
         return cut(cells.groupBy("crowd", "i", "j").applyInPandas(compare, schema))
 
 
-def _crowds(crowded: DataFrame, texts: DataFrame) -> DataFrame:
+def _crowds(crowded: DataFrame, one: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): links that keep together what is similar among texts that share a shingle which more than FEW hold: (h, g, n, part).
 
     Those that hold one shingle are a crowd. Sketches, an eighth to a quarter of a byte for a
@@ -444,9 +559,9 @@ def _crowds(crowded: DataFrame, texts: DataFrame) -> DataFrame:
         return pd.DataFrame({"a": a, "b": b}).astype("int64")
 
     members = crowded.select(F.col("h").alias("crowd"), "g", "n", "part")
-    with passing(_sketches(texts.join(members.select(F.col("g").alias("row")), "row", "left_semi"))) as sketches:
+    with passing(one.join(cut(members.select("g").distinct()), "g", "left_semi").select("g", "x")) as sketches:
         near = cut(_cells(members, sketches, candidates, "crowd long, g long, n long, part long").distinct())
-    with passing(_whole_sets(texts.join(near.select(F.col("g").alias("row")), "row", "left_semi"))) as whole:
+    with passing(_whole_sets(texts.join(cut(near.select(F.col("g").alias("row")).distinct()), "row", "left_semi"))) as whole:
         return _cells(near, whole, links, "a long, b long")
 
 
@@ -456,17 +571,16 @@ def _near(texts: DataFrame) -> DataFrame:
         rows = table(sets.select("row", "id", "key"))
         total = rows.count()
         groups = cut(rows.groupBy("key").agg(F.min("id").alias("low"), F.min("row").alias("g")))
-        one = table(sets.join(groups.select("g"), F.col("row") == F.col("g")).select("g", "n", "fp", "head"))
+        one = table(sets.join(groups.select("g"), F.col("row") == F.col("g")).select("g", "n", "fp", "x", "head"))
     release(texts.sparkSession)
-    heads = one.select("g", "n", F.explode("head").alias("h"))
     close = 10 * F.least("na", "nb") >= TENTHS * F.greatest("na", "nb")
 
     # First what fingerprints bring together, and each text against the lowest of those that hold a shingle of its head: a pair for each, not for each two.
     by_bits = cut(fingerprint_candidates(one, total))
-    met = cut(heads.groupBy("h").agg(F.min(F.struct("g", "n")).alias("c"), F.count("*").alias("k")).where("k > 1").select("h", F.col("c.g").alias("a"), F.col("c.n").alias("na")))
-    release(texts.sparkSession)
-    with passing(heads.join(met.select("h"), "h", "left_semi")) as shared:
+    held = one.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (10 - TENTHS) // 10
+    with passing(shared_heads(one, held)) as shared:
         release(texts.sparkSession)
+        met = cut(shared.groupBy("h").agg(F.min(F.struct("g", "n")).alias("c")).select("h", F.col("c.g").alias("a"), F.col("c.n").alias("na")))
         stars = lookup(shared, met, "h", shared.count()).where(F.col("g") > F.col("a")).select("a", F.col("g").alias("b"), "na", F.col("n").alias("nb")).where(close).distinct()
         links = _similar(by_bits.union(stars).distinct(), one, texts)
         release(texts.sparkSession)
@@ -475,12 +589,11 @@ def _near(texts: DataFrame) -> DataFrame:
         # Then what shares a shingle but no component yet.
         parted = table(shared.join(found.withColumnRenamed("node", "g"), "g", "left").select("h", "g", "n", F.coalesce("component", "g").alias("part")))
     open_ = cut(parted.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("k")).where("p <> q").select("h", "k"))
-    few = cut(parted.join(open_.where(F.col("k") <= FEW), "h", "left_semi"))
-    crowded = cut(parted.join(open_.where(F.col("k") > FEW), "h", "left_semi"))
-    many = crowded.groupBy("g").agg(F.count("*").alias("m"))
-    links = links.union(_similar(_few_pairs(few, many), one, texts))
+    opened = cut(parted.join(open_, "h"))
+    few, crowded = (opened.where(c).select("h", "g", "n", "part") for c in (F.col("k") <= FEW, F.col("k") > FEW))
+    links = links.union(_similar(_few_pairs(few, one), one, texts))
     release(texts.sparkSession)
-    links = links.union(_crowds(crowded, texts))
+    links = links.union(_crowds(crowded, one, texts))
     release(texts.sparkSession)
     classes = _classes(groups.select("key", "low", "g"), connected_components(links), "g", parts_for(total))
     named = cut(groups.join(classes, "g").select("key", "component"))
@@ -490,7 +603,7 @@ def _near(texts: DataFrame) -> DataFrame:
 def _numbered(docs: DataFrame, text_col: str, id_: Column) -> DataFrame:
     """(row, id, t), written: a row's number is settled once, however often it is read."""
     bound_batches(docs.sparkSession)
-    return table(docs.select(F.monotonically_increasing_id().alias("row"), id_.alias("id"), utf8(text_col).alias("t")))
+    return dealt(docs.select(F.monotonically_increasing_id().alias("row"), id_.alias("id"), utf8(text_col).alias("t")), "row", F.col("t"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -518,7 +631,7 @@ def one_of_each(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     bound_batches(docs.sparkSession)
     row = unused(docs, "row")
-    whole = table(docs.withColumn(row, F.monotonically_increasing_id()))
+    whole = dealt(docs.withColumn(row, F.monotonically_increasing_id()), row, F.col(text_col))
     found = _near(whole.select(F.col(row).alias("row"), F.col(row).alias("id"), utf8(text_col).alias("t")))
     gone = cut(found.where("id <> component").select(F.col("row").alias(row)))
     return whole.join(gone, row, "left_anti").select(*docs.columns)

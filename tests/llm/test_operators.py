@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from bytewren.llm import bpe, class_lm, common, mixing, ogg, pivots, queries, secret_scan, simhash, suffixes, token_counts, toxicity
 
@@ -226,6 +227,58 @@ def test_sketches_keep_all_similar_sets(split):
     assert not len(simhash.crowd_candidates(frame.assign(part=1), split))
 
 
+def test_texts_that_share_a_passage_make_no_pair_for_each_two(spark):
+    """Only what may be similar is a row, and every similar pair is one."""
+    rng = np.random.default_rng(9)
+    passage = rng.integers(-(1 << 63), 1 << 63, 40)
+    draw = lambda k: rng.integers(-(1 << 63), 1 << 63, k)
+    sets = [np.unique(np.concatenate([passage, draw(160)])) for _ in range(48)]
+    sets += [np.unique(np.append(sets[0][:-k], draw(k))) for k in (3, 15, 20)]
+    held = [(int(h), i, len(x), i) for i, x in enumerate(sets) for h in passage]
+    one = spark.createDataFrame([(i, bytearray(simhash.sketch(x))) for i, x in enumerate(sets)], "g long, x binary").checkpoint()
+    found = {(r.a, r.b) for r in simhash._few_pairs(spark.createDataFrame(held, "h long, g long, n long, part long").checkpoint(), one).collect()}
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if 9 * 2 * len(np.intersect1d(sets[i], sets[j])) >= 8 * (len(sets[i]) + len(sets[j]))}
+    assert len(alike) > 2 and alike <= found and len(found) < 10
+    same = [(h, g, n, 7) for h, g, n, _ in held]
+    assert simhash._few_pairs(spark.createDataFrame(same, "h long, g long, n long, part long").checkpoint(), one).count() == 0
+
+
+@pytest.mark.parametrize("held, often, keyed", [(1 << 21, 1000, 1 << 18), (500, 3, 64)])
+def test_shared_heads(spark, monkeypatch, held, often, keyed):
+    monkeypatch.setattr(simhash, "HELD", held)
+    monkeypatch.setattr(simhash, "OFTEN", often)
+    monkeypatch.setattr(simhash, "KEYED", keyed)
+    rng = random.Random(6)
+    common_, heads = [rng.getrandbits(64) - (1 << 63) for _ in range(40)], {}
+    for g in range(300):
+        heads[g] = sorted({rng.choice(common_[: rng.choice((3, 40))]) for _ in range(3)} | {rng.getrandbits(64) - (1 << 63) for _ in range(5)}) if g % 7 else []
+    one = spark.createDataFrame([(g, 10 * g, h) for g, h in heads.items()], "g long, n long, head array<long>").repartition(3)
+    found, want = {}, {}
+    for r in simhash.shared_heads(one, sum(map(len, heads.values()))).collect():
+        assert r.n == 10 * r.g
+        found.setdefault(r.h, []).append(r.g)
+    for g, head in heads.items():
+        for h in head:
+            want.setdefault(h, []).append(g)
+    assert sorted(map(sorted, found.values())) == sorted(x for x in want.values() if len(x) > 1)
+    assert simhash.shared_heads(one.limit(0), 0).count() == 0
+
+
+def test_dealt_tables_stay_where_they_are(spark, monkeypatch):
+    """Joined by its key a dealt table is not shuffled."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = common.dealt(spark.range(1000).selectExpr("id AS `a row`", "cast(id AS string) AS `t, x`"), "a row", F.col("`t, x`"))
+        some = spark.range(0, 1000, 3).withColumnRenamed("id", "a row").checkpoint()
+        for how, n in (("left_semi", 334), ("left_anti", 666)):
+            joined = rows.join(some, "a row", how)
+            assert joined.count() == n
+            assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_workers_give_back_the_encoder():
     bpe.codec(RANKS, public_tokenizers.PATTERN)
     assert common.KEPT
