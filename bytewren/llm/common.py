@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -70,14 +71,13 @@ def _table(df: DataFrame) -> tuple[DataFrame, str]:
 PART, PARTS = 48 << 20, 50_000
 
 
-def dealt(df: DataFrame, key: str, text: Column) -> DataFrame:
+def dealt(df: DataFrame, key: str, total: int) -> DataFrame:
     """As ``table``, dealt into parts by ``key`` as a bucketed table: a join by that key moves only its other side.
 
-    text: what rows are large by; a first pass over ``df`` sums its bytes. The table's name goes with its folder when Python exits.
+    total: bytes of text that ``df`` comes from. The table's name goes with its folder when Python exits.
     """
     spark = df.sparkSession
-    total = df.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
-    parts = min(PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART)))
+    parts = parts_of(spark, total)
     name = f"bytewren_{uuid.uuid4().hex}"
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
     df.repartition(parts, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, key).saveAsTable(name)
@@ -87,6 +87,16 @@ def dealt(df: DataFrame, key: str, text: Column) -> DataFrame:
     return spark.table(name)
 
 
+def parts_of(spark: SparkSession, total: int) -> int:
+    """Parts of a table dealt by a key, for so many bytes of text."""
+    return min(PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART)))
+
+
+def text_bytes(df: DataFrame, text_col: str) -> int:
+    """UTF-8 bytes of a text column."""
+    return df.agg(F.coalesce(F.sum(F.octet_length(utf8(text_col)).cast("long")), F.lit(0))).first()[0]
+
+
 def _unname(spark: SparkSession, name: str) -> None:
     with contextlib.suppress(Exception):
         spark.sql(f"DROP TABLE IF EXISTS `{name}`")
@@ -126,6 +136,9 @@ def forget() -> None:
     if KEPT:
         KEPT.clear()
         gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(Exception):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def unused(df: DataFrame, name: str) -> str:

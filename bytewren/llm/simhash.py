@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytewren.llm.common import bound_batches, connected_components, cut, dealt, forest, forget, lookup, parts_for, passing, release, table, unused, utf8
+from bytewren.llm.common import bound_batches, connected_components, cut, dealt, forest, forget, lookup, parts_for, passing, release, table, text_bytes, unused, utf8
 from bytewren.llm.suffixes import HASH_BITS, _concat, _eight, _five, _pack, _runs
 
 SEED, SHINGLE, CHUNK = 42, 3, 1 << 15
@@ -47,7 +47,7 @@ RADIUS, SEGMENT, KEYED = 7, 16, 1 << 18
 #: Rows of a task that compares texts which share a shingle, and bytes of sketches that it looks at together.
 GROUPED, SENT = 1 << 16, 1 << 24
 #: Shingles of heads that a task sends at once; those of which so many texts hold more lie in any task.
-HELD, OFTEN = 1 << 21, 1000
+HELD, OFTEN = 1 << 19, 1000
 #: Least and most bits of a sketch; more would not change the result.
 SKETCH = (64, 1 << 16)
 
@@ -243,11 +243,11 @@ def fingerprint_candidates(one: DataFrame, total: int) -> DataFrame:
 
 
 def shared_heads(one: DataFrame, total: int) -> DataFrame:
-    """(h, g, n) of (g, n, head): for each shingle that two heads hold or more, a row for each of them; total: about how many shingles heads hold.
+    """(h, g, n, a, na) of (g, n, head): for each shingle that two heads hold or more, a row for each of them, with the lowest of them; total: about how many shingles heads hold.
 
     h is a shingle's leading bits, HASH_BITS besides those of its bucket; equal bits only make candidates. Buckets get shingles packed, without
     the texts' other columns. A shingle that more than OFTEN of a task's texts hold is shared for certain: its bucket gets
-    to know it, its texts go to any bucket.
+    to know it, its texts go to any bucket, and a and na are null.
     """
     bits = (total // KEYED).bit_length()
     inside = np.uint64((1 << HASH_BITS) - 1)
@@ -303,12 +303,18 @@ def shared_heads(one: DataFrame, total: int) -> DataFrame:
         g, n, key = g[order], n[order], key[order]
         starts = _runs(key)
         count = np.diff(np.append(starts, len(key)))
-        found = np.repeat(count > 1, count) | np.isin(key, many)
+        often = np.isin(key, many)
+        found = np.repeat(count > 1, count) | often
         h = (key | (np.uint64(frame["bucket"].iloc[0]) << np.uint64(HASH_BITS))).view(np.int64)
-        return pd.DataFrame({c: np.concatenate([x[found], *(p[k] for p in parts)]) for c, x, k in (("h", h, 5), ("g", g, 6), ("n", n, 7))})
+        first = np.repeat(starts, count)
+        made = {c: np.concatenate([x[found], *(p[k] for p in parts)]) for c, x, k in (("h", h, 5), ("g", g, 6), ("n", n, 7))}
+        open_ = np.concatenate([often[found], np.ones(len(made["h"]) - int(found.sum()), bool)])
+        for c, x in (("a", g), ("na", n)):
+            made[c] = pd.arrays.IntegerArray(np.concatenate([x[first][found], np.zeros(len(open_) - int(found.sum()), np.int64)]), open_)
+        return pd.DataFrame(made)
 
     sent = one.select("g", "n", "head").mapInArrow(send, "bucket int, blob binary")
-    return sent.repartition(1 << bits, "bucket").groupBy("bucket").applyInPandas(match, "h long, g long, n long")
+    return sent.repartition(1 << bits, "bucket").groupBy("bucket").applyInPandas(match, "h long, g long, n long, a long, na long")
 
 
 def _whole_sets(texts: DataFrame) -> DataFrame:
@@ -332,17 +338,23 @@ def sketch(x: np.ndarray) -> bytes:
     return np.packbits(np.bincount(x & (bits - 1), minlength=bits) & 1, bitorder="little").tobytes()
 
 
-def near_sketches(x: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether the rows i and j, pair by pair, may be similar by their sketches x and sizes n: similar sets differ in a ninth of both sizes at most, and sketches in no more."""
+def packed_sketches(x: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """Each sketch's width in bytes and its place among those of its width, and the sketches by width."""
     width = np.array([len(y) for y in x], np.int64)
-    i, j = np.where(width[i] <= width[j], i, j), np.where(width[i] <= width[j], j, i)
-    near = np.zeros(len(i), bool)
-    place = np.empty(len(x), np.int64)  # a row's place among those of its width
+    place = np.empty(len(x), np.int64)
     packed = {}
     for w in np.unique(width).tolist():
         at = np.flatnonzero(width == w)
         place[at] = np.arange(len(at))
         packed[w] = np.frombuffer(b"".join(x[k] for k in at.tolist()), np.uint64).reshape(-1, w // 8)
+    return width, place, packed
+
+
+def near_sketches(sketches: tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the rows i and j, pair by pair, may be similar by their packed sketches and sizes n: similar sets differ in a ninth of both sizes at most, and sketches in no more."""
+    width, place, packed = sketches
+    i, j = np.where(width[i] <= width[j], i, j), np.where(width[i] <= width[j], j, i)
+    near = np.zeros(len(i), bool)
     for w in packed:
         for v in (w, 2 * w):  # similar sets have sketches of equal or neighbouring lengths
             at = np.flatnonzero((width[i] == w) & (width[j] == v))
@@ -381,7 +393,7 @@ def _similar(pairs: DataFrame, one: DataFrame, texts: DataFrame) -> DataFrame:
         forget()
         for batch in batches:
             na, nb, at = batch.column(2).to_numpy(), batch.column(3).to_numpy(), np.arange(batch.num_rows)
-            near = near_sketches(batch.column(4).to_pylist() + batch.column(5).to_pylist(), np.concatenate([na, nb]), at, at + batch.num_rows)
+            near = near_sketches(packed_sketches(batch.column(4).to_pylist() + batch.column(5).to_pylist()), np.concatenate([na, nb]), at, at + batch.num_rows)
             yield batch.select([0, 1, 2, 3]).filter(pa.array(near))
 
     with passing(pairs) as pairs, passing(one.join(_ends(pairs, "g"), "g", "left_semi").select("g", "x")) as sketches:
@@ -392,47 +404,55 @@ def _similar(pairs: DataFrame, one: DataFrame, texts: DataFrame) -> DataFrame:
         return cut(_with_ends(near, whole).where(_enough(F.size(F.array_intersect("xa", "xb")))).select("a", "b"))
 
 
-def group_pairs(h: np.ndarray, g: np.ndarray, n: np.ndarray, part: np.ndarray, x: list[bytes]) -> np.ndarray:
-    """Rows a, b, na, nb: pairs of texts with one h that are of different components (part) and may be similar by their sizes and sketches (x), each once."""
-    order = np.lexsort((g, h))
-    h, g, n, part, x = h[order], g[order], n[order], part[order], [x[k] for k in order.tolist()]
-    _, text = np.unique(g, return_inverse=True)
+def group_pairs(h: np.ndarray, text: np.ndarray, g: np.ndarray, n: np.ndarray, part: np.ndarray, x: list[bytes]) -> np.ndarray:
+    """Rows a, b, na, nb: pairs of texts with one h that are of different components (part) and may be similar by their sizes and sketches (x), each once.
+
+    h and text: a shingle and a text that holds it, by its place in g, n, part and x.
+    """
+    order = np.lexsort((g[text], h))
+    h, text, sketches = h[order], text[order], packed_sketches(x)
     made = [np.empty((4, 0), np.int64)]
     for far in range(1, len(h)):
-        i = np.flatnonzero(h[:-far] == h[far:])
-        if not len(i):
+        at = np.flatnonzero(h[:-far] == h[far:])
+        if not len(at):
             break
-        i = i[(part[i] != part[i + far]) & (10 * np.minimum(n[i], n[i + far]) >= TENTHS * np.maximum(n[i], n[i + far]))]
-        i = i[np.unique(text[i] * len(g) + text[i + far], return_index=True)[1]]  # texts that share a passage meet in all its shingles
-        i = i[near_sketches(x, n, i, i + far)]
-        made.append(np.stack([g[i], g[i + far], n[i], n[i + far]]))
+        i, j = np.divmod(np.unique(text[at] * len(g) + text[at + far]), len(g))  # texts that share a passage meet in all its shingles
+        keep = (part[i] != part[j]) & (10 * np.minimum(n[i], n[j]) >= TENTHS * np.maximum(n[i], n[j]))
+        i, j = i[keep], j[keep]
+        near = near_sketches(sketches, n, i, j)
+        made.append(np.stack([g[i], g[j], n[i], n[j]])[:, near])
     return np.unique(np.concatenate(made, axis=1), axis=1)
 
 
 def _few_pairs(held: DataFrame, one: DataFrame) -> DataFrame:
     """(a, b, na, nb) that may be similar, from shingles that FEW texts at most hold: (h, g, n, part).
 
-    Of shingles that the same texts hold, one is enough. Sketches come to a
-    shingle's texts, which are compared in its task: what can't be similar makes
-    no row, however many pairs share a passage.
+    Of shingles that the same texts hold, one is enough. All shingles whose first text is the
+    same are looked at in one task, which a text's sketch comes to once. What
+    can't be similar makes no row, however many texts share a passage.
     """
     same = held.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("g", "n", "part"))).alias("m")).groupBy("m").agg(F.min("h").alias("h"))
-    groups = cut(same.select("h", F.explode("m").alias("m")).select("h", "m.*"))
+    met = same.select("h", F.col("m")[0]["g"].alias("low"), F.explode("m").alias("m")).select("h", "low", "m.*")
+    groups = cut(met.groupBy("low", "g", "n", "part").agg(F.collect_list("h").alias("hs")))
     count = groups.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        columns, x = [[np.empty(0, np.int64)] for _ in range(4)], []
+        g, n, part, h, text = ([np.empty(0, np.int64)] for _ in range(5))
+        x: list[bytes] = []
         for batch in batches:
-            for k in range(4):
-                columns[k].append(batch.column(k).to_numpy())
-            x += batch.column(4).to_pylist()
-        made = group_pairs(*map(np.concatenate, columns), x)
+            for made, k in ((g, 1), (n, 2), (part, 3)):
+                made.append(batch.column(k).to_numpy())
+            sizes = np.diff(batch.column(4).offsets.to_numpy())
+            h.append(batch.column(4).flatten().to_numpy())
+            text.append(np.repeat(np.arange(len(x), len(x) + batch.num_rows), sizes))
+            x += batch.column(5).to_pylist()
+        made = group_pairs(*(np.concatenate(c) for c in (h, text, g, n, part)), x)
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=["a", "b", "na", "nb"])
 
     with passing(one.join(cut(groups.select("g").distinct()), "g", "left_semi").select("g", "x")) as sketches:
-        met = lookup(groups, sketches, "g", count).select("h", "g", "n", "part", "x")
-        return cut(met.repartition(count // GROUPED + 1, "h").mapInArrow(run, "a long, b long, na long, nb long").distinct())
+        rows = lookup(groups, sketches, "g", count).select("low", "g", "n", "part", "hs", "x")
+        return cut(rows.repartition(count // GROUPED + 1, "low").mapInArrow(run, "a long, b long, na long, nb long").distinct())
 
 
 def _shared(sets: list[np.ndarray], split: int) -> np.ndarray:
@@ -580,14 +600,16 @@ def _near(texts: DataFrame) -> DataFrame:
     held = one.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (10 - TENTHS) // 10
     with passing(shared_heads(one, held)) as shared:
         release(texts.sparkSession)
-        met = cut(shared.groupBy("h").agg(F.min(F.struct("g", "n")).alias("c")).select("h", F.col("c.g").alias("a"), F.col("c.n").alias("na")))
-        stars = lookup(shared, met, "h", shared.count()).where(F.col("g") > F.col("a")).select("a", F.col("g").alias("b"), "na", F.col("n").alias("nb")).where(close).distinct()
+        often = cut(shared.where("a is null").select("h", "g", "n"))
+        met = cut(often.groupBy("h").agg(F.min(F.struct("g", "n")).alias("c")).select("h", F.col("c.g").alias("a"), F.col("c.n").alias("na")))
+        stars = shared.where("a is not null").unionByName(lookup(often, met, "h", often.count()))
+        stars = stars.where("g > a").select("a", F.col("g").alias("b"), "na", F.col("n").alias("nb")).where(close).distinct()
         links = _similar(by_bits.union(stars).distinct(), one, texts)
         release(texts.sparkSession)
         found = cut(connected_components(links))
 
         # Then what shares a shingle but no component yet.
-        parted = table(shared.join(found.withColumnRenamed("node", "g"), "g", "left").select("h", "g", "n", F.coalesce("component", "g").alias("part")))
+        parted = table(shared.select("h", "g", "n").join(found.withColumnRenamed("node", "g"), "g", "left").select("h", "g", "n", F.coalesce("component", "g").alias("part")))
     open_ = cut(parted.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("k")).where("p <> q").select("h", "k"))
     opened = cut(parted.join(open_, "h"))
     few, crowded = (opened.where(c).select("h", "g", "n", "part") for c in (F.col("k") <= FEW, F.col("k") > FEW))
@@ -603,7 +625,7 @@ def _near(texts: DataFrame) -> DataFrame:
 def _numbered(docs: DataFrame, text_col: str, id_: Column) -> DataFrame:
     """(row, id, t), written: a row's number is settled once, however often it is read."""
     bound_batches(docs.sparkSession)
-    return dealt(docs.select(F.monotonically_increasing_id().alias("row"), id_.alias("id"), utf8(text_col).alias("t")), "row", F.col("t"))
+    return dealt(docs.select(F.monotonically_increasing_id().alias("row"), id_.alias("id"), utf8(text_col).alias("t")), "row", text_bytes(docs, text_col))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -631,7 +653,7 @@ def one_of_each(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     bound_batches(docs.sparkSession)
     row = unused(docs, "row")
-    whole = dealt(docs.withColumn(row, F.monotonically_increasing_id()), row, F.col(text_col))
+    whole = dealt(docs.withColumn(row, F.monotonically_increasing_id()), row, text_bytes(docs, text_col))
     found = _near(whole.select(F.col(row).alias("row"), F.col(row).alias("id"), utf8(text_col).alias("t")))
     gone = cut(found.where("id <> component").select(F.col("row").alias(row)))
     return whole.join(gone, row, "left_anti").select(*docs.columns)

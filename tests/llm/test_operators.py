@@ -12,7 +12,6 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
-from pyspark.sql import functions as F
 
 from bytewren.llm import bpe, class_lm, common, mixing, ogg, pivots, queries, secret_scan, simhash, suffixes, token_counts, toxicity
 
@@ -269,7 +268,7 @@ def test_dealt_tables_stay_where_they_are(spark, monkeypatch):
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        rows = common.dealt(spark.range(1000).selectExpr("id AS `a row`", "cast(id AS string) AS `t, x`"), "a row", F.col("`t, x`"))
+        rows = common.dealt(spark.range(1000).selectExpr("id AS `a row`", "cast(id AS string) AS `t, x`"), "a row", 3000)
         some = spark.range(0, 1000, 3).withColumnRenamed("id", "a row").checkpoint()
         for how, n in (("left_semi", 334), ("left_anti", 666)):
             joined = rows.join(some, "a row", how)
