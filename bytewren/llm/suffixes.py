@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytewren.llm.common import bound_batches, cut, least_hashes, lookup, utf8
+from bytewren.llm.common import bound_batches, cut, dealt, least_hashes, lookup, parts_of, utf8
 
 MINIMUM, K = 50, 24
 SPAN = MINIMUM - K  # K-grams besides the first in a window; context bytes on either side of an anchor
@@ -412,13 +412,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc"), utf8(text_col).alias("t"))
     # Rows are numbered here and nowhere else; all that follows reads what is written.
-    # They stay dealt by group: later joins move only their other side.
+    # They stay dealt by group, as a bucketed table: later joins move only their other side.
     total, count = docs.agg(F.coalesce(F.sum(F.octet_length(utf8(text_col)).cast("long")), F.lit(0)), F.count("*")).first()
     buckets = max(spark.sparkContext.defaultParallelism, -(-total // BUCKET))
     bits = (buckets - 1).bit_length()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * BUCKET)))
+    parts = parts_of(spark, total)
     grouped = source.mapInArrow(shrink, "g long, rids array<long>, docs array<long>, sizes array<long>, shas array<binary>, z binary")
-    numbered = cut(grouped.repartition(parts, "g"))
+    numbered = dealt(grouped, "g", total)
     rows = numbered.select(F.explode(F.arrays_zip(F.col("rids").alias("rid"), F.col("docs").alias("doc"), F.col("sizes").alias("size"), F.col("shas").alias("sha"))).alias("x")).select("x.*")
     lowest = cut(rows.where("doc is not null").groupBy("sha").agg(F.min("doc").alias("lowest")))
     flagged = lookup(rows, lowest, "sha", count, "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("lowest"), F.lit(False)))

@@ -319,6 +319,19 @@ def test_suffix_dedup_on_shared_passages(spark):
     assert found == {k: [x[:4] for x in v] for k, v in plain_removal(rows).items()}
 
 
+def test_suffix_dedup_shuffles_no_texts_again(spark, docs):
+    """Texts are dealt by group once; no join moves them afterwards."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        plan = suffixes.remove_repeats(docs)._jdf.queryExecution().explainString(formatted)
+        moved = [x for x in plan.split("\n\n") if ") Exchange" in x.strip().split("\n")[0]]
+        assert moved and not [x for x in moved if " z#" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_anchors_in_pieces(monkeypatch):
     rng = random.Random(4)
     texts = [bytes(rng.choice(b"abcd ") for _ in range(n)) for n in (0, 49, 50, 51, 700, 3, 2000, 60)]
