@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bytewren.operators import context as cx
@@ -48,9 +48,12 @@ _TOKENS = """w AS (SELECT role, list_filter(string_split(text, ' '), lambda x: x
     c AS (SELECT role, k, ctx, token, count(*) AS n FROM g GROUP BY ALL)"""
 
 
+def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "conversations").select("role", F.filter(F.split("text", " "), lambda x: x != "").alias("w"))
+
+
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talk = read(spark, sf_dir, "conversations").select("role", F.filter(F.split("text", " "), lambda x: x != "").alias("w"))
-    return cx.token_grams(talk, "w", "role")
+    return cx.token_grams(_talk(spark, sf_dir), "w", "role")
 
 
 @query(f"WITH {_TOKENS} SELECT * FROM c")
@@ -72,11 +75,15 @@ def ngram_bias_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TOKENS}, t AS (SELECT role, k, ctx, sum(n) AS total FROM c GROUP BY ALL), v AS (SELECT role, count(DISTINCT token) AS v FROM c GROUP BY role) SELECT role, k, ctx, token, round(ln((n + {cx.ALPHA}) / (total + {cx.ALPHA} * v)), 6) AS logit, round(ln({cx.ALPHA} / (total + {cx.ALPHA} * v)), 6) AS unseen FROM c JOIN t USING (role, k, ctx) JOIN v USING (role)")
 def ngram_standalone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logits of the tokens seen after each context of every order, and of any other token."""
-    counts = _tokens(spark, sf_dir)
-    words = counts.groupBy("role").agg(F.countDistinct("token").alias("v"))
-    totals = counts.groupBy("role", "k", "ctx").agg(F.sum("n").alias("total"))
-    joined = counts.join(totals, ["role", "k", "ctx"]).join(F.broadcast(words), "role")  # a row for each of the few roles
+    """Logits of the tokens seen after each context of every order, and of any other token.
+
+    Totals come from a window over the counts, not from a join: the tables' size tells nothing of that of the counts, which Spark took for small enough to send.
+    """
+    talk = _talk(spark, sf_dir).where("role is not null")
+    after = talk.select("role", F.explode(F.slice("w", 2, F.greatest(F.size("w"), F.lit(0)))).alias("token")).distinct()
+    words = after.groupBy("role").agg(F.count("*").alias("v"))
+    totals = cx.token_grams(talk, "w", "role").withColumn("total", F.sum("n").over(Window.partitionBy("role", "k", "ctx")))
+    joined = totals.join(F.broadcast(words), "role")  # a row for each of the few roles
     logit = lambda n: F.round(cx.standalone_logit(n, F.col("total"), F.col("v")), 6)
     return joined.select("role", "k", "ctx", "token", logit(F.col("n")).alias("logit"), logit(F.lit(0)).alias("unseen"))
 
@@ -87,10 +94,10 @@ _ASKED = " UNION ALL ".join(f"SELECT id, role, i, {k} AS k, concat_ws(' ', {', '
 @query(f"WITH {_TOKENS}, s AS (SELECT role, k, ctx, max(n) / sum(n) AS confidence FROM c GROUP BY ALL HAVING sum(n) >= 2), u AS (SELECT conv_id * 1000 + turn AS id, role, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM conversations), q AS (SELECT id, role, w, generate_subscripts(w, 1) AS i FROM u), a AS ({_ASKED}), m AS (SELECT id, role, i, max(k) AS k, arg_max(confidence, k) AS confidence FROM a JOIN s USING (role, k, ctx) GROUP BY ALL) SELECT role, k, count(*) AS n, round(avg(confidence), 6) AS confidence FROM m GROUP BY role, k")
 def ngram_position_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At every position the highest order whose context was met twice or more, and its confidence."""
-    talk = read(spark, sf_dir, "conversations").select("role", F.filter(F.split("text", " "), lambda x: x != "").alias("w"))
-    known = cx.confidences(_tokens(spark, sf_dir), "role").select("role", "k", "ctx", "confidence")
-    found = cx.position_confidences(talk, "w", known, "role")
-    return found.groupBy("role", "k").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    known = cx.confidences(_tokens(spark, sf_dir).where("role is not null"), "role")
+    found = cx.position_confidences(known, "role")
+    mean = F.sum(F.col("confidence") * F.col("n")) / F.sum("n")
+    return found.groupBy("role", "k").agg(F.sum("n").alias("n"), F.round(mean, 6).alias("confidence"))
 
 
 @query("WITH w AS (SELECT role, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS w FROM conversations), c AS (SELECT role, w, count(*) AS n FROM w GROUP BY ALL), t AS (SELECT role, sum(n) AS t FROM c GROUP BY role), s AS (SELECT role, n, -log2(n / t) / octet_length(encode(w)) AS bits, unnest(regexp_extract_all(hex(encode(w)), '..')) AS h FROM c JOIN t USING (role)) SELECT role, CAST('0x' || h AS INTEGER) AS b, CAST(sum(n) AS BIGINT) AS n, round(sum(n * bits), 4) AS bits FROM s GROUP BY role, b")
