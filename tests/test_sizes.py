@@ -50,3 +50,46 @@ def test_positions_have_their_longest_known_context(spark):
                     break
     assert {k: n for k, (n, _) in got.items()} == {k: n for k, (n, _) in want.items()}
     assert all(math.isclose(got[k][1], want[k][1]) for k in want)
+
+
+@pytest.mark.parametrize("options", [{}, {"chain": True}, {"match": True}])
+def test_streams_in_step_cost_what_each_costs(options):
+    """Streams folded together against the fold of each; before there was only the one after the other."""
+    from bytewren.operators import lockstep, predictors
+
+    rng = np.random.default_rng(72)
+    words = [rng.bytes(int(rng.integers(1, 7))).hex().encode() for _ in range(9)]
+    streams = [b" ".join(words[i] for i in rng.integers(0, 9, int(n))) for n in rng.integers(0, 30, 12)] + [b"", b"x", rng.bytes(60), b"AbAb abab ABAB. " * 6]
+    streams.sort(key=len, reverse=True)
+    for data, (bits, hits, total) in zip(streams, lockstep.costs(streams, **options)):
+        each = list(predictors.stream_costs(data, **options))
+        assert np.allclose(bits, np.sum([c for c, _ in each], axis=0) if each else 0, atol=1e-9)
+        assert (hits, total) == (sum(n > 0 for _, n in each), sum(n for _, n in each))
+
+
+def test_stream_keeps_its_bytes(spark, tmp_path):
+    """Two batches of a stream cost what the whole costs, and the state holds no more than the bytes."""
+    from bytewren.operators import predictors
+    from bytewren.streaming import folds
+
+    texts = [(1, 0, "some words come"), (2, 0, "other words"), (1, 1, " again, some words come"), (3, 0, None)]
+    schema = "id long, turn long, text string"
+    for i, part in enumerate((texts[:2], texts[2:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    folded = folds.fold_costs(stream, "id", "turn", "text")
+    rows = folds.run_once(folded, "update", str(tmp_path)).collect()
+    whole = b"some words come again, some words come"
+    costs = [sum(c) for c, _ in predictors.stream_costs(whole)]
+    got = sorted((r.stream_id, r.n_bytes, round(r.bits, 6)) for r in rows)
+    assert got == [(1, 15, round(sum(costs[:15]), 6)), (1, 23, round(sum(costs[15:]), 6)), (2, 11, got[2][2]), (3, 0, 0.0)]
+
+
+def test_running_sums_need_no_single_task(spark):
+    from bytewren.operators import telemetry as tm
+
+    rng = np.random.default_rng(73)
+    rows = [(int(i), int(x)) for i, x in zip(rng.permutation(500) * 7 - 900, rng.integers(0, 9, 500))]
+    made = tm.cumulative(spark.createDataFrame(rows, "id long, x long"), "id", 7, x="all")
+    ordered = sorted(rows)
+    assert sorted((r.id, r["all"]) for r in made.collect()) == [(i, sum(x for _, x in ordered[: n + 1])) for n, (i, _) in enumerate(ordered)]
