@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -10,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytewren.operators.predictors import ContextMixer
+from bytewren.operators.predictors import stream_totals
+from bytewren.sources.streams import bounded, pooled
 
 
 def read_stream(spark: SparkSession, like: DataFrame, path: str) -> DataFrame:
@@ -22,20 +22,29 @@ def read_stream(spark: SparkSession, like: DataFrame, path: str) -> DataFrame:
 
 
 def fold_costs(parts: DataFrame, key: str, order: str, content: str, limit: int = 2**31 - 1) -> DataFrame:
-    """(stream_id, n_bytes, bits) for each part of a stream as it comes, under a context mixer kept for its stream."""
+    """(stream_id, n_bytes, bits) for each part of a stream as it comes, under a context mixer that knows all parts before.
+
+    What the mixer has learnt follows from the bytes, and takes a hundred times their size. So the state store keeps
+    the bytes, and the mixer goes through them again before it comes to the new ones.
+    """
     cut = parts.select(F.col(key).alias("stream_id"), F.col(order).alias("ordering"), F.substring(F.col(content).cast("binary"), 1, limit).alias("content"))
+    bounded(parts.sparkSession)
 
     def step(key: tuple, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        cm = ContextMixer.restored(pickle.loads(state.get[0])) if state.exists else ContextMixer()
-        n, bits = 0, 0.0
-        for row in pd.concat([f for f in frames if len(f)]).sort_values("ordering").itertuples():
-            for byte in row.content or b"":
-                bits += sum(cm.step(byte))
-                n += 1
-        state.update((pickle.dumps(cm.saved()),))
-        yield pd.DataFrame({"stream_id": [key[0]], "n_bytes": [n], "bits": [bits]})
-
-    return cut.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, n_bytes long, bits double", "model binary", "update", "NoTimeout")
+        before = bytes(state.get[0]) if state.exists else b""
+        come = pd.concat([f for f in frames if len(f)]).sort_values("ordering")
+        after = before + b"".join(bytes(x) for x in come["content"] if x)
+        state.update((after,))
+        yield pd.DataFrame({"stream_id": [key[0]], "since": [len(before)], "content": [after]})
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in pooled(frames, "content"):
+            ids, since, data = frame["stream_id"].tolist(), frame["since"].tolist(), [bytes(x) for x in frame["content"]]
+            rows = [(ids[i], len(data[i]) - since[i], float(bits.sum())) for i, bits, _, _ in stream_totals(data, since)]
+            yield pd.DataFrame(rows, columns=["stream_id", "n_bytes", "bits"])
+
+    read = cut.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, since long, content binary", "seen binary", "update", "NoTimeout")
+    return read.mapInPandas(fold, "stream_id long, n_bytes long, bits double")
 
 
 def event_windows(events: DataFrame, ts: str, key: str, value: str, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
