@@ -30,6 +30,22 @@ def numbered(df: DataFrame, key: str, ts: str, *order: str, width: str = "hour")
     return timed.withColumn("_i", inside).join(starts, [key, "_t"]).withColumn("pos", F.col("_s") + F.col("_i")).select(*df.columns, "pos")
 
 
+def cumulative(df: DataFrame, order: str, ranges: int = 200, **sums: str) -> DataFrame:
+    """``df`` with running sums of columns (column=name) by the numeric ``order``, rows inclusive.
+
+    Ranges of ``order`` with about as many rows each are sorted each by itself; a row for each range gives where its sums begin. ``df`` is read three times.
+    """
+    bounds = sorted(set(df.stat.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
+    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))), F.lit(-1)) if bounds else F.lit(0)
+    dealt = df.withColumn("_r", F.when(F.col(order).isNull(), -1).otherwise(part))
+    before = Window.partitionBy(F.lit(0)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    whole = dealt.groupBy("_r").agg(*(F.sum(c).alias(c) for c in sums))
+    starts = whole.select("_r", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_s_{c}") for c in sums))
+    inside = Window.partitionBy("_r").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    running = dealt.select("*", *(F.sum(c).over(inside).alias(f"_i_{c}") for c in sums)).join(F.broadcast(starts), "_r")  # a row for each range
+    return running.select(*df.columns, *((F.col(f"_s_{c}") + F.col(f"_i_{c}")).alias(name) for c, name in sums.items()))
+
+
 def windows(df: DataFrame, key: str, pos: str, cost: str, size: int) -> DataFrame:
     """(key, window, n, bits, bpb_w, bytes, bpb): cost of each window and up to its end; the last window may be short."""
     each = df.groupBy(key, F.floor(F.col(pos) / size).alias("window")).agg(F.count("*").alias("n"), F.sum(cost).alias("bits"))
