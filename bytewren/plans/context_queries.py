@@ -28,7 +28,7 @@ def order_1_prior_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT skip, count(*) AS n_contexts, CAST(sum(n) AS BIGINT) AS n, max(n) AS n_most FROM (SELECT skip, ctx, count(*) AS n FROM s GROUP BY ALL) GROUP BY skip"""
 )
 def sparse_context_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = cx.sparse_contexts(read(spark, sf_dir, "documents"), "doc_id", "text").groupBy("skip", "ctx").agg(F.count("*").alias("n"))
+    counts = cx.skip_counts(read(spark, sf_dir, "documents"), "text")
     return counts.groupBy("skip").agg(F.count("*").alias("n_contexts"), F.sum("n").alias("n"), F.max("n").alias("n_most"))
 
 
@@ -38,8 +38,7 @@ def sparse_context_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT stream_id, count(*) AS n, count(*) FILTER (b = guess) AS hits FROM g GROUP BY stream_id"""
 )
 def icm_last_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = cx.last_successor(read(spark, sf_dir, "documents"), "doc_id", "text")
-    return each.groupBy("stream_id").agg(F.count("*").alias("n"), F.count_if(F.col("b") == F.col("guess")).alias("hits"))
+    return cx.successor_hits(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 _TOKENS = """w AS (SELECT role, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM conversations),
@@ -131,14 +130,13 @@ def _match_sql(tail: str) -> str:
 @query(_match_sql("SELECT stream_id, count(*) AS hits, CAST(sum(match_len) AS BIGINT) AS total_len, max(match_len) AS longest FROM m GROUP BY stream_id"))
 def longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest context of 4 to 128 bytes that occurred before in the document."""
-    found = cx.longest_matches(cx.match_candidates(read(spark, sf_dir, "documents"), "doc_id", "text"))
-    return found.groupBy("stream_id").agg(F.count("*").alias("hits"), F.sum("match_len").alias("total_len"), F.max("match_len").alias("longest"))
+    return cx.match_stats(read(spark, sf_dir, "documents"), "doc_id", "text").drop("bits")
 
 
 @query(_match_sql(f", n AS (SELECT doc_id AS stream_id, octet_length(encode(text)) AS n FROM documents), a AS (SELECT stream_id, count(*) AS hits, avg(match_len) AS l FROM m GROUP BY stream_id) SELECT n.stream_id, round(coalesce(hits, 0) / greatest(n, 1), 6) AS hit_rate, round(coalesce(l, 0), 6) AS mean_len, round(coalesce(hits, 0) * coalesce(l, 0) / 1000, 6) AS effectiveness FROM n LEFT JOIN a USING (stream_id)"))
 def match_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    found = cx.longest_matches(cx.match_candidates(docs, "doc_id", "text")).groupBy("stream_id").agg(F.count("*").alias("hits"), F.avg("match_len").alias("l"))
+    found = cx.match_stats(docs, "doc_id", "text").select("stream_id", "hits", (F.col("total_len") / F.col("hits")).alias("l"))
     sizes = docs.select(F.col("doc_id").alias("stream_id"), F.octet_length("text").alias("n"))
     joined = sizes.join(found, "stream_id", "left")
     return joined.select("stream_id", F.round(F.coalesce("hits", F.lit(0)) / F.greatest("n", F.lit(1)), 6).alias("hit_rate"), F.round(F.coalesce("l", F.lit(0.0)), 6).alias("mean_len"), F.round(tm.effectiveness(F.coalesce("hits", F.lit(0)), F.coalesce("l", F.lit(0.0))), 6).alias("effectiveness"))
@@ -147,7 +145,5 @@ def match_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_match_sql(f""", v AS (SELECT c.stream_id, c.pos, match_len, x.b AS vote, y.b AS b FROM c JOIN m ON c.stream_id = m.stream_id AND c.pos = m.pos AND c.len = m.match_len JOIN b x ON x.stream_id = c.stream_id AND x.pos = source JOIN b y ON y.stream_id = c.stream_id AND y.pos = c.pos),
     p AS (SELECT stream_id, pos, match_len, (sum(CASE WHEN vote = b THEN match_len ELSE 0 END) + {cx.SMOOTH}) / (sum(match_len) + {256 * cx.SMOOTH}) AS p FROM v GROUP BY ALL) SELECT stream_id, count(*) AS n, round(sum(-log2(p)), 4) AS bits FROM p GROUP BY stream_id"""))
 def match_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    found = cx.longest_matches(cx.match_candidates(docs, "doc_id", "text"))
-    probs = cx.match_distribution(found, explode_bytes(docs, "doc_id", "text"))
-    return probs.groupBy("stream_id").agg(F.count("*").alias("n"), F.round(F.sum(-F.log2("p")), 4).alias("bits"))
+    found = cx.match_stats(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("stream_id", F.col("hits").alias("n"), F.round("bits", 4).alias("bits"))
