@@ -93,3 +93,54 @@ def test_running_sums_need_no_single_task(spark):
     made = tm.cumulative(spark.createDataFrame(rows, "id long, x long"), "id", 7, x="all")
     ordered = sorted(rows)
     assert sorted((r.id, r["all"]) for r in made.collect()) == [(i, sum(x for _, x in ordered[: n + 1])) for n, (i, _) in enumerate(ordered)]
+
+
+BY_ROW = "longest_match match_hit_rate match_distribution order_1_prior_cost icm_last_byte delta_roundtrip delta_entropy plane_entropy detect_transform detect_transform_pages adaptive_encode bit_ones_by_position word_segments word_pair_contexts".split()
+
+
+@pytest.mark.parametrize("name", BY_ROW)
+def test_streams_stay_in_their_rows(spark, name):
+    """Bytes are worked out where their row lies: no row for each byte, and nothing of them is shuffled."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
+    assert name == "match_hit_rate" or "Exchange" not in plan
+
+
+def test_rows_of_one_id_are_one_stream(spark):
+    """Histograms of rows with the same id add up, whether the id is null or not; other rows aren't moved."""
+    from bytewren.operators import bytestats as bs
+
+    df = spark.createDataFrame([(1, "aabb"), (2, "abcd"), (1, "ccdd"), (None, "xy"), (None, "z"), (3, None)], "id long, t string")
+    found = {r.stream_id: r.entropy for r in bs.stream_entropies(df, "id", "t", planes=(1,)).collect()}
+    assert found == pytest.approx({1: 2.0, 2: 2.0, None: math.log2(3)})
+    assert sorted(r.n_sample for r in bs.detect_transform(df, "id", "t").collect()) == [0, 0, 0, 4, 8, 8]
+
+
+def test_longest_matches_by_their_definition():
+    from bytewren.operators import matches
+
+    rng = np.random.default_rng(74)
+    for data in [b"", b"abc", bytes(40), *(bytes(rng.integers(0, 3, int(n)).tolist()) for n in rng.integers(1, 400, 12)), bytes(rng.integers(0, 9, 150).tolist()) * 3]:
+        length, sources = matches.longest_matches(data)
+        for pos in range(len(data)):
+            want, places = 0, []
+            for n in matches.LENGTHS:
+                if pos >= n:
+                    seen = [q for q in range(pos - 1, n - 1, -1) if data[q - n : q] == data[pos - n : pos]][: matches.CANDIDATES]
+                    if kept := [q for q in seen if q + 1 < pos]:
+                        want, places = n, kept
+            assert length[pos] == want and [q for q in sources[pos] if q >= 0] == places
+
+
+def test_shorter_contexts_are_ends_of_the_longest(spark):
+    from bytewren.operators import context as cx
+
+    rng = np.random.default_rng(75)
+    rows = [(str(rng.integers(0, 2)), bytes(rng.integers(0, 3, int(n)).tolist())) for n in rng.integers(0, 60, 12)] + [("0", None)]
+    want = Counter()
+    for lang, data in rows:
+        for pos, b in enumerate(data or b""):
+            for k in range(min(pos, 4) + 1):
+                want[lang, k, int.from_bytes(data[pos - k : pos]), b] += 1
+    got = cx.order_counts(spark.createDataFrame(rows, "lang string, c binary"), "c", "lang")
+    assert {(r.lang, r.k, r.ctx, r.nxt): r.n for r in got.collect()} == want
