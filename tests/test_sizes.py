@@ -157,3 +157,23 @@ def test_streams_coded_together_give_the_same_containers():
     longest_first = sorted(streams, key=len, reverse=True)
     heads = [coder.read_container(coder.compress(x)) for x in longest_first]
     assert coding.decompress_all([h[3] for h in heads], [h[0] for h in heads]) == longest_first
+
+
+@pytest.mark.parametrize("skip", [0.0, 0.02])
+def test_hybrid_streams_in_step_cost_what_each_costs(spark, skip):
+    from bytewren.operators import backbone, hybrid
+
+    rng = np.random.default_rng(77)
+    words = [rng.bytes(int(rng.integers(1, 4))).hex().encode() for _ in range(6)]
+    tokens = {bytes([b]): b for b in range(256)} | {b" " + w: 256 + i for i, w in enumerate(dict.fromkeys(words))}
+    config = backbone.Config(vocabulary=max(tokens.values()) + 1)
+    weights = backbone.random_weights(config)
+    data = [b" ".join(words[i] for i in rng.integers(0, 6, int(n))) for n in rng.integers(0, 14, 5)] + [b"", b"x"]
+    df = spark.createDataFrame(list(enumerate(data)), "id long, c binary").coalesce(1)
+    got = {r.stream_id: r for r in hybrid.hybrid_fold(df, "id", "c", tokens, config, weights, mixer="logistic", match=True, skip=skip).collect()}
+    model = hybrid.Orchestrator(hybrid.TokenBackbone(backbone.Recurrent(config, weights), tokens))
+    for i, x in enumerate(data):
+        want = hybrid._totals(x, model, {"mixer": "logistic", "match": True, "skip": skip})
+        r = got[i]
+        assert (r.n_tokens, r.match_hits, r.match_len, r.skipped_tokens, r.skipped_bytes) == (want[0], *want[3:])
+        assert math.isclose(r.bits, want[1], abs_tol=1e-6) and np.allclose(r.bit_costs, want[2], atol=1e-6)
