@@ -24,7 +24,7 @@ def read_stream(spark: SparkSession, like: DataFrame, path: str) -> DataFrame:
 def fold_costs(parts: DataFrame, key: str, order: str, content: str, limit: int = 2**31 - 1) -> DataFrame:
     """(stream_id, n_bytes, bits) for each part of a stream as it comes, under a context mixer that knows all parts before.
 
-    What the mixer has learnt follows from the bytes, and takes a hundred times their size. So the state store keeps
+    What the mixer has learnt follows from the bytes, and takes a thousand times their size. So the state store keeps
     the bytes, and the mixer goes through them again before it comes to the new ones.
     """
     cut = parts.select(F.col(key).alias("stream_id"), F.col(order).alias("ordering"), F.substring(F.col(content).cast("binary"), 1, limit).alias("content"))
